@@ -8,11 +8,13 @@ from graphloom.llm.mixing import ORACLE as MIXING_ORACLE
 from graphloom.llm.mixing import op10_mixing
 from graphloom.llm.quality_classifier import op1_quality_classifier
 from graphloom.llm.quality_rules import op5_quality_rules
+from graphloom.llm.simhash import op8_simhash
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op7_chat": op7_chat,
+    "op8_simhash": op8_simhash,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {"op7_chat": CHAT_ORACLE, "op10_mixing": MIXING_ORACLE}
