@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graphloom.llm.byte_bpe import op9_byte_bpe
 from graphloom.llm.chat import ORACLE as CHAT_ORACLE
 from graphloom.llm.chat import op7_chat
 from graphloom.llm.mixing import ORACLE as MIXING_ORACLE
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op7_chat": op7_chat,
     "op8_simhash": op8_simhash,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {"op7_chat": CHAT_ORACLE, "op10_mixing": MIXING_ORACLE}
