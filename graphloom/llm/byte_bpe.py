@@ -1,8 +1,8 @@
 """Byte-level BPE with Spark's higher-order functions.
 
 A word's bytes become an array of token ids, and `aggregate` folds it: each step looks up the rank of every adjacent
-pair and joins the pair of least rank, leftmost first, until no pair has one. The rank map is a literal: a comb
-vector, two arrays in which the pair (l, r) stands at base[l] + r, so a lookup is two array reads and no hash.
+pair and joins the pair of least rank, leftmost first, until no pair has one. The rank map is a literal: a
+perfect hash in two arrays, so a lookup is two array reads and some arithmetic (a map literal would be searched).
 
 Distinct words fold, not occurrences. The corpus's most frequent words (a fixed number, so their dictionary has a
 bounded size) fold once and are broadcast; words beyond it fold once per document and stretch of text that holds them,
@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import Scratch, arrow_map, cut, text_of
 
 #: The most frequent words that get a place in the broadcast dictionary (documented bound), and its bytes.
-DICTIONARY_WORDS, DICTIONARY_BYTES = 200_000, 16 << 20
+DICTIONARY_WORDS, DICTIONARY_BYTES = 300_000, 48 << 20
 #: Entries of a worker's memo of chunks.
 MEMO = 200_000
 RARE = 1 << 31
@@ -35,28 +34,42 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
 
 
-def comb(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """base by left id, and entries l << 17 | merged at base[l] + r (else -1), for all pairs of tokens that make a token."""
-    rows: dict[int, list[tuple[int, int]]] = {}
+#: Multipliers of the perfect hash: (l * A + r * B + d * (l * C + r * D + 1)) mod size, d by (l * E + r) mod buckets.
+A, B, C, D, E = 100_003, 7_919, 611, 953, 8_191
+#: Bits of a token id.
+ID = 17
+
+
+def prime_from(n: int) -> int:
+    while any(n % i == 0 for i in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def rank_map(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A perfect hash of all pairs (l, r) of tokens that make a token m: displacements d by bucket, and entries
+    (l << ID | r) << ID | m by place, -1 elsewhere. Fuller buckets choose their displacement first."""
+    pairs = {}
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             left, right = ranks.get(token[:i]), ranks.get(token[i:])
             if left is not None and right is not None:
-                rows.setdefault(left, []).append((right, rank))
-    width = max(ranks.values()) + 1
-    base, entries = np.zeros(width, np.int64), np.full(width * 4 + 1_000_000, -1, np.int64)
-    free = 0
-    for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
-        rs = np.array([r for r, _ in row])
-        at = max(0, free - int(rs.min()))
-        while (entries[at + rs] >= 0).any():
-            at += 1
-        base[left] = at
-        entries[at + rs] = left << 17 | np.array([m for _, m in row])
-        while entries[free] >= 0:
-            free += 1
-    # any id may stand on the right of any left id: leave room for the furthest read
-    return base, entries[: int(base.max()) + width + 1]
+                pairs[left, right] = rank
+    size, n = prime_from(len(pairs) * 3 // 2 + 2), prime_from(len(pairs) // 4 + 2)
+    shift, entries = np.zeros(n, np.int64), np.full(size, -1, np.int64)
+    buckets: dict[int, list[tuple[int, int]]] = {}
+    for left, right in pairs:
+        buckets.setdefault((left * E + right) % n, []).append((left, right))
+    taken = bytearray(size)
+    for g, members in sorted(buckets.items(), key=lambda x: (-len(x[1]), x[0])):
+        hashes, d = [(x * A + y * B, x * C + y * D + 1) for x, y in members], 0
+        while len(places := {(h + d * k) % size for h, k in hashes}) < len(members) or any(taken[i] for i in places):
+            d += 1
+        shift[g] = d
+        for (x, y), (h, k) in zip(members, hashes, strict=True):
+            taken[(h + d * k) % size] = 1
+            entries[(h + d * k) % size] = (x << ID | y) << ID | pairs[x, y]
+    return shift, entries
 
 
 def literal(values: np.ndarray, kind: str) -> Column:
@@ -64,27 +77,39 @@ def literal(values: np.ndarray, kind: str) -> Column:
     return F.from_json(F.lit("[" + ",".join(map(str, values.tolist())) + "]"), f"array<{kind}>")
 
 
-def fold(ids: Column, base: Column, entries: Column) -> Column:
-    """The BPE tokens of an array of byte tokens."""
+def fold(ids: Column, shift: Column, shifts: int, entries: Column, places: int) -> Column:
+    """The BPE tokens (array<bigint>) of an array<bigint> of byte tokens."""
 
     def rank(left: Column, right: Column) -> Column:
-        at = F.element_at(entries, (F.element_at(base, left + 1) + right + 1).cast("int"))
-        return F.when(F.shiftright(at, 17) == left, at.bitwiseAND(F.lit((1 << 17) - 1)).cast("int"))
+        """The merged id, or a number of more than ID bits where the pair has none."""
+        d = F.element_at(shift, ((left * E + right) % shifts + 1).cast("int"))
+        at = (left * A + right * B + d * (left * C + right * D + 1)) % places
+        return F.element_at(entries, (at + 1).cast("int")).bitwiseXOR(F.shiftleft(F.shiftleft(left, ID).bitwiseOR(right), ID))
 
     def join(tokens: Column, ranks: Column) -> Column:
-        least = F.array_min(ranks)
-        at = F.array_position(ranks, least).cast("int")
-        merged = F.concat(F.slice(tokens, F.lit(1), at - 1), F.array(least), F.slice(tokens, at + 2, F.size(tokens)))
-        return F.when(least.isNull(), F.struct(tokens.alias("tokens"), F.lit(True).alias("done"))).otherwise(F.struct(merged.alias("tokens"), F.lit(False).alias("done")))
+        # one-element transforms bind what is used twice, else each use would compute it again
+        def at_least(least: Column) -> Column:
+            def at_place(at: Column) -> Column:
+                merged = F.concat(F.slice(tokens, F.lit(1), at - 1), F.array(least), F.slice(tokens, at + 2, F.size(tokens)))
+                return F.struct(merged.alias("tokens"), F.lit(False).alias("done"))
+
+            none = F.struct(tokens.alias("tokens"), F.lit(True).alias("done"))
+            return F.when((least < 0) | (least >= 1 << ID), none).otherwise(F.element_at(F.transform(F.array(F.array_position(ranks, least).cast("int")), at_place), 1))
+
+        return F.element_at(F.transform(F.array(F.array_min(ranks)), at_least), 1)
 
     def step(state: Column, _: Column) -> Column:
         tokens = state["tokens"]
-        ranks = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda a, b: F.when(b.isNotNull(), rank(a, b)))
-        # a one-element transform binds the ranks, else each use would compute them again
+        # the last token has no right neighbour: a number above all ranks stands there
+        ranks = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda a, b: F.coalesce(F.when(b.isNotNull(), lifted(rank(a, b))), F.lit(1 << 62)))
         return F.when(state["done"], state).otherwise(F.element_at(F.transform(F.array(ranks), lambda r: join(tokens, r)), 1))
 
+    def lifted(x: Column) -> Column:
+        """Negative where an empty place was read: far above every rank instead."""
+        return x.bitwiseAND(F.lit((1 << 62) - 1))
+
     start = F.struct(ids.alias("tokens"), (F.size(ids) < 2).alias("done"))
-    return F.when(F.size(ids) < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1))), start, step, lambda s: s["tokens"]))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1))), start, step, lambda s: s["tokens"])
 
 
 class Words:
@@ -105,17 +130,12 @@ class Words:
         return None if not parts[0] or not parts[-1] else parts
 
 
-@lru_cache(maxsize=2)
-def words_of(pattern: str) -> Words:
-    return Words(pattern)
-
-
 def word_counts(docs: DataFrame, pattern: str, skip: dict[bytes, int]) -> DataFrame:
     """(word, n) of the pattern's matches over whole texts, without the words in `skip`."""
     skipped = docs.sparkSession.sparkContext.broadcast(frozenset(skip))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        words, first, rest, whole = words_of(pattern), Counter(), Counter(), Counter()
+        words, first, rest, whole = Words(pattern), Counter(), Counter(), Counter()
         for t in batch.column(0).to_pylist():
             parts = words.chunks(t)
             if parts is None:
@@ -139,19 +159,19 @@ class Codec:
 
     def __init__(self, spark, path: str, pattern: str):
         self.spark, self.pattern, self.ranks = spark, pattern, load_ranks(path)
-        base, entries = comb(self.ranks)
-        self.base, self.entries = literal(base, "int"), literal(entries, "bigint")
+        shift, entries = rank_map(self.ranks)
+        self.map = (literal(shift, "bigint"), len(shift), literal(entries, "bigint"), len(entries))
         self.bytes_ = [self.ranks[bytes([b])] for b in range(256)]
 
     def fold_words(self, words: DataFrame) -> DataFrame:
-        """(word, ids array<int>) of (word binary): whole tokens as they are, others folded."""
+        """(word, ids array<bigint>) of (word binary): whole tokens as they are, others folded."""
         table, ranks = self.bytes_, self.ranks
 
         def spell(batch: pa.RecordBatch) -> Iterator[dict]:
             ws = batch.column(0).to_pylist()
             yield {"word": ws, "bytes": [[ranks[w]] if w in ranks else [table[b] for b in w] for w in ws]}
 
-        return arrow_map(words.select("word"), spell, "word binary, bytes array<int>").select("word", fold(F.col("bytes"), self.base, self.entries).alias("ids"))
+        return arrow_map(words.select("word"), spell, "word binary, bytes array<bigint>").select("word", fold(F.col("bytes"), *self.map).alias("ids"))
 
     def dictionary(self, docs: DataFrame, words: int = DICTIONARY_WORDS) -> dict[str, bytes]:
         """Little-endian ids of every token and of the most frequent other words, at most `words` of them and DICTIONARY_BYTES."""
@@ -177,7 +197,7 @@ class Codec:
         spec = ", ".join(f"`{k}` {v}" for k, v in fields.items())
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, ids_of, memo = words_of(pattern), known.value, {}
+            words, ids_of, memo = Words(pattern), known.value, {}
 
             def encode(text: str) -> tuple[bytes, list[list[int]]]:
                 rare: dict[str, int] = {}
@@ -211,10 +231,10 @@ class Codec:
                 for part in cut(batch):
                     done = [encode(t) for t in part.column("text__").to_pylist()]
                     rare = [[[table[b] for b in w.encode("utf-8", "surrogatepass")] for w in r] for _, r in done]
-                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in fields), pa.array([d for d, _ in done], pa.binary()), pa.array(rare, pa.list_(pa.list_(pa.int32())))], names=[*fields, "draft", "rare"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in fields), pa.array([d for d, _ in done], pa.binary()), pa.array(rare, pa.list_(pa.list_(pa.int64())))], names=[*fields, "draft", "rare"])
 
-        draft = kept.mapInArrow(look_up, f"{spec}, draft binary, rare array<array<int>>")
-        folded = draft.select(*fields, "draft", F.transform("rare", lambda w: fold(w, self.base, self.entries)).alias("rare"))
+        draft = kept.mapInArrow(look_up, f"{spec}, draft binary, rare array<array<bigint>>")
+        folded = draft.select(*fields, "draft", F.transform("rare", lambda w: fold(w, *self.map)).alias("rare"))
 
         def fill(batch: pa.RecordBatch) -> Iterator[dict]:
             out = []
