@@ -5,6 +5,7 @@ from __future__ import annotations
 from graphloom.llm.byte_bpe import op9_byte_bpe
 from graphloom.llm.chat import ORACLE as CHAT_ORACLE
 from graphloom.llm.chat import op7_chat
+from graphloom.llm.ivf_pq import op4_ivf_pq
 from graphloom.llm.lattice_lm import op6_lattice_lm
 from graphloom.llm.mixing import ORACLE as MIXING_ORACLE
 from graphloom.llm.mixing import op10_mixing
@@ -16,6 +17,7 @@ from graphloom.llm.wavelet import op2_wavelet
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_wavelet": op2_wavelet,
+    "op4_ivf_pq": op4_ivf_pq,
     "op5_quality_rules": op5_quality_rules,
     "op6_lattice_lm": op6_lattice_lm,
     "op7_chat": op7_chat,
