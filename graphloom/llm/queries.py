@@ -12,11 +12,13 @@ from graphloom.llm.mixing import op10_mixing
 from graphloom.llm.quality_classifier import op1_quality_classifier
 from graphloom.llm.quality_rules import op5_quality_rules
 from graphloom.llm.simhash import op8_simhash
+from graphloom.llm.suffix_dedup import op3_suffix_dedup
 from graphloom.llm.wavelet import op2_wavelet
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_wavelet": op2_wavelet,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ivf_pq": op4_ivf_pq,
     "op5_quality_rules": op5_quality_rules,
     "op6_lattice_lm": op6_lattice_lm,
