@@ -1,0 +1 @@
+"""No streaming operator: the engine queries graphs at rest."""
