@@ -25,8 +25,8 @@ from graphloom.llm.common import Scratch, arrow_map, cut, text_of
 
 #: The most frequent words that get a place in the broadcast dictionary (documented bound), and its bytes.
 DICTIONARY_WORDS, DICTIONARY_BYTES = 300_000, 48 << 20
-#: Entries of a worker's memo of chunks.
-MEMO = 200_000
+#: Entries of a worker's memo of chunks, and of its counter of chunks.
+MEMO, COUNTED = 150_000, 300_000
 RARE = 1 << 31
 
 
@@ -134,24 +134,34 @@ def word_counts(docs: DataFrame, pattern: str, skip: dict[bytes, int]) -> DataFr
     """(word, n) of the pattern's matches over whole texts, without the words in `skip`."""
     skipped = docs.sparkSession.sparkContext.broadcast(frozenset(skip))
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        words, first, rest, whole = Words(pattern), Counter(), Counter(), Counter()
-        for t in batch.column(0).to_pylist():
-            parts = words.chunks(t)
-            if parts is None:
-                whole.update(words.find(t))
-            else:
-                first[parts[0]] += 1
-                rest.update(parts[1:])
-        for chunks, before in ((first, ""), (rest, " ")):
-            for chunk, n in chunks.items():
-                for w in words.find(before + chunk):
-                    whole[w] += n
-        known = skipped.value
-        found = [(b, n) for w, n in whole.items() if (b := w.encode("utf-8", "surrogatepass")) not in known]
-        yield {"word": [b for b, _ in found], "n": [n for _, n in found]}
-
-    return arrow_map(docs.select(text_of().alias("text__")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known = Words(pattern), skipped.value
+        first, rest, whole = Counter(), Counter(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            for chunks, before in ((first, ""), (rest, " ")):
+                for chunk, n in chunks.items():
+                    for w in words.find(before + chunk):
+                        whole[w] += n
+            found = [(b, n) for w, n in whole.items() if (b := w.encode("utf-8", "surrogatepass")) not in known]
+            first.clear(), rest.clear(), whole.clear()
+            return pa.RecordBatch.from_pydict({"word": [b for b, _ in found], "n": [n for _, n in found]}, pa.schema([("word", pa.binary()), ("n", pa.int64())]))
+
+        for batch in batches:
+            for part in cut(batch):
+                for t in part.column(0).to_pylist():
+                    parts = words.chunks(t)
+                    if parts is None:
+                        whole.update(words.find(t))
+                    else:
+                        first[parts[0]] += 1
+                        del parts[0]
+                        rest.update(parts)
+                if len(rest) + len(whole) > COUNTED:
+                    yield flush()
+        yield flush()
+
+    return docs.select(text_of().alias("text__")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Codec:
@@ -176,8 +186,17 @@ class Codec:
     def dictionary(self, docs: DataFrame, words: int = DICTIONARY_WORDS) -> dict[str, bytes]:
         """Little-endian ids of every token and of the most frequent other words, at most `words` of them and DICTIONARY_BYTES."""
         scratch = Scratch(self.spark, "bpe")
-        top = word_counts(docs, self.pattern, self.ranks).where(F.length("word") <= DICTIONARY_BYTES // max(words, 1)).orderBy(F.desc("n"), "word").limit(words)
-        top = scratch.keep(top.select("word"), "top")
+        counts = word_counts(docs, self.pattern, self.ranks).where(F.length("word") <= DICTIONARY_BYTES // max(words, 1))
+        counts = scratch.keep(counts.where("n > 1"), "counts")
+        # the least count whose words, and all more frequent ones, fit: from a histogram of up to some hundred steps, no sort
+        step = F.when(F.col("n") < 256, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.col("n") + 0.5)))).cast("long")
+        held, least = 0, None
+        for at, n in sorted(map(tuple, counts.groupBy(step.alias("at")).count().collect()), reverse=True):
+            held += n
+            if held > words:
+                break
+            least = at
+        top = counts.where(F.col("n") >= (least if least is not None else 1 << 62)).select("word")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         found = self.fold_words(top.repartition(parts, F.xxhash64("word"))).toArrow()
         out = {w.decode("utf-8", "surrogatepass"): np.array(i, "<u4").tobytes() for w, i in zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True)}
