@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import ORACLE_SQL as PIPELINE_ORACLE
+from corpus_pipeline import run as pipeline
 from graphloom.llm.byte_bpe import op9_byte_bpe
 from graphloom.llm.chat import ORACLE as CHAT_ORACLE
 from graphloom.llm.chat import op7_chat
@@ -26,5 +28,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mixing": op10_mixing,
+    "pipeline": pipeline,
 }
-ORACLES = {"op7_chat": CHAT_ORACLE, "op10_mixing": MIXING_ORACLE}
+ORACLES = {"op7_chat": CHAT_ORACLE, "op10_mixing": MIXING_ORACLE} | ({"pipeline": PIPELINE_ORACLE} if PIPELINE_ORACLE else {})

@@ -72,15 +72,22 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fp, root) for members of sorted distinct fps that link to a smaller one within the bucket; roots are least members."""
-    n, bits = len(fps), fps.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
+def near(bits: np.ndarray, aux: np.ndarray, other: np.ndarray, other_aux: np.ndarray, radius: int, radius2: int) -> np.ndarray:
+    """Where fingerprints lie within radius and second fingerprints within radius2 (64: anywhere); all as uint64,
+    since bitwise_count takes the absolute value of signed numbers."""
+    hit = np.bitwise_count(bits ^ other) <= radius
+    return hit if radius2 >= BITS else hit & (np.bitwise_count(aux ^ other_aux) <= radius2)
+
+
+def forest(node: np.ndarray, fps: np.ndarray, aux: np.ndarray, radius: int, radius2: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for members that link, in any number of steps within the bucket, to one that stands before them."""
+    n, bits, more = len(fps), fps.view(np.uint64), aux.view(np.uint64)
     label = np.arange(n)
     while True:
         new = label.copy()
         for at in range(0, n, 512):
-            near = np.bitwise_count(bits[at : at + 512, None] ^ bits[None, :]) <= radius
-            new[at : at + 512] = np.where(near, label[None, :], n).min(axis=1)
+            hit = near(bits[at : at + 512, None], more[at : at + 512, None], bits[None, :], more[None, :], radius, radius2)
+            new[at : at + 512] = np.where(hit, label[None, :], n).min(axis=1)
         new = np.minimum(new, label)
         while not np.array_equal(jump := new[new], new):
             new = jump
@@ -88,74 +95,74 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             break
         label = new
     moved = label != np.arange(n)
-    return fps[moved], fps[label[moved]]
+    return node[moved], node[label[moved]]
 
 
-def bucket_links(rows: DataFrame, keys: list[str], radius: int, limit: int | None) -> DataFrame:
-    """Links of (keys, fp) rows within equal keys: a, b with a > b as fingerprints order, over = false. Rows of a bucket
-    beyond `limit` come back as they are, over = true. A task streams its sorted rows and holds one bucket at most."""
+def bucket_links(rows: DataFrame, keys: list[str], radius: int, radius2: int, limit: int | None) -> DataFrame:
+    """Links of (keys, node, fp, aux) rows within equal keys: a, b are nodes, over = false. Rows of a bucket beyond
+    `limit` come back as they are (a the node, fp, aux), over = true. A task streams its sorted rows and holds one bucket at most."""
     sized = rows.repartition(*keys).sortWithinPartitions(*keys, "fp")
-    out = pa.schema([*((k, pa.int64()) for k in keys), ("a", pa.int64()), ("b", pa.int64()), ("over", pa.bool_())])
+    out = pa.schema([*((k, pa.int64()) for k in keys), *((c, pa.int64()) for c in ("a", "b", "fp", "aux")), ("over", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def give(key, a, b, over):
+        def give(key, a, b, fp, aux, over):
             n = len(a)
-            return pa.RecordBatch.from_arrays([*(pa.array(np.full(n, k)) for k in key), pa.array(a), pa.array(b), pa.array(np.full(n, over))], schema=out)
+            return pa.RecordBatch.from_arrays([*(pa.array(np.full(n, k)) for k in key), pa.array(a), pa.array(b), pa.array(fp), pa.array(aux), pa.array(np.full(n, over))], schema=out)
 
         held, held_key, spilling = [], None, False
 
         def close():
-            if held_key is not None and not spilling and sum(map(len, held)) > 1:
-                a, b = forest(np.unique(np.concatenate(held)), radius)
+            if held_key is not None and not spilling and sum(len(x[0]) for x in held) > 1:
+                a, b = forest(*(np.concatenate(x) for x in zip(*held, strict=True)), radius, radius2)
                 if len(a):
-                    yield give(held_key, a, b, False)
+                    yield give(held_key, a, b, a, b, False)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [batch.column(k).to_numpy() for k in keys]
-            fp = batch.column("fp").to_numpy()
+            data = [batch.column(c).to_numpy() for c in ("node", "fp", "aux")]
+            node, fp, aux = data
             change = np.zeros(len(fp), bool)
             for c in cols:
                 change[1:] |= c[1:] != c[:-1]
             at = np.flatnonzero(change)
             starts, ends = np.concatenate([[0], at]), np.concatenate([at, [len(fp)]])
             # pairs standing alone inside the batch: all at once
-            inner = np.flatnonzero((ends - starts == 2) & (starts > 0) & (ends < len(fp)))
-            i = starts[inner]
-            near = (np.bitwise_count((fp[i] ^ fp[i + 1]).view(np.uint64)) <= radius) & (fp[i] != fp[i + 1])
-            if near.any():
-                i = i[near]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[i]) for c in cols), pa.array(np.maximum(fp[i], fp[i + 1])), pa.array(np.minimum(fp[i], fp[i + 1])), pa.array(np.zeros(len(i), bool))], schema=out)
+            i = starts[np.flatnonzero((ends - starts == 2) & (starts > 0) & (ends < len(fp)))]
+            i = i[near(fp[i].view(np.uint64), aux[i].view(np.uint64), fp[i + 1].view(np.uint64), aux[i + 1].view(np.uint64), radius, radius2)]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[i]) for c in cols), pa.array(node[i + 1]), pa.array(node[i]), pa.array(fp[i]), pa.array(aux[i]), pa.array(np.zeros(len(i), bool))], schema=out)
             for s, e in ((s, e) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s > 2 or s == 0 or e == len(fp)):
                 key = tuple(c[s] for c in cols)
                 if key != held_key:
                     yield from close()
                     held, held_key, spilling = [], key, False
-                held.append(fp[s:e].copy())
-                if limit is not None and (spilling or sum(map(len, held)) > limit):
+                held.append(tuple(x[s:e].copy() for x in data))
+                if limit is not None and (spilling or sum(len(x[0]) for x in held) > limit):
                     spilling = True
-                    every = np.concatenate(held)
-                    yield give(key, every, every, True)
+                    every = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    yield give(key, every[0], every[0], every[1], every[2], True)
                     held = []
         yield from close()
 
-    return sized.mapInArrow(run, ", ".join([*(f"`{k}` long" for k in keys), "a long", "b long", "over boolean"]))
+    return sized.mapInArrow(run, ", ".join([*(f"`{k}` long" for k in keys), "a long", "b long", "fp long", "aux long", "over boolean"]))
 
 
-def links(fps: DataFrame, radius: int = RADIUS, limit: int = LIMIT, scratch: Scratch | None = None) -> DataFrame:
-    """Edges (a > b) between distinct fingerprints (column fp) whose components are those of all pairs within the radius."""
-    scratch = scratch or Scratch(fps.sparkSession, "links")
+def links(nodes: DataFrame, radius: int = RADIUS, radius2: int = BITS, limit: int = LIMIT, scratch: Scratch | None = None) -> DataFrame:
+    """Edges (a, b) between nodes (columns node, fp, aux; distinct by fp and aux) whose components are those of all
+    pairs with fp within radius and aux within radius2."""
+    scratch = scratch or Scratch(nodes.sparkSession, "links")
     masks = covering(list(range(BITS)), radius)
     # one array literal each for the masks and, by table, for the second covering of the bits left out
     second = [covering([b for b in range(BITS) if not m >> b & 1], radius) for m in masks]
     table = F.explode(F.array(*(F.struct(F.lit(v).cast("long").alias("v"), F.lit(signed(m)).alias("m")) for v, m in enumerate(masks))))
-    rows = fps.select("fp", table.alias("t")).select(F.col("t.v").alias("v"), F.col("fp").bitwiseAND(F.col("t.m")).alias("key"), "fp")
-    first = scratch.keep(bucket_links(rows, ["v", "key"], radius, limit), "first")
+    rows = nodes.select("node", "fp", "aux", table.alias("t")).select(F.col("t.v").alias("v"), F.col("fp").bitwiseAND(F.col("t.m")).alias("key"), "node", "fp", "aux")
+    first = scratch.keep(bucket_links(rows, ["v", "key"], radius, radius2, limit), "first")
     masks2 = F.element_at(F.array(*(F.array(*(F.struct(F.lit(u).cast("long").alias("u"), F.lit(signed(m)).alias("m")) for u, m in enumerate(ms))) for ms in second)), (F.col("v") + 1).cast("int"))
-    over = first.where("over").select("v", "key", F.col("a").alias("fp"), F.explode(masks2).alias("t"))
-    over = over.select("v", "key", F.col("t.u").alias("u"), F.col("fp").bitwiseAND(F.col("t.m")).alias("key2"), "fp")
-    return first.where("not over").select("a", "b").union(bucket_links(over, ["v", "key", "u", "key2"], radius, None).select("a", "b")).distinct()
+    over = first.where("over").select("v", "key", F.col("a").alias("node"), "fp", "aux", F.explode(masks2).alias("t"))
+    over = over.select("v", "key", F.col("t.u").alias("u"), F.col("fp").bitwiseAND(F.col("t.m")).alias("key2"), "node", "fp", "aux")
+    return first.where("not over").select("a", "b").union(bucket_links(over, ["v", "key", "u", "key2"], radius, radius2, None).select("a", "b")).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -190,13 +197,70 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.keep(with_fingerprint(docs, ["doc_id"], shingle, seed), "rows")
     nodes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = scratch.keep(components(links(nodes.select("fp"), radius, limit, scratch), scratch), "components")
+    found = scratch.keep(components(links(nodes.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("aux")), radius, BITS, limit, scratch), scratch), "components")
     rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = scratch.keep(rooted.join(ids, "root").select(F.col("fp").alias("fp2"), "component_id"), "by-fp")
     return rows.join(by_fp, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
 
 
+#: Near copies of the pipeline: five-word shingles, a similarity of 0.8 or more. Their word fingerprints differ by a few
+#: bits, which the covering finds; a fingerprint of three-word shingles keeps texts that only share their words apart.
+NEAR_WORDS, SIMILARITY, WORD_RADIUS, FILTER_SHINGLE, FILTER_RADIUS = 5, 0.8, 4, 3, 14
+
+
+def similarity(a: str, b: str, shingle: int = NEAR_WORDS) -> float:
+    """Jaccard similarity of the sets of word shingles (of a shorter text: its words as one)."""
+
+    def shingles(text: str) -> set:
+        words = text.encode("utf-8", "surrogatepass").lower().split()
+        return set(zip(*(words[i:] for i in range(shingle)), strict=False)) or {tuple(words)}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def drop_near_duplicates(docs: DataFrame, least_similarity: float = SIMILARITY, shingle: int = NEAR_WORDS, radius: int = WORD_RADIUS, radius2: int = FILTER_RADIUS, limit: int = LIMIT) -> DataFrame:
+    """docs without near copies: of each group the row with the least doc_id stays; columns as in docs.
+
+    Groups are components of texts whose one-word SimHashes lie within radius and three-word ones within radius2. Copies
+    of a text go; another text goes only if its similarity to its group's first text, exact over whole texts, is least_similarity or
+    more. Null counts as the empty text; all empty texts are copies. Wholly repeated (doc_id, text) rows leave one row.
+    Column names t1__, t2__ and least__ must be free.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = docs.withColumns({"t1__": F.xxhash64(text_of()), "t2__": F.xxhash64(text_of(), F.lit(1))})
+    single = with_fingerprint(rows, ["doc_id", "t1__", "t2__", "text"], 1).withColumnRenamed("fp", "fp1")
+    both = with_fingerprint(single, ["doc_id", "t1__", "t2__", "fp1"], FILTER_SHINGLE)
+    texts = scratch.keep(both.groupBy("t1__", "t2__", "fp1", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")), "texts")
+    nodes = texts.groupBy(F.col("fp1").alias("fp"), F.col("fp").alias("aux")).agg(F.count("*").alias("n")).select("fp", "aux")
+    nodes = scratch.keep(nodes.select(F.monotonically_increasing_id().alias("node"), "fp", "aux"), "nodes")
+    found = scratch.keep(components(links(nodes, radius, radius2, limit, scratch), scratch).withColumnRenamed("node", "member"), "components")
+    rooted = nodes.join(found, F.col("node") == F.col("member"), "left").select(F.col("fp").alias("x1"), F.col("aux").alias("x2"), F.coalesce("root", "node").alias("root"))
+    placed = scratch.keep(texts.join(rooted, (F.col("fp1") == F.col("x1")) & (F.col("fp") == F.col("x2"))).select("t1__", "t2__", "least", "root"), "placed")
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("null"), "least", "t1__", "t2__")).alias("f"), F.count("*").alias("texts")).where("texts > 1")
+    pairs = placed.join(first.select(F.col("root").alias("r"), F.col("f.t1__").alias("k1"), F.col("f.t2__").alias("k2")), F.col("root") == F.col("r")).where("t1__ <> k1 or t2__ <> k2").select(F.col("t1__").alias("m1"), F.col("t2__").alias("m2"), "k1", "k2")
+    pairs = scratch.keep(pairs, "pairs")
+    asked = pairs.select(F.col("m1").alias("w1"), F.col("m2").alias("w2")).union(pairs.select("k1", "k2")).distinct()
+    bodies = rows.select("t1__", "t2__", text_of().alias("body")).join(asked, (F.col("t1__") == F.col("w1")) & (F.col("t2__") == F.col("w2")), "left_semi").dropDuplicates(["t1__", "t2__"])
+    bodies = scratch.keep(bodies, "bodies")
+    with_text = pairs.join(bodies, (F.col("m1") == F.col("t1__")) & (F.col("m2") == F.col("t2__"))).select("m1", "m2", "k1", "k2", F.col("body").alias("member"))
+    with_text = with_text.join(bodies, (F.col("k1") == F.col("t1__")) & (F.col("k2") == F.col("t2__"))).select("m1", "m2", "member", "body")
+
+    def verify(batch: pa.RecordBatch) -> Iterator[dict]:
+        near_ = [similarity(a, b, shingle) >= least_similarity for a, b in zip(batch.column("member").to_pylist(), batch.column("body").to_pylist(), strict=True)]
+        at = np.flatnonzero(near_)
+        yield {"g1": batch.column("m1").to_numpy()[at], "g2": batch.column("m2").to_numpy()[at]}
+
+    gone = scratch.keep(arrow_map(with_text, verify, "g1 long, g2 long"), "gone")
+    stay = texts.join(gone, (F.col("t1__") == F.col("g1")) & (F.col("t2__") == F.col("g2")), "left_anti").select(F.col("t1__").alias("s1"), F.col("t2__").alias("s2"), F.col("least").alias("least__"))
+    stay = scratch.keep(stay, "stay")
+    out = rows.join(stay, (F.col("t1__") == F.col("s1")) & (F.col("t2__") == F.col("s2")) & F.col("doc_id").eqNullSafe(F.col("least__")))
+    if texts.where("n > greatest(ids, 1)").limit(1).count():  # some text stands twice under one doc_id
+        out = out.dropDuplicates(["t1__", "t2__", "doc_id"])
+    return out.select(*docs.columns)
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
