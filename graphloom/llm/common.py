@@ -91,6 +91,16 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
     return df.mapInArrow(run, schema)
 
 
+def worker_memo(name: str) -> dict:
+    """A dict that outlives the task: Python workers serve many tasks, and functions sent by value have no module of
+    their own to keep things in. It must be a cache only, bounded by its user; name tells its contents apart."""
+    import sys
+    import types
+
+    home = sys.modules.setdefault("graphloom_worker_memo", types.ModuleType("graphloom_worker_memo"))
+    return home.__dict__.setdefault(name, {})
+
+
 def cut(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about `limit` bytes each; a longer row stands alone."""
     n = batch.num_rows

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, arrow_map, cut, text_of
+from graphloom.llm.common import Scratch, arrow_map, cut, text_of, worker_memo
 
 MAGIC, BLOCK = b"GLWM0001", 512
 #: A shard closes at so many tokens; only a longer single document makes a larger one.
 SHARD_TOKENS = 1 << 21
 #: Entries of a worker's memo of words.
-MEMO = 400_000
+MEMO = 500_000
 END_ID = 1
 
 
@@ -151,7 +151,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     """Encode whole texts in ascending doc_id order (null first) into files folder/shard-PPPPP-SSSS.wm; (file, tokens) of each.
 
     A text splits at ASCII white space, which the tokenizer drops and never joins across, so every distinct word is
-    encoded once per worker; ids come from the tokenizers library alone. Null and empty texts have end_id only.
+    encoded once per worker (the memo is bounded); ids come from the tokenizers library alone. Null and empty texts have end_id only.
     Repeated doc_ids keep all their rows. Executors write the files under the attempt's own names and move them, so
     lost or repeated tasks leave whole files.
     """
@@ -172,8 +172,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
 
         encoder = Tokenizer.from_buffer(spec.value)
         encoder.encode_special_tokens = True
-        partition, seq, memo = TaskContext.get().partitionId(), 0, {}
-        ids_of = memo.get
+        partition, seq, memo = TaskContext.get().partitionId(), 0, worker_memo(f"wavelet-{zlib.crc32(spec.value)}")
         end = np.array([end_id], "<u4").tobytes()
         names, sizes, ids, tokens = [], [], [], 0
 
@@ -189,16 +188,15 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         for batch in batches:
             for part in cut(batch):
                 texts = [t.encode("utf-8", "surrogatepass").split() for t in part.column("text").to_pylist()]
-                new = list(set().union(*texts) - memo.keys())
-                if len(memo) + len(new) > MEMO:
-                    memo.clear()
-                    new = list(set().union(*texts))
+                # the first MEMO words stay; later ones, mostly rare, live as long as their batch
+                new, extra = [w for w in set().union(*texts) if w not in memo], {}
                 for at in range(0, len(new), 20_000):
                     some = new[at : at + 20_000]
+                    to = memo if len(memo) < MEMO else extra
                     for w, e in zip(some, encoder.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False), strict=True):
-                        memo[w] = np.array(e.ids, "<u4").tobytes()
+                        to[w] = np.array(e.ids, "<u4").tobytes()
                 for name, words in zip(part.column("doc_id").to_pylist(), texts, strict=True):
-                    blob = b"".join(map(ids_of, words)) + end
+                    blob = b"".join([memo[w] if w in memo else extra[w] for w in words] if extra else map(memo.__getitem__, words)) + end
                     n = len(blob) // 4
                     if tokens and tokens + n > shard_tokens:
                         yield flush()
