@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, arrow_map, cut, text_of
+from graphloom.llm.common import Scratch, arrow_map, cut, text_of, worker_memo
 
 #: The most frequent words that get a place in the broadcast dictionary (documented bound), and its bytes.
 DICTIONARY_WORDS, DICTIONARY_BYTES = 300_000, 48 << 20
@@ -210,13 +210,13 @@ class Codec:
     def encode(self, docs: DataFrame, keep: list[str], dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
         """`keep` columns and ids (binary: little-endian unsigned 32-bit) of every row's whole text; null or empty: none."""
         known = self.spark.sparkContext.broadcast(self.dictionary(docs, dictionary_words))
-        pattern, table, memo_size = self.pattern, self.bytes_, MEMO
+        pattern, table, memo_size, mark = self.pattern, self.bytes_, MEMO, hash((self.pattern, frozenset(self.ranks.items())))
         kept = docs.select(*keep, text_of().alias("text__"))
         fields = {f.name: f.dataType.simpleString() for f in kept.schema.fields if f.name != "text__"}
         spec = ", ".join(f"`{k}` {v}" for k, v in fields.items())
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, ids_of, memo = Words(pattern), known.value, {}
+            words, ids_of, memo = Words(pattern), known.value, worker_memo(f"bpe-{mark}")
 
             def encode(text: str) -> tuple[bytes, list[list[int]]]:
                 rare: dict[str, int] = {}
@@ -239,9 +239,7 @@ class Codec:
                     ids = memo.get(chunk)
                     if ids is None:
                         ids, full = spelled(" " + chunk)
-                        if full:
-                            if len(memo) >= memo_size:
-                                memo.clear()
+                        if full and len(memo) < memo_size:
                             memo[chunk] = ids
                     out.append(ids)
                 return b"".join(out), list(rare)
