@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -40,56 +40,79 @@ class Pieces:
     logp: dict[str, float]
     bytes_: tuple[float, ...]
     end: float
-    longest: int
+    cache: list = field(default_factory=list, compare=False)
 
     def plain(self) -> tuple:
         """The fields, for a broadcast (which pickles by reference)."""
-        return self.logp, self.bytes_, self.end, self.longest
-
-    def edges(self, word: str) -> tuple[str, list[list[tuple[int, float, str | None]]]]:
-        """For each end position, the pieces that end there: (start, log probability, piece; None: the character's bytes)."""
-        s, get, longest = START + word, self.logp.get, self.longest
-        found: list[list[tuple[int, float, str | None]]] = [[]]
-        for j in range(1, len(s) + 1):
-            at = [(i, p, s[i:j]) for i in range(max(0, j - longest), j) if (p := get(s[i:j])) is not None]
-            at.append((j - 1, sum(self.bytes_[b] for b in s[j - 1].encode("utf-8", "surrogatepass")), None))
-            found.append(at)
-        return s, found
+        return self.logp, self.bytes_, self.end
+
+    def lattice(self, word: str) -> tuple[list[float], list[list[tuple[int, float, str | None]]]]:
+        """Forward log sums by position of START + word, and the arcs by start: (end, log probability, piece; None: the
+        character's bytes). Arcs lengthen only while some piece goes on."""
+        prefixes, chars = self.steps()
+        s = START + word
+        n = len(s)
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        into[0].append(0.0)
+        alpha, arcs = [], []
+        for i in range(n):
+            a = log_sum(into[i])
+            alpha.append(a)
+            c = s[i]
+            p = chars.get(c)
+            if p is None:
+                p = chars[c] = sum(self.bytes_[b] for b in c.encode("utf-8", "surrogatepass"))
+            into[i + 1].append(a + p)
+            out: list[tuple[int, float, str | None]] = [(i + 1, p, None)]
+            for j in range(i + 1, n + 1):
+                piece = s[i:j]
+                p = prefixes.get(piece)
+                if p is None:
+                    break
+                if p <= 0:
+                    into[j].append(a + p)
+                    out.append((j, p, piece))
+            arcs.append(out)
+        alpha.append(log_sum(into[n]))
+        return alpha, arcs
+
+    def steps(self) -> tuple[dict[str, float], dict[str, float]]:
+        """Log probabilities of pieces, 1.0 for what only begins some; and of characters spelled in bytes, as met."""
+        if not self.cache:
+            prefixes = {p[:i]: 1.0 for p in self.logp for i in range(1, len(p))}
+            self.cache.append((prefixes | self.logp, {}))
+        return self.cache[0]
 
     def score(self, word: str) -> float:
         """Log probability of a word: all segmentations of START + word."""
-        alpha = [0.0]
-        _, edges = self.edges(word)
-        for at in edges[1:]:
-            terms = [alpha[i] + p for i, p, _ in at]
-            top = max(terms)
-            alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)) if len(terms) > 1 else top)
-        return alpha[-1]
+        return self.lattice(word)[0][-1]
 
     def expect(self, word: str, weight: float, pieces: dict[str, float], bytes_: list[float]) -> None:
         """Add the expected uses of each piece in `weight` occurrences of the word."""
-        s, edges = self.edges(word)
-        n, alpha = len(s), [0.0]
-        for at in edges[1:]:
-            terms = [alpha[i] + p for i, p, _ in at]
-            top = max(terms)
-            alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
-        beta, total = [-math.inf] * n + [0.0], alpha[-1]
-        for j in range(n, 0, -1):
-            for i, p, piece in edges[j]:
-                b = p + beta[j]
-                x = beta[i]
-                beta[i] = b if x == -math.inf else (x + math.log1p(math.exp(b - x)) if x >= b else b + math.log1p(math.exp(x - b)))
-                use = alpha[i] + b - total
-                if use > -20:
-                    gain = weight * math.exp(use)
+        alpha, arcs = self.lattice(word)
+        n, total, exp = len(arcs), alpha[-1], math.exp
+        beta = [0.0] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            ahead = [p + beta[j] for j, p, _ in arcs[i]]
+            beta[i] = log_sum(ahead)
+            rest = alpha[i] - total
+            for (_, _, piece), b in zip(arcs[i], ahead, strict=True):
+                if (use := rest + b) > -20:
+                    gain = weight * exp(use)
                     if piece is None:
-                        for c in s[j - 1].encode("utf-8", "surrogatepass"):
+                        for c in (START + word)[i].encode("utf-8", "surrogatepass"):
                             bytes_[c] += gain
                     else:
                         pieces[piece] = pieces.get(piece, 0.0) + gain
 
 
+def log_sum(terms: list[float]) -> float:
+    if len(terms) == 1:
+        return terms[0]
+    top = max(terms)
+    return top + math.log(sum([math.exp(t - top) for t in terms]))
+
+
 def vocabulary(path: str) -> dict[str, float]:
     """Pieces and weights from a vocabulary's scores. Scores that fall by one a rank, as merge orders do, weigh 1 / (1 - score);
     true log probabilities (none under -100) weigh exp(score)."""
@@ -108,7 +131,7 @@ def settle(weights: dict[str, float], pieces: dict[str, float], bytes_: list[flo
     counts = {p: w * scale + pieces.get(p, 0.0) for p, w in weights.items()}
     raw = [0.01 * mass / 256 + b for b in bytes_]
     total = sum(counts.values()) + sum(raw) + ends + 1
-    return Pieces({p: math.log(c / total) for p, c in counts.items()}, tuple(math.log(b / total) for b in raw), math.log((ends + 1) / total), max(map(len, counts), default=1))
+    return Pieces({p: math.log(c / total) for p, c in counts.items()}, tuple(math.log(b / total) for b in raw), math.log((ends + 1) / total))
 
 
 def blocks(docs: DataFrame, train: Column) -> DataFrame:
