@@ -45,18 +45,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int
     return leveled.select("source", "source_size", F.least(F.col("full").cast("double"), F.max("level").over(everything) * F.col("weight")).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE, seeds: int = SEEDS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, rate, copies, and the columns of `carry`.
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE, seeds: int = SEEDS, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, rate, copies, and with `carry` its row as the struct row__.
 
     size counts words (null text: 0). copies is floor(rate) plus 1 where the row's draw is under the rate's
     fraction; rate is target / source_size, 0 where the source holds no word. Equal (doc_id, size) draw alike, so
     reruns and repeated rows agree. A null source is a source; an empty table gives an empty plan.
-    Other columns of docs, whatever their names, are not read. `copies` <= max_rate always.
+    Other columns of docs, whatever their names, are not looked at. `copies` <= max_rate always.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"))
-    sizes = docs.select("doc_id", F.col("source").cast("string").alias("source"), *(c for c in carry if c not in ("doc_id", "source")), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+    sizes = docs.select("doc_id", F.col("source").cast("string").alias("source"), *([F.struct("*").alias("row__")] if carry else []), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
     if not carry:
         sizes = scratch.keep(sizes, "sizes")
     goal = scratch.keep(targets(sizes.select("source", "size"), weights, max_rate).coalesce(1), "targets")
@@ -79,9 +79,8 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as many times as its plan says; columns as in docs."""
-    cols = docs.columns
-    plan = mix_plan(docs, carry=tuple(c for c in cols), **options)
-    return plan.where("copies > 0").withColumn("copy__", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*cols)
+    plan = mix_plan(docs, carry=True, **options).where("copies > 0")
+    return plan.select("row__", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row__.*")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
