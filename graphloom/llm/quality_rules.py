@@ -35,15 +35,15 @@ RULES: dict[str, str] = {
 }
 #: Fixed cutoffs, lenient to strict, one column per rule in the order above.
 LADDER: tuple[tuple[float, ...], ...] = (
-    (1.50, 0.50, 0.80, 0.80, 0.90, 40.0),
-    (1.00, 0.45, 0.60, 0.70, 0.70, 30.0),
-    (0.70, 0.40, 0.50, 0.60, 0.60, 25.0),
-    (0.50, 0.35, 0.40, 0.55, 0.50, 20.0),
-    (0.40, 0.30, 0.30, 0.50, 0.40, 18.0),
-    (0.30, 0.25, 0.20, 0.45, 0.30, 16.0),
-    (0.20, 0.22, 0.15, 0.40, 0.25, 15.0),
-    (0.15, 0.20, 0.10, 0.35, 0.20, 14.0),
-    (0.10, 0.18, 0.08, 0.30, 0.15, 13.0),
+    (1.50, 0.50, 0.80, 0.90, 0.90, 40.0),
+    (1.00, 0.49, 0.60, 0.85, 0.70, 30.0),
+    (0.70, 0.48, 0.50, 0.80, 0.60, 25.0),
+    (0.50, 0.47, 0.40, 0.80, 0.50, 20.0),
+    (0.40, 0.46, 0.30, 0.75, 0.40, 18.0),
+    (0.30, 0.45, 0.20, 0.70, 0.30, 16.0),
+    (0.20, 0.44, 0.15, 0.70, 0.25, 15.0),
+    (0.15, 0.42, 0.10, 0.65, 0.20, 14.0),
+    (0.10, 0.40, 0.08, 0.60, 0.15, 13.0),
 )
 
 
