@@ -72,10 +72,10 @@ def fraction_crc32(col: Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("null")).cast("binary")), F.lit(mod)).cast("int")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, limit: int = 4 << 20) -> DataFrame:
     """mapInArrow with fn from a batch to column dicts, in batches of bounded bytes.
 
-    Long texts make row-counted batches large; they are cut again to about 4 MB here.
+    Long texts make row-counted batches large; they are cut again to about `limit` bytes here.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -84,7 +84,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cut(batch):
+            for part in cut(batch, limit):
                 for made in fn(part):
                     yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
 

@@ -23,8 +23,9 @@ from graphloom.llm.common import Scratch, arrow_map, text_of
 from graphloom.llm.suffix_array import repeated_starts
 
 LENGTH, GRAM = 200, 48
-#: Bytes of cut-outs that one suffix array is built over.
-SHARD_BYTES = 6 << 20
+#: Bytes of cut-outs that one suffix array is built over (it takes about 100 times that in memory), and of texts whose
+#: runs are found at once.
+SHARD_BYTES, RUN_BYTES = 2 << 20, 1 << 20
 MULTIPLIER, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -111,7 +112,7 @@ def cut_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
         lo = begin - np.concatenate([[0], ends[:-1]])[doc] if len(doc) else begin
         yield {"key": key, "h": h, "t1": batch.column("t1").to_numpy()[doc], "t2": batch.column("t2").to_numpy()[doc], "lo": lo.astype(np.int32), "starts": count.astype(np.int32), "n": n, "weight": n * seen}
 
-    return arrow_map(texts.select("text", "t1", "t2", "n"), run, "key long, h long, t1 long, t2 long, lo int, starts int, n long, weight long")
+    return arrow_map(texts.select("text", "t1", "t2", "n"), run, "key long, h long, t1 long, t2 long, lo int, starts int, n long, weight long", RUN_BYTES)
 
 
 def mark_shards(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
