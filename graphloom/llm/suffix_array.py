@@ -17,8 +17,8 @@ ALPHABET = 1024
 def s_types(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next; the last, a unique least sentinel, is."""
     n = len(t)
-    step = np.sign(t[1:].astype(np.int64) - t[:-1])
-    at = np.where(step != 0, np.arange(n - 1), n)
+    step = (t[1:] > t[:-1]).astype(np.int8) - (t[1:] < t[:-1])
+    at = np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n))
     following = np.minimum.accumulate(at[::-1])[::-1]  # the next change; before the sentinel there always is one
     return np.append(step[following] > 0, True)
 
@@ -26,7 +26,7 @@ def s_types(t: np.ndarray) -> np.ndarray:
 def induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
     """The suffix array induced from LMS positions, given in order within each bucket."""
     n = len(t)
-    sa = np.empty(n, np.int64)
+    sa = np.empty(n, np.int32)
     sizes = np.bincount(t, minlength=k)
     start = np.concatenate([[0], np.cumsum(sizes)])
     heads = t[lms]
@@ -80,7 +80,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     sa = induce(t, smaller, lms, k)
     order = sa[is_lms[sa]]
     # name LMS substrings: equal neighbours (length and symbols up to the next LMS position) share a name
-    size = np.zeros(n, np.int64)
+    size = np.zeros(n, np.int32)
     size[lms] = np.append(np.diff(lms) + 1, 1)
     a, b = order[:-1], order[1:]
     same = size[a] == size[b]
@@ -91,7 +91,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
         equal = t[a[left] + offset] == t[b[left] + offset]
         same[left[~equal]] = False
         left, offset = left[equal], offset + 1
-    names = np.zeros(n, np.int64)
+    names = np.zeros(n, np.int32)
     names[order] = np.concatenate([[0], np.cumsum(~same)])
     reduced, kinds = names[lms], int(names[order[-1]]) + 1
     if kinds == len(lms):
@@ -102,7 +102,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     while (base := int(np.ceil(kinds ** (1 / digits))) + 1) > ALPHABET:
         digits += 1
     # each name in `digits` digits from 1 on, and a sentinel after them all
-    spelled = np.empty((len(reduced), digits), np.int64)
+    spelled = np.empty((len(reduced), digits), np.uint16)
     rest = reduced.copy()
     for d in range(digits - 1, -1, -1):
         spelled[:, d] = rest % base + 1
@@ -118,16 +118,16 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.nd
     data: the text's bytes; sa: of the same positions (no sentinel).
     """
     n = len(data)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     irreducible = (phi <= 0) | (at == 0)
     inner = np.flatnonzero(~irreducible)
     irreducible[inner] = data[inner - 1] != data[phi[inner] - 1]
     heads = np.flatnonzero(irreducible)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (n + 1, 8), (1, 1)).copy().view(np.uint64).reshape(-1)
-    length = np.zeros(n, np.int64)
+    length = np.zeros(n, np.int32)
     live = heads[phi[heads] >= 0]
     while len(live):
         a, b = live + length[live], phi[live] + length[live]
@@ -135,7 +135,7 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.nd
         a, b = np.minimum(a, n), np.minimum(b, n)
         differ = words[a] ^ words[b]
         # equal low bytes of a little-endian word: trailing zero bits / 8
-        low = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) // 8).astype(np.int64)
+        low = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) // 8).astype(np.int32)
         gain = np.minimum(low, room)
         length[live] += gain
         live = live[gain == 8]
@@ -150,8 +150,7 @@ def repeated_starts(pieces: list[bytes], length: int, separator: int = 0xFF) ->
     """
     text = bytes([separator]).join(pieces) + bytes([separator])
     data = np.frombuffer(text, np.uint8)
-    symbols = np.append(data.astype(np.int64) + 1, 0)
-    sa = suffix_array(symbols, 257)[1:]
+    sa = suffix_array(np.append(data.astype(np.uint16) + 1, 0), 257)[1:]
     phi, plcp = common_prefixes(data, sa)
     twice = plcp >= length
     twice[phi[twice]] = True
