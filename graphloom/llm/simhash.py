@@ -16,10 +16,10 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, arrow_map, text_of
+from graphloom.llm.common import Scratch, arrow_map, text_of, worker_memo
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Fingerprints compared within one bucket before it is covered a second time.
@@ -204,9 +204,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return rows.join(by_fp, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
 
 
-#: Near copies of the pipeline: five-word shingles, a similarity of 0.8 or more. Their word fingerprints differ by a few
-#: bits, which the covering finds; a fingerprint of three-word shingles keeps texts that only share their words apart.
-NEAR_WORDS, SIMILARITY, WORD_RADIUS, FILTER_SHINGLE, FILTER_RADIUS = 5, 0.8, 4, 3, 14
+#: Near copies of the pipeline: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
+NEAR_WORDS, SIMILARITY = 5, 0.8
+#: Shingles that stand last in all texts' order: at most so many, each in this many or more of a share of the texts. The
+#: order decides only how many candidates there are.
+COMMON, COMMON_LEAST, COMMON_SHARE = 50_000, 4, 8
+#: 64-bit words of a text's bitmap.
+MAP_WORDS = 8
+#: Odd multipliers, one per word of a shingle, repeated for longer shingles with a shift.
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+MEMO_WORDS = 1 << 20
 
 
 def similarity(a: str, b: str, shingle: int = NEAR_WORDS) -> float:
@@ -220,44 +227,152 @@ def similarity(a: str, b: str, shingle: int = NEAR_WORDS) -> float:
     return len(x & y) / len(x | y)
 
 
-def drop_near_duplicates(docs: DataFrame, least_similarity: float = SIMILARITY, shingle: int = NEAR_WORDS, radius: int = WORD_RADIUS, radius2: int = FILTER_RADIUS, limit: int = LIMIT) -> DataFrame:
-    """docs without near copies: of each group the row with the least doc_id stays; columns as in docs.
+def shingle_set(text: str, shingle: int, memo: dict) -> np.ndarray:
+    """Ascending 64-bit hashes of the set of word shingles that `similarity` compares; memo: hashes of words."""
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    if len(memo) > MEMO_WORDS:
+        memo.clear()
+    for w in words:
+        if w not in memo:
+            memo[w] = xxhash.xxh64_intdigest(w)
+    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    n = len(h) - shingle + 1
+    out = np.zeros(n, np.uint64)
+    for i in range(shingle):
+        out += h[i : i + n] * np.uint64((MIX[i % len(MIX)] + 2 * (i // len(MIX))) % 2**64)
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(out ^ (out >> np.uint64(29)))
+
+
+def prefix_size(n: int, least_similarity: float) -> int:
+    """Of a set of n: so many of its first elements, in an order common to all sets, meet those of every similar set."""
+    return n - int(np.ceil(least_similarity * n - 1e-9)) + 1
+
+
+def shingle_prefixes(texts: DataFrame, least_similarity: float, shingle: int, common: np.ndarray) -> DataFrame:
+    """id, n (shingles), w0... (a bitmap of them) and prefix per row of texts (id, text); shingles in `common`
+    (ascending) stand last in the order."""
+
+    def per_batch(batch: pa.RecordBatch) -> Iterator[dict]:
+        memo, sizes, maps, firsts = worker_memo("near-words"), [], [], []
+        for text in batch.column("text").to_pylist():
+            s = shingle_set(text, shingle, memo)
+            bits = np.zeros(64 * MAP_WORDS, np.uint8)
+            bits[(s % np.uint64(64 * MAP_WORDS)).astype(np.int64)] = 1
+            maps.append(np.packbits(bits, bitorder="little").view(np.int64))
+            sizes.append(len(s))
+            if len(common):
+                last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+                s = np.concatenate([s[~last], s[last]])
+            firsts.append(s[: prefix_size(len(s), least_similarity)].view(np.int64))
+        yield {"id": batch.column("id"), "n": sizes, "prefix": firsts} | {f"w{i}": np.array([m[i] for m in maps], np.int64) for i in range(MAP_WORDS)}
+
+    return arrow_map(texts.select("id", "text"), per_batch, ", ".join(["id long", "n long", *(f"w{i} long" for i in range(MAP_WORDS)), "prefix array<long>"]))
+
+
+def common_shingles(texts: DataFrame, least_similarity: float, shingle: int, scratch: Scratch) -> np.ndarray:
+    """The most frequent shingles, ascending: those whose count, in a share of the texts, reaches the least power of two
+    that COMMON or fewer reach."""
+    seen = shingle_prefixes(texts.where(F.pmod(F.xxhash64("t1__", "t2__"), F.lit(COMMON_SHARE)) == 0), least_similarity, shingle, np.zeros(0, np.uint64))
+    seen = seen.select(F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON_LEAST)
+    seen = scratch.keep(seen.withColumn("size", F.floor(F.log2("c")).cast("int")), "common")
+    total, least = 0, None
+    for r in sorted(seen.groupBy("size").agg(F.count("*").alias("n")).collect(), reverse=True):
+        total += r["n"]
+        if total > COMMON:
+            break
+        least = r["size"]
+    if least is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(np.array([r["tok"] for r in seen.where(F.col("size") >= least).select("tok").collect()], np.int64).view(np.uint64))
 
-    Groups are components of texts whose one-word SimHashes lie within radius and three-word ones within radius2. Copies
-    of a text go; another text goes only if its similarity to its group's first text, exact over whole texts, is least_similarity or
-    more. Null counts as the empty text; all empty texts are copies. Wholly repeated (doc_id, text) rows leave one row.
-    Column names t1__, t2__ and least__ must be free.
-    """
-    scratch = Scratch(docs.sparkSession, "near")
-    rows = docs.withColumns({"t1__": F.xxhash64(text_of()), "t2__": F.xxhash64(text_of(), F.lit(1))})
-    single = with_fingerprint(rows, ["doc_id", "t1__", "t2__", "text"], 1).withColumnRenamed("fp", "fp1")
-    both = with_fingerprint(single, ["doc_id", "t1__", "t2__", "fp1"], FILTER_SHINGLE)
-    texts = scratch.keep(both.groupBy("t1__", "t2__", "fp1", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")), "texts")
-    nodes = texts.groupBy(F.col("fp1").alias("fp"), F.col("fp").alias("aux")).agg(F.count("*").alias("n")).select("fp", "aux")
-    nodes = scratch.keep(nodes.select(F.monotonically_increasing_id().alias("node"), "fp", "aux"), "nodes")
-    found = scratch.keep(components(links(nodes, radius, radius2, limit, scratch), scratch).withColumnRenamed("node", "member"), "components")
-    rooted = nodes.join(found, F.col("node") == F.col("member"), "left").select(F.col("fp").alias("x1"), F.col("aux").alias("x2"), F.coalesce("root", "node").alias("root"))
-    placed = scratch.keep(texts.join(rooted, (F.col("fp1") == F.col("x1")) & (F.col("fp") == F.col("x2"))).select("t1__", "t2__", "least", "root"), "placed")
-    first = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("null"), "least", "t1__", "t2__")).alias("f"), F.count("*").alias("texts")).where("texts > 1")
-    pairs = placed.join(first.select(F.col("root").alias("r"), F.col("f.t1__").alias("k1"), F.col("f.t2__").alias("k2")), F.col("root") == F.col("r")).where("t1__ <> k1 or t2__ <> k2").select(F.col("t1__").alias("m1"), F.col("t2__").alias("m2"), "k1", "k2")
-    pairs = scratch.keep(pairs, "pairs")
-    asked = pairs.select(F.col("m1").alias("w1"), F.col("m2").alias("w2")).union(pairs.select("k1", "k2")).distinct()
-    bodies = rows.select("t1__", "t2__", text_of().alias("body")).join(asked, (F.col("t1__") == F.col("w1")) & (F.col("t2__") == F.col("w2")), "left_semi").dropDuplicates(["t1__", "t2__"])
-    bodies = scratch.keep(bodies, "bodies")
-    with_text = pairs.join(bodies, (F.col("m1") == F.col("t1__")) & (F.col("m2") == F.col("t2__"))).select("m1", "m2", "k1", "k2", F.col("body").alias("member"))
-    with_text = with_text.join(bodies, (F.col("k1") == F.col("t1__")) & (F.col("k2") == F.col("t2__"))).select("m1", "m2", "member", "body")
+
+def similar_pairs(x: DataFrame, y: DataFrame, least_similarity: float, also: Column) -> DataFrame:
+    """Distinct (a, b) of ids of x and y (aliased so: tok, id, n, w0...) with a tok in common whose sizes and bitmaps
+    allow the similarity. No similar pair is lost: sets differ by at least as many elements as their bitmaps by bits."""
+    n, m = F.col("x.n"), F.col("y.n")
+    apart = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(1, MAP_WORDS)), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
+    can = (F.least(n, m) >= least_similarity * F.greatest(n, m) - 1e-6) & (apart <= (1 - least_similarity) / (1 + least_similarity) * (n + m) + 1e-6)
+    return x.join(y, (F.col("x.tok") == F.col("y.tok")) & also & can).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least_similarity: float, shingle: int, scratch: Scratch, name: str) -> DataFrame:
+    """The written pairs (a, b) of ids whose texts are similar, by exact comparison."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    bodies = scratch.keep(texts.join(asked, F.col("id") == F.col("w"), "left_semi").select("id", F.col("text").alias("body")), f"bodies-{name}")
+    both = pairs.join(bodies, F.col("a") == F.col("id")).select("a", "b", F.col("body").alias("one"))
+    both = both.join(bodies, F.col("b") == F.col("id")).select("a", "b", "one", "body")
 
     def verify(batch: pa.RecordBatch) -> Iterator[dict]:
-        near_ = [similarity(a, b, shingle) >= least_similarity for a, b in zip(batch.column("member").to_pylist(), batch.column("body").to_pylist(), strict=True)]
+        near_ = [similarity(x, y, shingle) >= least_similarity for x, y in zip(batch.column("one").to_pylist(), batch.column("body").to_pylist(), strict=True)]
         at = np.flatnonzero(near_)
-        yield {"g1": batch.column("m1").to_numpy()[at], "g2": batch.column("m2").to_numpy()[at]}
+        yield {"a": batch.column("a").to_numpy()[at], "b": batch.column("b").to_numpy()[at]}
+
+    return scratch.keep(arrow_map(both, verify, "a long, b long"), f"links-{name}")
+
+
+def similar_groups(texts: DataFrame, least_similarity: float, shingle: int, scratch: Scratch) -> DataFrame:
+    """(node, root) of every text (id, t1__, t2__, text) that is similar to another: the components of all similar pairs.
 
-    gone = scratch.keep(arrow_map(with_text, verify, "g1 long, g2 long"), "gone")
+    Prefix filter: in any order common to all sets, similar sets share one of their first elements, so every similar
+    pair stands under a common shingle. First each text is compared with one text per shingle, the one that has most in
+    common with others; then all pairs under a shingle that this has left in different components.
+    """
+    common = common_shingles(texts, least_similarity, shingle, scratch)
+    scratch.drop("common")
+    sets = scratch.keep(shingle_prefixes(texts, least_similarity, shingle, common), "sets")
+    entries = sets.select("id", F.explode("prefix").alias("tok"))
+    shared = scratch.keep(entries.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    entries = scratch.keep(entries.join(shared.withColumnRenamed("tok", "t"), F.col("tok") == F.col("t")).select("tok", "id", "c"), "entries")
+    weight = entries.groupBy(F.col("id").alias("i")).agg(F.sum("c").alias("weight"))
+    about = scratch.keep(sets.drop("prefix").withColumnRenamed("id", "i2").join(weight, F.col("i2") == F.col("i")).drop("i"), "about")
+    members = scratch.keep(entries.select("tok", "id").join(about, F.col("id") == F.col("i2")).drop("i2"), "members")
+    scratch.drop("sets", "shared", "entries", "about")
+    cols = ["id", "n", *(f"w{i}" for i in range(MAP_WORDS))]
+    centres = members.groupBy("tok").agg(F.max(F.struct("weight", *cols)).alias("m")).select("tok", *(f"m.{c}" for c in cols))
+    star = scratch.keep(similar_pairs(members.alias("x"), centres.alias("y"), least_similarity, F.col("x.id") != F.col("y.id")), "pairs-star")
+    links1 = verified(star, texts, least_similarity, shingle, scratch, "star")
+    scratch.drop("bodies-star")
+    found = scratch.keep(components(links1, Scratch(texts.sparkSession, "near-star")), "star-components")
+    placed = scratch.keep(members.join(found, F.col("id") == F.col("node"), "left").select("tok", *cols, F.coalesce("root", "id").alias("root")), "placed")
+    mixed = placed.groupBy(F.col("tok").alias("t")).agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other")
+    open_ = scratch.keep(placed.join(mixed, F.col("tok") == F.col("t"), "left_semi"), "open")
+    scratch.drop("members", "placed")
+    rest = similar_pairs(open_.alias("x"), open_.alias("y"), least_similarity, (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
+    rest = scratch.keep(rest.join(star, ["a", "b"], "left_anti"), "pairs-rest")
+    links2 = verified(rest, texts, least_similarity, shingle, scratch, "rest")
+    scratch.drop("bodies-rest", "open", "pairs-star", "pairs-rest")
+    return components(links1.union(links2), Scratch(texts.sparkSession, "near-all"))
+
+
+def drop_near_duplicates(docs: DataFrame, least_similarity: float = SIMILARITY, shingle: int = NEAR_WORDS) -> DataFrame:
+    """docs without near copies: of each group the row with the least doc_id stays; columns as in docs.
+
+    Groups are the components of all pairs of texts with a similarity of least_similarity or more, found by a prefix
+    filter that misses none and compared exactly over whole texts. Null counts as the empty text; all empty texts are
+    copies. Wholly repeated (doc_id, text) rows leave one row. Column names t1__, t2__ and least__ must be free.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = docs.withColumns({"t1__": F.xxhash64(text_of()), "t2__": F.xxhash64(text_of(), F.lit(1))})
+    texts = scratch.keep(rows.groupBy("t1__", "t2__").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")), "texts")
+    bodies = rows.select("t1__", "t2__", text_of().alias("text")).dropDuplicates(["t1__", "t2__"])
+    bodies = scratch.keep(bodies.withColumn("id", F.monotonically_increasing_id()), "bodies")
+    found = scratch.keep(similar_groups(bodies, least_similarity, shingle, scratch), "components")
+    placed = bodies.select("id", F.col("t1__").alias("k1"), F.col("t2__").alias("k2")).join(found, F.col("id") == F.col("node")).select("k1", "k2", "root")
+    placed = scratch.keep(placed.join(texts, (F.col("k1") == F.col("t1__")) & (F.col("k2") == F.col("t2__"))).select("t1__", "t2__", "least", "root"), "placed-texts")
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("null"), "least", "t1__", "t2__")).alias("f"))
+    gone = placed.join(first.select(F.col("root").alias("r"), F.col("f.t1__").alias("k1"), F.col("f.t2__").alias("k2")), F.col("root") == F.col("r")).where("t1__ <> k1 or t2__ <> k2").select(F.col("t1__").alias("g1"), F.col("t2__").alias("g2"))
+    gone = scratch.keep(gone, "gone")
     stay = texts.join(gone, (F.col("t1__") == F.col("g1")) & (F.col("t2__") == F.col("g2")), "left_anti").select(F.col("t1__").alias("s1"), F.col("t2__").alias("s2"), F.col("least").alias("least__"))
     stay = scratch.keep(stay, "stay")
     out = rows.join(stay, (F.col("t1__") == F.col("s1")) & (F.col("t2__") == F.col("s2")) & F.col("doc_id").eqNullSafe(F.col("least__")))
     if texts.where("n > greatest(ids, 1)").limit(1).count():  # some text stands twice under one doc_id
         out = out.dropDuplicates(["t1__", "t2__", "doc_id"])
+    scratch.drop("texts", "bodies", "components", "placed-texts", "gone", "star-components", "links-star", "links-rest")
     return out.select(*docs.columns)
 
 

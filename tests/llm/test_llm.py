@@ -163,6 +163,39 @@ def test_drop_near_duplicates(spark, docs, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(docs).columns == docs.columns
 
 
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(2000)]
+    made = [[rng.choice(words) for _ in range(n)] for n in (3, 5, 6, 70, 90, 120, 160, 240, 400, 700) for _ in range(3)]
+
+    def replaced(t, share):
+        at = set(rng.sample(range(len(t)), max(1, int(len(t) * share))))
+        return [rng.choice(words) if i in at else w for i, w in enumerate(t)]
+
+    out = [*made]
+    for t in made:
+        out += [t + [rng.choice(words) for _ in range(len(t) // k)] for k in (5, 4, 6)]
+        out += [t[: int(len(t) * x)] for x in (0.84, 0.8, 0.79)] + [t[len(t) // 8 :]]
+        out += [replaced(t, x) for x in (0.01, 0.018, 0.02, 0.03)]
+    rng.shuffle(out)
+    sets = [set(zip(*(t[i:] for i in range(5)))) or {tuple(t)} for t in out]
+    root = list(range(len(out)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(out)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = [i for i in range(len(out)) if find(i) == i]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(out)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == want
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for trial in range(120):
