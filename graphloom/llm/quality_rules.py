@@ -11,18 +11,17 @@ stratum with too few good labelled documents gets no cutoffs and rejects nothing
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, small
+from graphloom.llm.common import Scratch, arrow_map, small
 from graphloom.llm.doc_stats import STATS, with_stats
 
 MIN_WORDS = 50
 RISK, DELTA = 0.05, 0.05
-#: Strata beyond so many are not tested apart but share one (the least frequent ones).
-MAX_STRATA = 64
 
 #: The statistics under rule, each rejecting above its cutoff.
 RULES: dict[str, str] = {
@@ -67,15 +66,6 @@ def upper_bound(k: int, n: int, alpha: float) -> float:
     return high
 
 
-@dataclass(frozen=True)
-class Calibration:
-    """steps: how far each stratum's ladder holds (number of certified steps); seen: good documents, and those rejected at each step."""
-
-    steps: dict
-    seen: dict
-    level: float
-
-
 def steps_held(counts: list[int], n: int, risk: float, alpha: float) -> int:
     """Certified steps, walking from the lenient end; counts[i]: good documents rejected at step i, of n."""
     held = 0
@@ -101,27 +91,25 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def calibrate(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, ladder=LADDER) -> Calibration:
-    """Cutoffs per stratum from all labelled documents. stats: doc_id, stratum, STATS (one row per document).
+def calibrate(stats: DataFrame, labels: DataFrame, scratch: Scratch, risk: float = RISK, delta: float = DELTA, ladder=LADDER) -> DataFrame:
+    """Cutoffs per stratum from all labelled documents: stratum, held (number of certified steps of the ladder), of every
+    stratum with a good labelled document. stats: doc_id, stratum, STATS (one row per document).
 
-    Good: a label 1, also beside a label 0 for the same doc_id. Counts are summed by (stratum, step) on the executors;
-    the driver sees at most MAX_STRATA * (len(ladder) + 1) rows.
+    Good: a label 1, also beside a label 0 for the same doc_id. Counts are summed by (stratum, step), and the ladders
+    walked, on the executors; the driver sees the number of strata only.
     """
     marks = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1")
     good = stats.where(~base_failed()).select("doc_id", F.coalesce("stratum", F.lit("")).alias("stratum"), first_step(ladder).alias("step")).join(marks, "doc_id", "left_semi")
-    per = good.groupBy("stratum", "step").agg(F.count("*").alias("n"))
-    by = per.groupBy("stratum").agg(F.sum("n").alias("good"), F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("at"))
-    rows = by.orderBy(F.desc("good"), "stratum").limit(MAX_STRATA).collect()
-    level = delta / max(len(rows), 1)
-    steps, seen = {}, {}
-    for r in rows:
-        counts, total = [], 0
-        for i in range(len(ladder)):
-            total += r["at"].get(i, 0)
-            counts.append(total)
-        seen[r["stratum"]] = (r["good"], counts)
-        steps[r["stratum"]] = steps_held(counts, r["good"], risk, level)
-    return Calibration(steps, seen, level)
+    upto = [F.sum(F.when(F.col("step") <= i, F.col("n")).otherwise(0)) for i in range(len(ladder))]
+    by = good.groupBy("stratum", "step").agg(F.count("*").alias("n")).groupBy("stratum").agg(F.sum("n").alias("good"), F.array(*upto).alias("counts"))
+    by = scratch.keep(by, "counts")
+    level = delta / max(by.count(), 1)
+
+    def walk(batch: pa.RecordBatch) -> Iterator[dict]:
+        seen = zip(batch.column("counts").to_pylist(), batch.column("good").to_pylist(), strict=True)
+        yield {"stratum": batch.column("stratum"), "held": [steps_held(counts, n, risk, level) for counts, n in seen]}
+
+    return scratch.keep(arrow_map(by, walk, "stratum string, held int"), "held")
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
@@ -132,12 +120,11 @@ def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", keep: tu
     docs beside `keep` and the stratum are not read; `keep` must not clash with STATS.
     """
     stats = with_stats(docs.withColumn("stratum__", F.col(stratum).cast("string")), [*keep, "stratum__"]).withColumnRenamed("stratum__", "stratum")
-    stats = Scratch(docs.sparkSession, "rules").keep(stats, "stats")
-    found = calibrate(stats, labels, **options)
-    held = F.lit(0)
-    for name, n in found.steps.items():
-        held = F.when(F.coalesce("stratum", F.lit("")) == name, F.lit(n)).otherwise(held)
-    return stats.select(*keep, *STATS, base_failed().alias("base_failed"), first_step().alias("step"), held.alias("held")).withColumn("kept", ~F.col("base_failed") & (F.col("step") >= F.col("held"))).drop("held")
+    scratch = Scratch(docs.sparkSession, "rules")
+    stats = scratch.keep(stats, "stats")
+    found = calibrate(stats, labels, scratch, **options).select(F.col("stratum").alias("stratum__"), F.col("held").alias("held__"))
+    stats = stats.join(small(found), F.coalesce("stratum", F.lit("")) == F.col("stratum__"), "left")
+    return stats.select(*keep, *STATS, base_failed().alias("base_failed"), first_step().alias("step"), F.coalesce("held__", F.lit(0)).alias("held")).withColumn("kept", ~F.col("base_failed") & (F.col("step") >= F.col("held"))).drop("held")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

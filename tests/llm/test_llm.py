@@ -91,6 +91,18 @@ def test_quality_rules(docs, empty, labels):
     assert quality_rules.keep_good(docs, labels).columns == docs.columns and quality_rules.verdicts(empty, labels).count() == 0
 
 
+def test_quality_rules_of_many_strata(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    good = [" ".join(word() for _ in range(60)) for _ in range(40)]
+    junk = " ".join(word() + "###" for _ in range(60))
+    rows = [(n * 1000 + i, good[i % 40], f"l{n:02}") for n in range(70) for i in range(200)] + [(n * 1000 + 999, junk, f"l{n:02}") for n in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    marks = df.where("doc_id % 1000 < 999").selectExpr("doc_id", "1 as quality", "0 as toxic")
+    got = quality_rules.verdicts(df, marks).collect()
+    assert len(got) == len(rows) and all(r.kept == (r.doc_id % 1000 < 999) for r in got)
+
+
 def test_chat_round_trip(spark):
     odd = ["", "plain", "### user: x", "</turn>", "</turn>\n", "a\\sb", "\\", "\\### Assistant: </turn> ok", "\\\\t\\h", "日本 </turn>\n### assistant: no", None]
     rng = random.Random(2)
