@@ -1,18 +1,20 @@
-"""Byte-level BPE with Spark's higher-order functions.
+"""Byte-level BPE: ranked merges folded over the byte arrays of distinct words.
 
-A word's bytes become an array of token ids, and `aggregate` folds it: each step looks up the rank of every adjacent
-pair and joins the pair of least rank, leftmost first, until no pair has one. The rank map is a literal: a
-perfect hash in two arrays, so a lookup is two array reads and some arithmetic (a map literal would be searched).
+A word's bytes become an array of token ids; each step looks up the merged id of every adjacent pair and joins the
+pair of least rank, leftmost first, until no pair has one. The rank map is a perfect hash in two arrays, so a lookup is
+two array reads and some arithmetic.
 
-Distinct words fold, not occurrences. The corpus's most frequent words (a fixed number, so their dictionary has a
-bounded size) fold once and are broadcast; words beyond it fold once per document and stretch of text that holds them,
-within the row. No text and no id is shuffled; only per-task word counts are.
+`fold` says this in Spark's higher-order functions, for tables of words (`Codec.fold_words`). Over whole corpora its
+interpreted steps cost more than the time there is (figures in the README), so `Codec.encode` takes the same steps for all
+new words of one length at once, in array operations: a worker numbers its words as they come, folds each once, and
+puts texts together by number. After EPOCH words it begins anew, so its memory is bounded. Nothing is shuffled or sent
+to the driver; decoding concatenates the tokens' byte strings.
 """
 
 from __future__ import annotations
 
 import base64
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -21,13 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, arrow_map, cut, text_of, worker_memo
+from graphloom.llm.common import Scratch, cut, record, text_of, types_of, whole_row, worker_memo
 
-#: The most frequent words that get a place in the broadcast dictionary (documented bound), and its bytes.
-DICTIONARY_WORDS, DICTIONARY_BYTES = 300_000, 48 << 20
-#: Entries of a worker's memo of chunks, and of its counter of chunks.
-MEMO, COUNTED = 150_000, 300_000
-RARE = 1 << 31
+#: Distinct words that a worker numbers before it begins anew, and bytes beyond which a word is merged by itself.
+EPOCH, LONG = 500_000, 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -77,39 +76,47 @@ def literal(values: np.ndarray, kind: str) -> Column:
     return F.from_json(F.lit("[" + ",".join(map(str, values.tolist())) + "]"), f"array<{kind}>")
 
 
+def spell(word: Column, table: Column) -> Column:
+    """The byte tokens (array<bigint>) of a binary word; table: the token of each byte."""
+    return F.transform(F.filter(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: c != ""), lambda c: F.element_at(table, F.ascii(c) + 1))
+
+
 def fold(ids: Column, shift: Column, shifts: int, entries: Column, places: int) -> Column:
-    """The BPE tokens (array<bigint>) of an array<bigint> of byte tokens."""
+    """The BPE tokens (array<bigint>) of an array<bigint> of byte tokens.
 
-    def rank(left: Column, right: Column) -> Column:
+    The state holds the tokens between two marks, the merged id of every adjacent pair (above NONE - 1 where there is
+    none), and the least of these. A step replaces the leftmost pair of the least and looks up only the two new pairs.
+    """
+    none, mark = F.lit(1 << 62), F.lit((1 << ID) - 1).cast("bigint")
+    bind = lambda x, use: F.element_at(F.transform(F.array(x), use), 1)  # noqa: E731  computes x once
+
+    def merged(left: Column, right: Column) -> Column:
         """The merged id, or a number of more than ID bits where the pair has none."""
         d = F.element_at(shift, ((left * E + right) % shifts + 1).cast("int"))
         at = (left * A + right * B + d * (left * C + right * D + 1)) % places
-        return F.element_at(entries, (at + 1).cast("int")).bitwiseXOR(F.shiftleft(F.shiftleft(left, ID).bitwiseOR(right), ID))
+        # an empty place reads -1, so the result is negative: without its sign it is far above every id
+        return F.element_at(entries, (at + 1).cast("int")).bitwiseXOR(F.shiftleft(F.shiftleft(left, ID).bitwiseOR(right), ID)).bitwiseAND(F.lit((1 << 62) - 1))
 
-    def join(tokens: Column, ranks: Column) -> Column:
-        # one-element transforms bind what is used twice, else each use would compute it again
-        def at_least(least: Column) -> Column:
-            def at_place(at: Column) -> Column:
-                merged = F.concat(F.slice(tokens, F.lit(1), at - 1), F.array(least), F.slice(tokens, at + 2, F.size(tokens)))
-                return F.struct(merged.alias("tokens"), F.lit(False).alias("done"))
+    def state(tokens: Column, pairs: Column) -> Column:
+        return bind(pairs, lambda p: F.struct(tokens.alias("tokens"), p.alias("pairs"), F.array_min(p).alias("least")))
 
-            none = F.struct(tokens.alias("tokens"), F.lit(True).alias("done"))
-            return F.when((least < 0) | (least >= 1 << ID), none).otherwise(F.element_at(F.transform(F.array(F.array_position(ranks, least).cast("int")), at_place), 1))
+    def step(s: Column, _: Column) -> Column:
+        tokens, pairs, least = s["tokens"], s["pairs"], s["least"]
 
-        return F.element_at(F.transform(F.array(F.array_min(ranks)), at_least), 1)
+        def join(at: Column) -> Column:
+            # before the first and behind the last token stands a mark, which no pair holds, so `at` is never an end
+            new = F.concat(F.slice(tokens, F.lit(1), at - 1), F.array(least), F.slice(tokens, at + 2, F.size(tokens)))
+            around = F.array(merged(F.element_at(tokens, at - 1), least), merged(least, F.element_at(tokens, at + 2)))
+            return state(new, F.concat(F.slice(pairs, F.lit(1), at - 2), around, F.slice(pairs, at + 2, F.size(pairs))))
 
-    def step(state: Column, _: Column) -> Column:
-        tokens = state["tokens"]
-        # the last token has no right neighbour: a number above all ranks stands there
-        ranks = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda a, b: F.coalesce(F.when(b.isNotNull(), lifted(rank(a, b))), F.lit(1 << 62)))
-        return F.when(state["done"], state).otherwise(F.element_at(F.transform(F.array(ranks), lambda r: join(tokens, r)), 1))
+        return F.when(least >= 1 << ID, s).otherwise(bind(F.array_position(pairs, least).cast("int"), join))
 
-    def lifted(x: Column) -> Column:
-        """Negative where an empty place was read: far above every rank instead."""
-        return x.bitwiseAND(F.lit((1 << 62) - 1))
+    def start(tokens: Column) -> Column:
+        return state(tokens, F.zip_with(F.slice(tokens, F.lit(1), F.size(tokens) - 1), F.slice(tokens, F.lit(2), F.size(tokens)), merged))
 
-    start = F.struct(ids.alias("tokens"), (F.size(ids) < 2).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1))), start, step, lambda s: s["tokens"])
+    marked = F.concat(F.array(mark), ids, F.array(mark))
+    whole = bind(marked, lambda t: F.aggregate(F.sequence(F.lit(2), F.size(t) - 2), start(t), step, lambda s: F.slice(s["tokens"], F.lit(2), F.size(s["tokens"]) - 2)))
+    return F.when(F.size(ids) < 2, ids).otherwise(whole)
 
 
 class Words:
@@ -130,38 +137,182 @@ class Words:
         return None if not parts[0] or not parts[-1] else parts
 
 
-def word_counts(docs: DataFrame, pattern: str, skip: dict[bytes, int]) -> DataFrame:
-    """(word, n) of the pattern's matches over whole texts, without the words in `skip`."""
-    skipped = docs.sparkSession.sparkContext.broadcast(frozenset(skip))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = Words(pattern), skipped.value
-        first, rest, whole = Counter(), Counter(), Counter()
-
-        def flush() -> pa.RecordBatch:
-            for chunks, before in ((first, ""), (rest, " ")):
-                for chunk, n in chunks.items():
-                    for w in words.find(before + chunk):
-                        whole[w] += n
-            found = [(b, n) for w, n in whole.items() if (b := w.encode("utf-8", "surrogatepass")) not in known]
-            first.clear(), rest.clear(), whole.clear()
-            return pa.RecordBatch.from_pydict({"word": [b for b, _ in found], "n": [n for _, n in found]}, pa.schema([("word", pa.binary()), ("n", pa.int64())]))
-
-        for batch in batches:
-            for part in cut(batch):
-                for t in part.column(0).to_pylist():
-                    parts = words.chunks(t)
-                    if parts is None:
-                        whole.update(words.find(t))
-                    else:
-                        first[parts[0]] += 1
-                        del parts[0]
-                        rest.update(parts)
-                if len(rest) + len(whole) > COUNTED:
-                    yield flush()
-        yield flush()
-
-    return docs.select(text_of().alias("text__")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+class Numbers(dict):
+    """Numbers words as they come; new: those of the row being read."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
+class Chunks(dict):
+    """The words' numbers, as bytes, of each chunk read after a space."""
+
+    def __init__(self, numbers: Numbers, find):
+        self.numbers, self.find = numbers, find
+
+    def __missing__(self, chunk: str) -> bytes:
+        out = self[chunk] = self.of(" " + chunk)
+        return out
+
+    def of(self, text: str) -> bytes:
+        return np.fromiter(map(self.numbers.__getitem__, self.find(text)), "<u4").tobytes()
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches flat[start : start + length], one after the other."""
+    ends = np.cumsum(lengths)
+    if not len(ends):
+        return flat[:0]
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
+
+
+class Flat:
+    """Stretches of one type, numbered as they are added, in one array that grows."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.empty(1 << 16, kind), 0
+        self.starts, self.lengths, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+
+    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        while self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.empty_like(self.data)])
+        while self.count + len(lengths) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
+        self.data[self.n : self.n + len(values)] = values
+        self.lengths[self.count : self.count + len(lengths)] = lengths
+        self.starts[self.count : self.count + len(lengths)] = self.n + np.cumsum(lengths) - lengths
+        self.n, self.count = self.n + len(values), self.count + len(lengths)
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        return gather(self.data, self.starts[numbers], self.lengths[numbers])
+
+
+class Merger:
+    """The fold over many words at once. shift, entries: the rank map; table: the token of each byte."""
+
+    def __init__(self, shift: np.ndarray, entries: np.ndarray, table: np.ndarray):
+        self.shift, self.entries, self.table = shift, entries, table
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merged id of each pair; above all ids where there is none."""
+        d = self.shift[(left * E + right) % len(self.shift)]
+        e = self.entries[(left * A + right * B + d * (left * C + right * D + 1)) % len(self.entries)]
+        return np.where(e >> ID == (left << ID | right), e & ((1 << ID) - 1), 1 << ID)
+
+    def fold(self, words: list[bytes]) -> list[np.ndarray]:
+        """The tokens of each word."""
+        out: list[np.ndarray] = [self.table[:0]] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            if not len(group) or not lengths[group[0]]:
+                continue
+            if lengths[group[0]] > LONG:
+                for i in group.tolist():
+                    out[i] = self.fold_long(words[i])
+                continue
+            raw = np.frombuffer(b"".join([words[i] for i in group.tolist()]), np.uint8)
+            tokens = self.table[raw].reshape(len(group), -1)
+            pairs = self.merged(tokens[:, :-1], tokens[:, 1:])
+            # every row that is left joins one pair a step, so all rows have one width
+            while len(group):
+                width = tokens.shape[1]
+                at = pairs.argmin(axis=1) if width > 1 else np.zeros(len(group), np.int64)
+                least = pairs[np.arange(len(group)), at] if width > 1 else np.full(len(group), 1 << ID)
+                done = least >= 1 << ID
+                for i, row in zip(group[done].tolist(), tokens[done], strict=True):
+                    out[i] = row
+                group, at, least = group[~done], at[~done], least[~done]
+                if not len(group):
+                    break
+                rows, tokens, pairs = np.arange(len(group)), tokens[~done], pairs[~done]
+                columns = np.arange(width - 1)
+                tokens = np.take_along_axis(tokens, columns + (columns > at[:, None]), axis=1)
+                tokens[rows, at] = least
+                columns = columns[:-1]
+                pairs = np.take_along_axis(pairs, columns + (columns >= at[:, None]), axis=1)
+                before, after = rows[at > 0], rows[at < width - 2]
+                pairs[before, at[before] - 1] = self.merged(tokens[before, at[before] - 1], least[before])
+                pairs[after, at[after]] = self.merged(least[after], tokens[after, at[after] + 1])
+        return out
+
+    def fold_long(self, word: bytes) -> np.ndarray:
+        """The same for one word, by a heap of its pairs: in time that grows with n log n."""
+        import heapq
+
+        tokens = self.table[np.frombuffer(word, np.uint8)].tolist()
+        n, none = len(tokens), 1 << ID
+        one = lambda a, b: int(self.merged(np.array([a]), np.array([b]))[0])
+        first = self.merged(np.array(tokens[:-1]), np.array(tokens[1:])).tolist()
+        heap = [(r, i) for i, r in enumerate(first) if r < none]
+        heapq.heapify(heap)
+        now, before, after = dict(enumerate(first)), list(range(-1, n - 1)), list(range(1, n + 1))
+        while heap:
+            r, i = heapq.heappop(heap)
+            if now.get(i) != r:
+                continue
+            j = after[i]
+            tokens[i], after[i] = r, after[j]
+            now.pop(j, None)
+            tokens[j] = -1
+            if after[i] < n:
+                before[after[i]] = i
+            for a in (before[i], i):
+                if a >= 0 and after[a] < n:
+                    now[a] = one(tokens[a], tokens[after[a]])
+                    if now[a] < none:
+                        heapq.heappush(heap, (now[a], a))
+                else:
+                    now.pop(a, None)
+        return np.array([t for t in tokens if t >= 0], np.int64)
+
+
+class Encoder:
+    """What a worker keeps from task to task: words by number, their tokens, and the tokens' byte strings."""
+
+    def __init__(self, merger: Merger, ranks: dict[bytes, int], pattern: str, epoch: int):
+        self.merger, self.ranks, self.words, self.epoch = merger, ranks, Words(pattern), epoch
+        ids, pieces = np.array(list(ranks.values())), list(ranks)
+        self.blob = np.frombuffer(b"".join(pieces), np.uint8)
+        self.size, self.begin = (np.zeros(int(ids.max()) + 1, np.int64) for _ in range(2))
+        self.size[ids] = list(map(len, pieces))
+        self.begin[ids] = np.cumsum(self.size[ids]) - self.size[ids]
+        self.anew()
+
+    def anew(self) -> None:
+        self.numbers, self.tokens = Numbers(), Flat(np.uint32)
+        self.chunks = Chunks(self.numbers, self.words.find)
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """The ids of each text, little-endian unsigned 32-bit, and what they decode to."""
+        if len(self.numbers) >= self.epoch:
+            self.anew()
+        drafts = []
+        for text in texts:
+            parts = self.words.chunks(text)
+            if parts is None:
+                drafts.append(self.chunks.of(text))
+            else:
+                drafts.append(b"".join([self.chunks.of(parts[0]), *map(self.chunks.__getitem__, parts[1:])]))
+        new = [w.encode("utf-8", "surrogatepass") for w in self.numbers.new]
+        self.numbers.new.clear()
+        # a word that is a token is that token
+        whole = np.fromiter((self.ranks.get(w, -1) for w in new), np.int64, len(new))
+        folded = iter(self.merger.fold([w for w, i in zip(new, whole.tolist(), strict=True) if i < 0]))
+        tokens = [np.array([i]) if i >= 0 else next(folded) for i in whole.tolist()]
+        if tokens:
+            self.tokens.add(np.concatenate(tokens), np.fromiter(map(len, tokens), np.int64, len(tokens)))
+        ids_out, bytes_out = [], []
+        for draft in drafts:
+            ids = self.tokens.of(np.frombuffer(draft, "<u4"))
+            ids_out.append(ids.astype("<u4", copy=False).tobytes())
+            bytes_out.append(gather(self.blob, self.begin[ids], self.size[ids]).tobytes())
+        return ids_out, bytes_out
 
 
 class Codec:
@@ -169,132 +320,46 @@ class Codec:
 
     def __init__(self, spark, path: str, pattern: str):
         self.spark, self.pattern, self.ranks = spark, pattern, load_ranks(path)
-        shift, entries = rank_map(self.ranks)
-        self.map = (literal(shift, "bigint"), len(shift), literal(entries, "bigint"), len(entries))
-        self.bytes_ = [self.ranks[bytes([b])] for b in range(256)]
+        self.shift, self.entries = rank_map(self.ranks)
+        self.table = np.array([self.ranks[bytes([b])] for b in range(256)])
 
     def fold_words(self, words: DataFrame) -> DataFrame:
-        """(word, ids array<bigint>) of (word binary): whole tokens as they are, others folded."""
-        table, ranks = self.bytes_, self.ranks
-
-        def spell(batch: pa.RecordBatch) -> Iterator[dict]:
-            ws = batch.column(0).to_pylist()
-            yield {"word": ws, "bytes": [[ranks[w]] if w in ranks else [table[b] for b in w] for w in ws]}
-
-        return arrow_map(words.select("word"), spell, "word binary, bytes array<bigint>").select("word", fold(F.col("bytes"), *self.map).alias("ids"))
-
-    def dictionary(self, docs: DataFrame, words: int = DICTIONARY_WORDS) -> dict[str, bytes]:
-        """Little-endian ids of every token and of the most frequent other words, at most `words` of them and DICTIONARY_BYTES."""
-        scratch = Scratch(self.spark, "bpe")
-        counts = word_counts(docs, self.pattern, self.ranks).where(F.length("word") <= DICTIONARY_BYTES // max(words, 1))
-        counts = scratch.keep(counts.where("n > 1"), "counts")
-        # the least count whose words, and all more frequent ones, fit: from a histogram of up to some hundred steps, no sort
-        step = F.when(F.col("n") < 256, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.col("n") + 0.5)))).cast("long")
-        held, least = 0, None
-        for at, n in sorted(map(tuple, counts.groupBy(step.alias("at")).count().collect()), reverse=True):
-            held += n
-            if held > words:
-                break
-            least = at
-        top = counts.where(F.col("n") >= (least if least is not None else 1 << 62)).select("word")
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        found = self.fold_words(top.repartition(parts, F.xxhash64("word"))).toArrow()
-        out = {w.decode("utf-8", "surrogatepass"): np.array(i, "<u4").tobytes() for w, i in zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True)}
-        for token, rank in self.ranks.items():
-            try:
-                out[token.decode()] = rank.to_bytes(4, "little")
-            except UnicodeDecodeError:
-                continue
-        return out
-
-    def encode(self, docs: DataFrame, keep: list[str], dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
-        """`keep` columns and ids (binary: little-endian unsigned 32-bit) of every row's whole text; null or empty: none."""
-        known = self.spark.sparkContext.broadcast(self.dictionary(docs, dictionary_words))
-        pattern, table, memo_size, mark = self.pattern, self.bytes_, MEMO, hash((self.pattern, frozenset(self.ranks.items())))
-        kept = docs.select(*keep, text_of().alias("text__"))
-        fields = {f.name: f.dataType.simpleString() for f in kept.schema.fields if f.name != "text__"}
-        spec = ", ".join(f"`{k}` {v}" for k, v in fields.items())
-
-        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, ids_of, memo = Words(pattern), known.value, worker_memo(f"bpe-{mark}")
-
-            def encode(text: str) -> tuple[bytes, list[list[int]]]:
-                rare: dict[str, int] = {}
-
-                def spelled(chunk: str) -> tuple[bytes, bool]:
-                    out, full = [], True
-                    for w in words.find(chunk):
-                        ids = ids_of.get(w)
-                        if ids is None:
-                            full = False
-                            ids = (RARE | rare.setdefault(w, len(rare))).to_bytes(4, "little")
-                        out.append(ids)
-                    return b"".join(out), full
-
-                parts = words.chunks(text)
-                if parts is None:
-                    return spelled(text)[0], list(rare)
-                out = [spelled(parts[0])[0]]
-                for chunk in parts[1:]:
-                    ids = memo.get(chunk)
-                    if ids is None:
-                        ids, full = spelled(" " + chunk)
-                        if full and len(memo) < memo_size:
-                            memo[chunk] = ids
-                    out.append(ids)
-                return b"".join(out), list(rare)
-
+        """(word, ids array<bigint>) of (word binary), in DataFrame functions alone."""
+        ids = fold(spell(F.col("word"), literal(self.table, "bigint")), literal(self.shift, "bigint"), len(self.shift), literal(self.entries, "bigint"), len(self.entries))
+        return words.select("word", ids.alias("ids"))
+
+    def encode(self, rows: DataFrame, epoch: int = EPOCH) -> DataFrame:
+        """row__, ids (binary: little-endian unsigned 32-bit) and bytes (what the ids decode to) of every row of rows (row__, text__)."""
+        pattern, model = self.pattern, self.spark.sparkContext.broadcast((self.shift, self.entries, self.table, self.ranks))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = pa.schema([("row__", pa.null()), ("ids", pa.binary()), ("bytes", pa.binary())])
+            shift, entries, table, ranks = model.value
+            held = worker_memo(f"bpe-{zlib.crc32(repr((pattern, epoch, len(ranks))).encode() + entries.tobytes())}")
+            if not held:
+                held["encoder"] = Encoder(Merger(shift, entries, table), ranks, pattern, epoch)
             for batch in batches:
                 for part in cut(batch):
-                    done = [encode(t) for t in part.column("text__").to_pylist()]
-                    rare = [[[table[b] for b in w.encode("utf-8", "surrogatepass")] for w in r] for _, r in done]
-                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in fields), pa.array([d for d, _ in done], pa.binary()), pa.array(rare, pa.list_(pa.list_(pa.int64())))], names=[*fields, "draft", "rare"])
-
-        draft = kept.mapInArrow(look_up, f"{spec}, draft binary, rare array<array<bigint>>")
-        folded = draft.select(*fields, "draft", F.transform("rare", lambda w: fold(w, *self.map)).alias("rare"))
-
-        def fill(batch: pa.RecordBatch) -> Iterator[dict]:
-            out = []
-            for draft_, rare in zip(batch.column("draft").to_pylist(), batch.column("rare").to_pylist(), strict=True):
-                if rare:
-                    ids = np.frombuffer(draft_, "<u4")
-                    at = np.flatnonzero(ids >= RARE)
-                    pieces, last = [np.array(r, "<u4").tobytes() for r in rare], 0
-                    made = []
-                    for i, which in zip(at.tolist(), (ids[at] - RARE).tolist(), strict=True):
-                        made += (draft_[4 * last : 4 * i], pieces[which])
-                        last = i + 1
-                    draft_ = b"".join([*made, draft_[4 * last :]])
-                out.append(draft_)
-            yield {k: batch.column(k) for k in fields} | {"ids": out}
-
-        return arrow_map(folded, fill, f"{spec}, ids binary")
-
-    def decode(self, encoded: DataFrame, keep: list[str]) -> DataFrame:
-        """`keep` columns and `bytes`: the tokens' byte strings of column ids, concatenated."""
-        kept = encoded.select(*keep, "ids")
-        pieces = self.spark.sparkContext.broadcast({r: t for t, r in self.ranks.items()})
-        fields = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
-
-        def run(batch: pa.RecordBatch) -> Iterator[dict]:
-            get = pieces.value.__getitem__
-            yield {k: batch.column(k) for k in fields} | {"bytes": [b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in batch.column("ids").to_pylist()]}
-
-        return arrow_map(kept, run, ", ".join([*(f"`{k}` {v}" for k, v in fields.items()), "bytes binary"]))
-
-
-def tokenize(docs: DataFrame, keep: list[str], path: str, pattern: str, **options) -> DataFrame:
-    """`keep` columns, ids (binary) and bytes (what the ids decode to) of every row of docs.
-
-    Null and empty texts have no ids. Rows come back one for one, repeated or not; names in `keep` must differ from
-    text__, draft, rare, ids and bytes. A very long word folds like any other, in time that grows with its square.
+                    ids, data = held["encoder"].encode(part.column("text__").to_pylist())
+                    yield record({"row__": part.column("row__"), "ids": ids, "bytes": data}, kinds)
+
+        return rows.mapInArrow(run, types_of("ids binary, bytes binary", rows))
+
+
+def tokenize(docs: DataFrame, path: str, pattern: str, **options) -> DataFrame:
+    """row__ (the row of docs, as a struct), ids (binary) and bytes (what the ids decode to) of every row of docs.
+
+    Null and empty texts have no ids. Rows come back one for one, repeated or not; docs may have columns of any name
+    beside text. A very long word costs time in proportion to n log n.
     """
-    codec = Codec(docs.sparkSession, path, pattern)
-    return codec.decode(codec.encode(docs, keep, **options), keep)
+    return Codec(docs.sparkSession, path, pattern).encode(docs.select(whole_row(), text_of().alias("text__")), **options)
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to."""
     import public_tokenizers as tokenizers
 
-    out = tokenize(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
-    return out.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.struct("doc_id").alias("row__"), text_of().alias("text__"))
+    out = Codec(spark, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN).encode(rows)
+    digests = out.select("row__.doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    return Scratch(spark, "bpe").keep(digests, "digests")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import graphloom
 
@@ -22,20 +24,28 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 5_000
 
 
+#: Settings while a scratch table is written: batches of bounded bytes to Python, and no shuffle file outlives the write.
+WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in tests, where it is unset) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one if all runs
+    on this machine, an error if not."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 class Scratch:
-    """Tables written under the shared folder. Each lives under a new name, so a rerun never reads a half-written one."""
+    """Tables written under the shared folder. Each lives under a new name, so a rerun never reads a half-written one.
+    Who returns a frame that reads some of them drops all the others."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -45,16 +55,23 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back: cuts lineage, and survives lost executors."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        conf = self.spark.conf
+        before = {k: conf.get(k) for k in WRITING}
+        try:
+            for k, v in WRITING.items():
+                conf.set(k, v)
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            for k, v in before.items():
+                conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        """Delete tables no longer read, and let Spark release the shuffles behind them."""
+        """Delete tables that are no longer read; without names, all of them."""
         jvm = self.spark.sparkContext._jvm
-        for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        for place in [self.path(n) for n in names] or [self.root]:
+            p = jvm.org.apache.hadoop.fs.Path(place)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -67,26 +84,52 @@ def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+#: Two hashes of a text with different seeds, 128 bits together, which stand for the text.
+HASHES: tuple[Callable[[Column], Column], ...] = (F.xxhash64, lambda c: F.xxhash64(F.lit(1), c))
+
+
+def text_key(hashes=HASHES, col: str | Column = "text") -> Column:
+    """struct<a, b>: the identity of a row's text (null: the empty one)."""
+    return F.struct(hashes[0](text_of(col)).alias("a"), hashes[1](text_of(col)).alias("b"))
+
+
+def whole_row() -> Column:
+    """All columns of a row as the struct row__, so that no name of theirs meets an operator's own."""
+    return F.struct("*").alias("row__")
+
+
 def fraction_crc32(col: Column, mod: int) -> Column:
     """crc32 of a value's text, modulo `mod`; null counts as the text 'null'."""
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("null")).cast("binary")), F.lit(mod)).cast("int")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, limit: int = 4 << 20) -> DataFrame:
+def types_of(ddl: str, row: DataFrame | None = None) -> StructType:
+    """The columns of a DDL text, after the struct row__ of `row`."""
+    from pyspark.sql.types import StructField, _parse_datatype_string
+
+    return StructType(([StructField("row__", row.schema["row__"].dataType)] if row is not None else []) + _parse_datatype_string(ddl).fields)
+
+
+def record(made: dict, types: pa.Schema) -> pa.RecordBatch:
+    """A batch of columns in the order of types; Arrow arrays pass as they are."""
+    return pa.RecordBatch.from_arrays([made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], type=f.type) for f in types], names=types.names)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | StructType, limit: int = 4 << 20) -> DataFrame:
     """mapInArrow with fn from a batch to column dicts, in batches of bounded bytes.
 
     Long texts make row-counted batches large; they are cut again to about `limit` bytes here.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    out = to_arrow_schema(_parse_datatype_string(schema))
+    schema = types_of(schema) if isinstance(schema, str) else schema
+    out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in cut(batch, limit):
                 for made in fn(part):
-                    yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
+                    yield record(made, out)
 
     return df.mapInArrow(run, schema)
 
