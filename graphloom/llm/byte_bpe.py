@@ -7,8 +7,7 @@ two array reads and some arithmetic.
 `fold` says this in Spark's higher-order functions, for tables of words (`Codec.fold_words`). Over whole corpora its
 interpreted steps cost more than the time there is (figures in the README), so `Codec.encode` takes the same steps for all
 new words of one length at once, in array operations: a worker numbers its words as they come, folds each once, and
-puts texts together by number. After EPOCH words it begins anew, so its memory is bounded. Nothing is shuffled or sent
-to the driver; decoding concatenates the tokens' byte strings.
+puts texts together by number. Its table of words is bounded; frequent ones stay. Nothing is shuffled or sent to the driver; decoding concatenates the tokens' byte strings.
 """
 
 from __future__ import annotations
@@ -24,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Scratch, cut, record, text_of, types_of, whole_row, worker_memo
+from graphloom.llm.word_table import Numbers, WordTable, gather, in_order
 
-#: Distinct words that a worker numbers before it begins anew, and bytes beyond which a word is merged by itself.
-EPOCH, LONG = 500_000, 256
+#: Distinct words that a worker keeps, and bytes beyond which a word is merged by itself.
+WORDS, LONG = 500_000, 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -137,18 +137,6 @@ class Words:
         return None if not parts[0] or not parts[-1] else parts
 
 
-class Numbers(dict):
-    """Numbers words as they come; new: those of the row being read."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
-
-
 class Chunks(dict):
     """The words' numbers, as bytes, of each chunk read after a space."""
 
@@ -163,35 +151,6 @@ class Chunks(dict):
         return np.fromiter(map(self.numbers.__getitem__, self.find(text)), "<u4").tobytes()
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The stretches flat[start : start + length], one after the other."""
-    ends = np.cumsum(lengths)
-    if not len(ends):
-        return flat[:0]
-    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
-
-
-class Flat:
-    """Stretches of one type, numbered as they are added, in one array that grows."""
-
-    def __init__(self, kind):
-        self.data, self.n = np.empty(1 << 16, kind), 0
-        self.starts, self.lengths, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
-
-    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
-        while self.n + len(values) > len(self.data):
-            self.data = np.concatenate([self.data, np.empty_like(self.data)])
-        while self.count + len(lengths) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
-        self.data[self.n : self.n + len(values)] = values
-        self.lengths[self.count : self.count + len(lengths)] = lengths
-        self.starts[self.count : self.count + len(lengths)] = self.n + np.cumsum(lengths) - lengths
-        self.n, self.count = self.n + len(values), self.count + len(lengths)
-
-    def of(self, numbers: np.ndarray) -> np.ndarray:
-        return gather(self.data, self.starts[numbers], self.lengths[numbers])
-
-
 class Merger:
     """The fold over many words at once. shift, entries: the rank map; table: the token of each byte."""
 
@@ -204,17 +163,17 @@ class Merger:
         e = self.entries[(left * A + right * B + d * (left * C + right * D + 1)) % len(self.entries)]
         return np.where(e >> ID == (left << ID | right), e & ((1 << ID) - 1), 1 << ID)
 
-    def fold(self, words: list[bytes]) -> list[np.ndarray]:
-        """The tokens of each word."""
-        out: list[np.ndarray] = [self.table[:0]] * len(words)
+    def fold(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of the words, one after the other, and how many each has."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(lengths, kind="stable")
+        order, out = np.argsort(lengths, kind="stable"), []
         for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
             if not len(group) or not lengths[group[0]]:
                 continue
             if lengths[group[0]] > LONG:
                 for i in group.tolist():
-                    out[i] = self.fold_long(words[i])
+                    tokens = self.fold_long(words[i])
+                    out.append((np.array([i]), tokens, np.array([len(tokens)])))
                 continue
             raw = np.frombuffer(b"".join([words[i] for i in group.tolist()]), np.uint8)
             tokens = self.table[raw].reshape(len(group), -1)
@@ -225,8 +184,7 @@ class Merger:
                 at = pairs.argmin(axis=1) if width > 1 else np.zeros(len(group), np.int64)
                 least = pairs[np.arange(len(group)), at] if width > 1 else np.full(len(group), 1 << ID)
                 done = least >= 1 << ID
-                for i, row in zip(group[done].tolist(), tokens[done], strict=True):
-                    out[i] = row
+                out.append((group[done], tokens[done].reshape(-1), np.full(int(done.sum()), width)))
                 group, at, least = group[~done], at[~done], least[~done]
                 if not len(group):
                     break
@@ -239,7 +197,7 @@ class Merger:
                 before, after = rows[at > 0], rows[at < width - 2]
                 pairs[before, at[before] - 1] = self.merged(tokens[before, at[before] - 1], least[before])
                 pairs[after, at[after]] = self.merged(least[after], tokens[after, at[after] + 1])
-        return out
+        return in_order(out, len(words))
 
     def fold_long(self, word: bytes) -> np.ndarray:
         """The same for one word, by a heap of its pairs: in time that grows with n log n."""
@@ -248,7 +206,7 @@ class Merger:
         tokens = self.table[np.frombuffer(word, np.uint8)].tolist()
         n, none = len(tokens), 1 << ID
         one = lambda a, b: int(self.merged(np.array([a]), np.array([b]))[0])
-        first = self.merged(np.array(tokens[:-1]), np.array(tokens[1:])).tolist()
+        first = self.merged(np.array(tokens[:-1], np.int64), np.array(tokens[1:], np.int64)).tolist()
         heap = [(r, i) for i, r in enumerate(first) if r < none]
         heapq.heapify(heap)
         now, before, after = dict(enumerate(first)), list(range(-1, n - 1)), list(range(1, n + 1))
@@ -275,41 +233,39 @@ class Merger:
 class Encoder:
     """What a worker keeps from task to task: words by number, their tokens, and the tokens' byte strings."""
 
-    def __init__(self, merger: Merger, ranks: dict[bytes, int], pattern: str, epoch: int):
-        self.merger, self.ranks, self.words, self.epoch = merger, ranks, Words(pattern), epoch
+    def __init__(self, merger: Merger, ranks: dict[bytes, int], pattern: str, limit: int):
+        self.merger, self.ranks, self.words = merger, ranks, Words(pattern)
         ids, pieces = np.array(list(ranks.values())), list(ranks)
         self.blob = np.frombuffer(b"".join(pieces), np.uint8)
         self.size, self.begin = (np.zeros(int(ids.max()) + 1, np.int64) for _ in range(2))
         self.size[ids] = list(map(len, pieces))
         self.begin[ids] = np.cumsum(self.size[ids]) - self.size[ids]
-        self.anew()
+        self.table = WordTable(self.tokens, limit)
+        self.chunks = Chunks(self.table.numbers, self.words.find)
 
-    def anew(self) -> None:
-        self.numbers, self.tokens = Numbers(), Flat(np.uint32)
-        self.chunks = Chunks(self.numbers, self.words.find)
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A word that is a token is that token; others fold."""
+        spelled = [w.encode("utf-8", "surrogatepass") for w in words]
+        ids = np.fromiter((self.ranks.get(w, -1) for w in spelled), np.int64, len(words))
+        whole, rest = np.flatnonzero(ids >= 0), np.flatnonzero(ids < 0)
+        folded, lengths = self.merger.fold([spelled[i] for i in rest.tolist()])
+        return in_order([(whole, ids[whole], np.ones(len(whole), np.int64)), (rest, folded, lengths)], len(words))
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """The ids of each text, little-endian unsigned 32-bit, and what they decode to."""
-        if len(self.numbers) >= self.epoch:
-            self.anew()
+        if self.table.make_room():
+            self.chunks = Chunks(self.table.numbers, self.words.find)
         drafts = []
         for text in texts:
             parts = self.words.chunks(text)
             if parts is None:
-                drafts.append(self.chunks.of(text))
+                drafts.append(np.frombuffer(self.chunks.of(text), "<u4"))
             else:
-                drafts.append(b"".join([self.chunks.of(parts[0]), *map(self.chunks.__getitem__, parts[1:])]))
-        new = [w.encode("utf-8", "surrogatepass") for w in self.numbers.new]
-        self.numbers.new.clear()
-        # a word that is a token is that token
-        whole = np.fromiter((self.ranks.get(w, -1) for w in new), np.int64, len(new))
-        folded = iter(self.merger.fold([w for w, i in zip(new, whole.tolist(), strict=True) if i < 0]))
-        tokens = [np.array([i]) if i >= 0 else next(folded) for i in whole.tolist()]
-        if tokens:
-            self.tokens.add(np.concatenate(tokens), np.fromiter(map(len, tokens), np.int64, len(tokens)))
+                drafts.append(np.frombuffer(b"".join([self.chunks.of(parts[0]), *map(self.chunks.__getitem__, parts[1:])]), "<u4"))
+        self.table.settle(drafts)
         ids_out, bytes_out = [], []
         for draft in drafts:
-            ids = self.tokens.of(np.frombuffer(draft, "<u4"))
+            ids = self.table.of(draft)
             ids_out.append(ids.astype("<u4", copy=False).tobytes())
             bytes_out.append(gather(self.blob, self.begin[ids], self.size[ids]).tobytes())
         return ids_out, bytes_out
@@ -328,16 +284,16 @@ class Codec:
         ids = fold(spell(F.col("word"), literal(self.table, "bigint")), literal(self.shift, "bigint"), len(self.shift), literal(self.entries, "bigint"), len(self.entries))
         return words.select("word", ids.alias("ids"))
 
-    def encode(self, rows: DataFrame, epoch: int = EPOCH) -> DataFrame:
+    def encode(self, rows: DataFrame, limit: int = WORDS) -> DataFrame:
         """row__, ids (binary: little-endian unsigned 32-bit) and bytes (what the ids decode to) of every row of rows (row__, text__)."""
         pattern, model = self.pattern, self.spark.sparkContext.broadcast((self.shift, self.entries, self.table, self.ranks))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds = pa.schema([("row__", pa.null()), ("ids", pa.binary()), ("bytes", pa.binary())])
             shift, entries, table, ranks = model.value
-            held = worker_memo(f"bpe-{zlib.crc32(repr((pattern, epoch, len(ranks))).encode() + entries.tobytes())}")
+            held = worker_memo(f"bpe-{zlib.crc32(repr((pattern, limit, len(ranks))).encode() + entries.tobytes())}")
             if not held:
-                held["encoder"] = Encoder(Merger(shift, entries, table), ranks, pattern, epoch)
+                held["encoder"] = Encoder(Merger(shift, entries, table), ranks, pattern, limit)
             for batch in batches:
                 for part in cut(batch):
                     ids, data = held["encoder"].encode(part.column("text__").to_pylist())
