@@ -1,13 +1,15 @@
 """Removal of byte strings that repeat anywhere in a corpus, by sharded suffix arrays.
 
-Every start of `length` bytes gets a key: the least hash of the GRAM-byte strings inside it. Equal strings have equal
-keys, so a key's starts are compared within one shard and no other. Neighbouring starts with one key form a run; a run
-is cut out with its length - 1 further bytes. Keys that the corpus holds once cannot repeat and are dropped, equal
-cut-outs are counted and travel once. Each shard builds a suffix array by induced sorting and permuted common
-prefixes over whole key groups, and marks the starts whose prefix of `length` bytes another start shares.
-
-A key with more different cut-outs than a shard takes is dealt out again by the hash of each start's whole string,
-which is exact as well. All is computed per distinct text, so copies cost one text.
+Every start of `length` bytes gets a key: the least hash of the 48-byte strings (grams) inside it. Equal strings have
+equal keys, so a key's starts are compared within one shard and no other. Neighbouring starts with one key form a run;
+a run is cut out with its length - 1 further bytes. Keys that the corpus holds once cannot repeat and are dropped, equal
+cut-outs are counted and travel once, and a key whose only cut-out stands twice needs no comparison. Each shard leaves out
+the cut-outs none of whose starts has the hash of another, as they cannot repeat, builds a suffix array by induced sorting and permuted common prefixes over whole keys, and marks the starts whose prefix of
+`length` bytes another start shares.
+
+A key with more cut-outs than a shard should hold is never brought together: its cut-outs are texts of their own, cut
+into runs once more by longer grams, the last as long as the string itself. All is computed per distinct text, so
+copies cost one text.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, arrow_map, text_of
+from graphloom.llm.common import HASHES, Scratch, arrow_map, text_key, text_of, types_of, whole_row
 from graphloom.llm.suffix_array import repeated_starts
 
-LENGTH, GRAM = 200, 48
+LENGTH, GRAMS = 200, (48, 104, 160, 200)
 #: Bytes of cut-outs that one suffix array is built over (it takes about 100 times that in memory), and of texts whose
-#: runs are found at once.
+#: runs are found at once. A key with a quarter of a shard or more is cut again.
 SHARD_BYTES, RUN_BYTES = 2 << 20, 1 << 20
 MULTIPLIER, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -41,7 +43,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 class Runs:
     """Cuts concatenated texts into runs of starts with one key."""
 
-    def __init__(self, length: int = LENGTH, gram: int = GRAM):
+    def __init__(self, length: int = LENGTH, gram: int = GRAMS[0]):
         self.length, self.gram, self.width = length, gram, length - gram + 1
         self.powers = self.inverse = np.ones(0, np.uint64)
 
@@ -88,77 +90,129 @@ class Runs:
         return begin, count, run_key.view(np.int64), np.maximum(seen, 1)
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """t1, t2 (128 bits of hash), n (rows), text: one row per distinct text of docs; null texts are empty ones."""
-    hashed = docs.select(text_of().alias("text")).select("text", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
-    return hashed.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.first("text").alias("text"))
+def numbered_texts(docs: DataFrame, hashes=HASHES) -> DataFrame:
+    """t (two hashes), id, n (rows), data (bytes): one row per distinct text of docs; null texts are empty ones."""
+    rows = docs.select(text_key(hashes).alias("t"), text_of().cast("binary").alias("data"))
+    return rows.groupBy("t").agg(F.count("*").alias("n"), F.first("data").alias("data")).withColumn("id", F.monotonically_increasing_id())
 
 
 def cut_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """key, h, t1, t2, lo, starts, n, weight of every run; h is a hash of the bytes cut out."""
+    """key, h, id, lo, starts, n, seen of every run of texts (id, n, data); h is a hash of the bytes cut out. Where the gram is the whole
+    string, a run is one string over and over, and two starts of it say all."""
+    whole = gram == length
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         import xxhash
 
         runs = Runs(length, gram)
-        blobs = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+        blobs = batch.column("data").to_pylist()
         ends = np.cumsum([len(b) for b in blobs])
         joined = b"".join(blobs)
         begin, count, key, seen = runs.of(np.frombuffer(joined, np.uint8), ends)
         doc = np.searchsorted(ends, begin, side="right")
-        n = batch.column("n").to_numpy()[doc]
-        digest = xxhash.xxh3_64_intdigest
-        h = np.array([digest(joined[a:b]) for a, b in zip(begin.tolist(), (begin + count + length - 1).tolist(), strict=True)], np.uint64).view(np.int64)
+        digest, held = xxhash.xxh3_64_intdigest, np.minimum(count, 2) if whole else count
+        h = np.array([digest(joined[a:b]) for a, b in zip(begin.tolist(), (begin + held + length - 1).tolist(), strict=True)], np.uint64).view(np.int64)
         lo = begin - np.concatenate([[0], ends[:-1]])[doc] if len(doc) else begin
-        yield {"key": key, "h": h, "t1": batch.column("t1").to_numpy()[doc], "t2": batch.column("t2").to_numpy()[doc], "lo": lo.astype(np.int32), "starts": count.astype(np.int32), "n": n, "weight": n * seen}
+        yield {"key": key, "h": h, "id": batch.column("id").to_numpy()[doc], "lo": lo.astype(np.int32), "starts": count.astype(np.int32), "n": batch.column("n").to_numpy()[doc], "seen": seen.astype(np.int32)}
 
-    return arrow_map(texts.select("text", "t1", "t2", "n"), run, "key long, h long, t1 long, t2 long, lo int, starts int, n long, weight long", RUN_BYTES)
+    return arrow_map(texts.select("id", "n", "data"), run, "key long, h long, id long, lo int, starts int, n long, seen int", RUN_BYTES)
+
+
+def cut_out(places: DataFrame, texts: DataFrame, length: int, whole: bool) -> DataFrame:
+    """key, h, n, piece of every row of places (key, h, n, at: id, lo, starts), out of texts (id, data)."""
+    by_text = places.groupBy(F.col("at.id").alias("of")).agg(F.collect_list(F.struct("key", "h", "n", F.col("at.lo").alias("lo"), F.col("at.starts").alias("starts"))).alias("cuts"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        out: dict[str, list] = {"key": [], "h": [], "n": [], "piece": []}
+        for data, cuts in zip(batch.column("data").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
+            for c in cuts:
+                for k in ("key", "h", "n"):
+                    out[k].append(c[k])
+                out["piece"].append(data[c["lo"] : c["lo"] + (min(c["starts"], 2) if whole else c["starts"]) + length - 1])
+        yield out
+
+    joined = texts.select("id", "data").join(by_text, F.col("id") == F.col("of")).select("data", "cuts")
+    return arrow_map(joined, run, "key long, h long, n long, piece binary")
+
+
+def hopeful(pieces: list[bytes], length: int, separator: bytes = b"\xff") -> np.ndarray:
+    """Whether each piece holds a start whose `length` bytes have the hash of another start's; the others cannot hold a repeat."""
+    data = np.frombuffer(separator.join(pieces) + separator, np.uint8)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    counts = np.maximum(sizes - length + 1, 0)
+    of = np.repeat(np.arange(len(pieces)), counts)
+    first = np.cumsum(sizes + 1) - sizes - 1
+    if not len(of):
+        return np.zeros(len(pieces), bool)
+    at = np.arange(len(of)) + np.repeat(first - (np.cumsum(counts) - counts), counts)
+    h = Runs(length, length).grams(data)[at]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    out = np.zeros(len(pieces), bool)
+    out[of[order[1:][same]]] = out[of[order[:-1][same]]] = True
+    return out
 
 
 def mark_shards(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """(key, h, n, piece) rows: for each, the spans [a, b) of starts that repeat (over = false). Rows of a key with more
-    than shard_bytes of pieces come back whole (over = true)."""
-    out = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("piece", pa.binary()), ("spans", pa.list_(pa.list_(pa.int32()))), ("over", pa.bool_())])
+    """(key, h, spans) of (key, h, n, piece) rows: the spans [a, b) of starts that repeat. A shard holds whole keys, and is
+    solved when it has shard_bytes."""
+    out = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []  # rows of the key being read
-        shard: list[tuple] = []  # whole keys before it
-        key, size, shard_size, spilling, last = None, 0, 0, False, None
-
-        def solve(rows):
-            if rows:
-                spans = []
-                for (_, _, n, p), twice in zip(rows, repeated_starts([r[3] for r in rows], length), strict=True):
-                    spans.append([[0, len(p) - length + 1]] if n > 1 else edges(twice))
-                yield pa.RecordBatch.from_pydict({"key": [r[0] for r in rows], "h": [r[1] for r in rows], "n": [r[2] for r in rows], "piece": [None] * len(rows), "spans": spans, "over": [False] * len(rows)}, out)
+        shard: list[tuple] = []
+        size, last = 0, None
 
-        def spill(rows):
-            if rows:
-                yield pa.RecordBatch.from_pydict({"key": [r[0] for r in rows], "h": [r[1] for r in rows], "n": [r[2] for r in rows], "piece": [r[3] for r in rows], "spans": [None] * len(rows), "over": [True] * len(rows)}, out)
+        def solve():
+            every = [r[3] for r in shard]
+            at = np.flatnonzero(hopeful(every, length)).tolist()
+            found = dict(zip(at, map(edges, repeated_starts([every[i] for i in at], length)), strict=True)) if at else {}
+            spans = [[[0, len(p) - length + 1]] if n > 1 else found.get(i, []) for i, (_, _, n, p) in enumerate(shard)]
+            return pa.RecordBatch.from_pydict({"key": [r[0] for r in shard], "h": [r[1] for r in shard], "spans": spans}, out)
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "h", "n", "piece")), strict=True):
-                if row[:2] == last:
-                    continue
-                last = row[:2]
-                if row[0] != key:
-                    if not spilling:
-                        shard += group
-                        shard_size += size
-                    if shard_size > shard_bytes:
-                        yield from solve(shard)
-                        shard, shard_size = [], 0
-                    group, key, size, spilling = [], row[0], 0, False
-                group.append(row)
+                if row[0] != last and size >= shard_bytes:
+                    yield solve()
+                    shard, size = [], 0
+                last = row[0]
+                shard.append(row)
                 size += len(row[3])
-                # a single piece may be as long as a text; several may not pass the limit
-                if spilling or size > shard_bytes and len(group) > 1:
-                    yield from spill(group)
-                    spilling, group = True, []
-        yield from solve(shard + group if not spilling else shard)
+        if shard:
+            yield solve()
 
     sorted_ = pieces.select("key", "h", "n", "piece").repartition("key").sortWithinPartitions("key", "h")
-    return sorted_.mapInArrow(run, "key long, h long, n long, piece binary, spans array<array<int>>, over boolean")
+    return sorted_.mapInArrow(run, "key long, h long, spans array<array<int>>")
+
+
+def repeated_spans(texts: DataFrame, length: int, grams: tuple[int, ...], shard_bytes: int, scratch: Scratch, level: int = 0) -> DataFrame:
+    """(id, spans) of the texts (id, n: copies, data) that hold a start whose `length` bytes start elsewhere too: the spans [a, b)
+    of such starts, of one text in any order. A written table."""
+    gram, last, name = grams[level], level + 1 == len(grams), lambda what: f"{what}-{level}"
+    runs = scratch.keep(cut_runs(texts, length, gram), name("runs"))
+    twice = runs.groupBy("key").agg(F.sum(F.col("n") * F.col("seen")).alias("c")).where("c > 1").select("key")
+    kept = scratch.keep(runs.join(twice, "key", "left_semi"), name("kept"))
+    scratch.drop(name("runs"))
+    # one place to cut each different run out of, and how often it stands in the corpus
+    places = kept.groupBy("key", "h").agg(F.sum("n").alias("n"), F.min(F.struct("id", "lo", "starts")).alias("at"))
+    places = scratch.keep(places, name("places"))
+    sizes = places.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("pieces"), F.sum(F.col("at.starts") + F.lit(length - 1)).alias("bytes"))
+    kind = F.when((F.col("pieces") == 1) & (F.col("n") > 1), F.lit("whole")).when(F.lit(not last) & (F.col("pieces") > 1) & (F.col("bytes") >= shard_bytes // 4), F.lit("over")).otherwise(F.lit("solve"))
+    classed = scratch.keep(places.join(sizes, F.col("key") == F.col("k")).select("key", "h", "n", "at", kind.alias("kind")), name("classed"))
+    scratch.drop(name("places"))
+    solved = mark_shards(cut_out(classed.where("kind = 'solve'"), texts, length, last), length, shard_bytes)
+    spans = scratch.keep(solved.where("size(spans) > 0"), name("solved"))
+    spans = spans.union(classed.where("kind = 'whole'").select("key", "h", F.array(F.array(F.lit(0), F.col("at.starts"))).alias("spans")))
+    over = classed.where("kind = 'over'")
+    if over.limit(1).count():
+        again = cut_out(over, texts, length, last).select(F.monotonically_increasing_id().alias("id"), "n", F.col("piece").alias("data"), "key", "h")
+        again = scratch.keep(again, name("again"))
+        inner = repeated_spans(again, length, grams, shard_bytes, scratch, level + 1)
+        spans = spans.union(again.select("id", "key", "h").join(inner, "id").select("key", "h", "spans"))
+    at = F.array(F.array(F.col("lo"), F.col("lo") + F.col("starts"))) if last else F.transform("spans", lambda s: F.array(F.col("lo") + s[0], F.col("lo") + s[1]))
+    found = kept.select("key", "h", "id", "lo", "starts").join(spans, ["key", "h"]).select("id", at.alias("spans"))
+    found = scratch.keep(found.groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans")), name("found"))
+    scratch.drop(name("kept"), name("classed"), name("solved"), name("again"), f"found-{level + 1}")
+    return found
 
 
 def edges(flags: np.ndarray) -> list[list[int]]:
@@ -167,22 +221,6 @@ def edges(flags: np.ndarray) -> list[list[int]]:
     return change.reshape(-1, 2).tolist()
 
 
-def mark_by_hash(over: DataFrame, length: int) -> DataFrame:
-    """The spans of repeating starts of (key, h, n, piece) rows, by a 128-bit hash of every start's string."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        import xxhash
-
-        for key, h, n, piece in zip(*(batch.column(c).to_pylist() for c in ("key", "h", "n", "piece")), strict=True):
-            starts = range(len(piece) - length + 1)
-            yield {"key": [key] * len(starts), "h": [h] * len(starts), "n": [n] * len(starts), "at": starts, "hash": [xxhash.xxh3_128_digest(piece[i : i + length]) for i in starts]}
-
-    rows = arrow_map(over.select("key", "h", "n", "piece"), run, "key long, h long, n long, at int, hash binary")
-    twice = rows.groupBy("hash").agg(F.sum("n").alias("c")).where("c > 1").select("hash")
-    found = rows.join(twice, "hash", "left_semi").groupBy("key", "h").agg(F.collect_list("at").alias("ats"))
-    return found.select("key", "h", F.transform("ats", lambda a: F.array(a, a + 1)).alias("spans"))
-
-
 def whole_characters(data: bytes, spans: list[list[int]]) -> list[list[int]]:
     """Spans shrunk to whole UTF-8 characters."""
     inner = lambda i: i < len(data) and data[i] & 0xC0 == 0x80
@@ -197,64 +235,43 @@ def whole_characters(data: bytes, spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, kept_text: bool = False) -> DataFrame:
-    """One row per distinct text of docs: t1, t2 (xxhash64 of the text; of the text and 1), n_bytes, spans (maximal byte
-    runs [a, b) covered by a `length`-byte string that starts elsewhere too), n_removed, n_spans, kept_sha256, and with
-    kept_text also kept_text, where spans are shrunk to whole characters.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, shard_bytes: int = SHARD_BYTES, kept_text: bool = False, hashes=HASHES) -> DataFrame:
+    """row__ (the row of docs, as a struct), n_bytes, spans (maximal byte runs [a, b) covered by a `length`-byte string that
+    starts elsewhere too), n_removed, n_spans, kept_sha256, kept_text of every row of docs; kept_text, where spans are shrunk to
+    whole characters, is null unless asked for.
 
     Texts are UTF-8 bytes; null is empty; strings never cross texts. Repeated rows make all of their text (from
-    `length` bytes on) repeat. Texts shorter than `length` keep all. Only the text column of docs is read.
+    `length` bytes on) repeat. Texts shorter than `length` keep all. Other columns, whatever their names, only pass.
+    grams ascend to `length`. hashes: the two that stand for a text.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "suffixes")
-    texts = scratch.keep(distinct_texts(docs), "texts")
-    scratch.drop()
-    runs = scratch.keep(cut_runs(texts, length, gram), "runs")
-    twice = runs.groupBy("key").agg(F.sum("weight").alias("c")).where("c > 1").select("key")
-    kept = scratch.keep(runs.join(twice, "key", "left_semi").drop("weight"), "kept")
-    scratch.drop("runs")
-    # one place to cut each different run out of, and how often it stands in the corpus
-    places = kept.groupBy("key", "h").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "lo", "starts")).alias("at"))
-    by_text = places.groupBy(F.col("at.t1").alias("p1"), F.col("at.t2").alias("p2")).agg(F.collect_list(F.struct("key", "h", "n", F.col("at.lo").alias("lo"), F.col("at.starts").alias("starts"))).alias("cuts"))
-
-    def cut_out(batch: pa.RecordBatch) -> Iterator[dict]:
-        out: dict[str, list] = {"key": [], "h": [], "n": [], "piece": []}
-        for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            for c in cuts:
-                for k in ("key", "h", "n"):
-                    out[k].append(c[k])
-                out["piece"].append(data[c["lo"] : c["lo"] + c["starts"] + length - 1])
-        yield out
-
-    pieces = arrow_map(texts.join(by_text, (F.col("t1") == F.col("p1")) & (F.col("t2") == F.col("p2"))).select("text", "cuts"), cut_out, "key long, h long, n long, piece binary")
-    marked = scratch.keep(mark_shards(pieces, length, shard_bytes), "marked")
-    scratch.drop()
-    spans = marked.where("not over and size(spans) > 0").select("key", "h", "spans").union(mark_by_hash(marked.where("over"), length))
-    covered = kept.select("key", "h", "t1", "t2", "lo").join(spans, ["key", "h"]).select(F.col("t1").alias("p1"), F.col("t2").alias("p2"), F.transform("spans", lambda s: F.array(F.col("lo") + s[0], F.col("lo") + s[1] + (length - 1))).alias("spans"))
-    per_text = covered.groupBy("p1", "p2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    joined = texts.join(per_text, (F.col("t1") == F.col("p1")) & (F.col("t2") == F.col("p2")), "left").select("t1", "t2", "text", "spans")
+    scratch = Scratch(docs.sparkSession, "repeats")
+    texts = scratch.keep(numbered_texts(docs, hashes), "texts")
+    found = repeated_spans(texts, length, grams, shard_bytes, scratch)
+    spans = scratch.keep(texts.select("id", "t").join(found, "id").select(F.col("t.a").alias("a2"), F.col("t.b").alias("b2"), "spans"), "spans")
+    scratch.drop("texts", "found-0")
+    rows = docs.select(whole_row(), text_of().alias("text__"), text_key(hashes).alias("t")).select("row__", "text__", F.col("t.a").alias("a"), F.col("t.b").alias("b"))
+    joined = rows.join(spans, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left").select("row__", "text__", "spans")
 
     def finish(batch: pa.RecordBatch) -> Iterator[dict]:
         import hashlib
 
         out: dict[str, list] = {k: [] for k in ("n_bytes", "spans", "n_removed", "n_spans", "kept_sha256", "kept_text")}
-        for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, starts in zip(batch.column("text__").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             data, merged = text.encode("utf-8", "surrogatepass"), []
-            for a, b in sorted(found or []):
+            for a, b in sorted(starts or []):
                 if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
+                    merged[-1][1] = max(merged[-1][1], b + length - 1)
                 else:
-                    merged.append([a, b])
+                    merged.append([a, b + length - 1])
             out["n_bytes"].append(len(data))
             out["spans"].append(merged)
             out["n_removed"].append(sum(b - a for a, b in merged))
             out["n_spans"].append(len(merged))
             out["kept_sha256"].append(hashlib.sha256(without(data, merged)).hexdigest())
             out["kept_text"].append(without(data, whole_characters(data, merged)).decode("utf-8", "surrogatepass") if kept_text else None)
-        yield {"t1": batch.column("t1"), "t2": batch.column("t2")} | out
+        yield {"row__": batch.column("row__")} | out
 
-    return arrow_map(joined, finish, "t1 long, t2 long, n_bytes long, spans array<array<int>>, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return arrow_map(joined, finish, types_of("n_bytes long, spans array<array<int>>, n_removed long, n_spans long, kept_sha256 string, kept_text string", joined))
 
 
 def without(data: bytes, spans: list[list[int]]) -> bytes:
@@ -265,12 +282,6 @@ def without(data: bytes, spans: list[list[int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], **options) -> DataFrame:
-    """`keep` columns of every row of docs, and the columns of `repeats` but t1 and t2. `keep` must not clash with them."""
-    done = Scratch(docs.sparkSession, "repeats").keep(repeats(docs, **options), "done").withColumnsRenamed({"t1": "d1", "t2": "d2"})
-    rows = docs.select(*keep, F.xxhash64(text_of()).alias("r1"), F.xxhash64(text_of(), F.lit(1)).alias("r2"))
-    return rows.join(done, (F.col("r1") == F.col("d1")) & (F.col("r2") == F.col("d2"))).drop("r1", "r2", "d1", "d2")
-
-
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return remove_repeats(docs).select("row__.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
