@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.sources.folders import read_text, write_text
+
 #: Pairwise statistics of classes are skipped beyond so many classes.
 TYPE_LIMIT = 1024
+#: What names a class among predicates.
+CLASS = "class:"
 
 
 @dataclass(frozen=True)
@@ -22,11 +25,14 @@ class Property:
 
 @dataclass
 class Stats:
-    """properties: by predicate; pairs: (p1, p2, kind SS/SO/OS/OO) -> exact join size; classes: class -> (count, least, greatest subject)."""
+    """properties: by predicate; pairs: (p1, p2, kind SS/SO/OS/OO) -> exact join size, a class by CLASS + its name; classes: class ->
+    (count, least, greatest subject); typed: classes not listed have no member; paired: pairs not listed have size 0."""
 
     properties: dict[str, Property] = field(default_factory=dict)
     pairs: dict[tuple[str, str, str], int] = field(default_factory=dict)
     classes: dict[str, tuple] = field(default_factory=dict)
+    typed: bool = False
+    paired: bool = False
 
     def of(self, p: str) -> Property:
         return self.properties.get(p, Property())
@@ -54,22 +60,23 @@ def pair_sizes(triples: DataFrame) -> DataFrame:
     return degree.join(other, "v").groupBy(F.col("p").alias("p1"), "p2", F.concat("side", "side2").alias("kind")).agg(F.sum(F.col("c") * F.col("c2")).alias("n"))
 
 
-def with_classes(triples: DataFrame, type_name: str, limit: int = TYPE_LIMIT) -> DataFrame:
-    """Triples in which each class is a relation of its own, named 'class:<c>', in place of the type relation; with more
-    than `limit` classes the type relation is dropped instead."""
+def with_classes(triples: DataFrame, type_name: object, limit: int = TYPE_LIMIT, name: Column | None = None) -> DataFrame:
+    """Triples in which each class is a relation of its own, named 'class:<c>' (or `name`), in place of the type relation; with
+    more than `limit` classes the type relation is dropped instead, and pairs with classes are not known."""
     types = triples.where(F.col("p") == type_name)
     rest = triples.where(F.col("p") != type_name)
     if types.select("o").distinct().limit(limit + 1).count() > limit:
         return rest
-    return rest.unionByName(types.select("s", F.concat(F.lit("class:"), F.col("o").cast("string")).alias("p"), "o"))
+    return rest.unionByName(types.select("s", (F.concat(F.lit(CLASS), F.col("o").cast("string")) if name is None else name).alias("p"), "o"))
 
 
-def collect_stats(triples: DataFrame, type_name: str, pairs: bool = True) -> Stats:
-    """All statistics to the driver: one row per predicate, class and pair of them, not per triple."""
+def collect_stats(triples: DataFrame, type_name: str, pairs: bool = True, limit: int = TYPE_LIMIT) -> Stats:
+    """All statistics to the driver: one row per predicate, class and pair of them, not per triple. A store keeps them as
+    tables instead, and reads what a query needs."""
     props = {r["p"]: Property(r["n"], r["distinct_s"], r["distinct_o"]) for r in property_stats(triples).collect()}
-    classes = {r["class"]: (r["n"], r["min_s"], r["max_s"]) for r in class_stats(triples.where(F.col("p") == type_name)).limit(TYPE_LIMIT).collect()}
-    sizes = {(r["p1"], r["p2"], r["kind"]): r["n"] for r in pair_sizes(triples).collect()} if pairs else {}
-    return Stats(props, sizes, classes)
+    classes = {r["class"]: (r["n"], r["min_s"], r["max_s"]) for r in class_stats(triples.where(F.col("p") == type_name)).collect()}
+    sizes = {(r["p1"], r["p2"], r["kind"]): r["n"] for r in pair_sizes(with_classes(triples, type_name, limit)).collect()} if pairs else {}
+    return Stats(props, sizes, classes, True, pairs and len(classes) <= limit)
 
 
 def fingerprint(triples: DataFrame) -> str:
@@ -78,23 +85,25 @@ def fingerprint(triples: DataFrame) -> str:
     return f"{n}-{x}-{total}"
 
 
-def save(stats: Stats, path: str, mark: str = "") -> None:
-    Path(path).write_text(json.dumps({"fingerprint": mark, "properties": {k: [v.count, v.distinct_s, v.distinct_o] for k, v in stats.properties.items()}, "pairs": [[*k, v] for k, v in stats.pairs.items()], "classes": {k: list(v) for k, v in stats.classes.items()}}))
+def save(spark: SparkSession, stats: Stats, path: str, mark: str = "") -> None:
+    """The statistics as a JSON file, on any file system of the cluster."""
+    write_text(spark, path, json.dumps({"fingerprint": mark, "typed": stats.typed, "paired": stats.paired, "properties": {k: [v.count, v.distinct_s, v.distinct_o] for k, v in stats.properties.items()}, "pairs": [[*k, v] for k, v in stats.pairs.items()], "classes": {k: list(v) for k, v in stats.classes.items()}}))
 
 
-def load(path: str, mark: str | None = None) -> Stats | None:
+def load(spark: SparkSession, path: str, mark: str | None = None) -> Stats | None:
     """The saved statistics; None where there are none or their fingerprint is another."""
-    if not Path(path).exists():
+    text = read_text(spark, path)
+    if text is None:
         return None
-    x = json.loads(Path(path).read_text())
+    x = json.loads(text)
     if mark is not None and x["fingerprint"] != mark:
         return None
-    return Stats({k: Property(*v) for k, v in x["properties"].items()}, {(a, b, k): n for a, b, k, n in x["pairs"]}, {k: tuple(v) for k, v in x["classes"].items()})
+    return Stats({k: Property(*v) for k, v in x["properties"].items()}, {(a, b, k): n for a, b, k, n in x["pairs"]}, {k: tuple(v) for k, v in x["classes"].items()}, x["typed"], x["paired"])
 
 
 def merge(a: Stats, b: Stats) -> Stats:
     """Entries of both; b's where both have one."""
-    return Stats(a.properties | b.properties, a.pairs | b.pairs, a.classes | b.classes)
+    return Stats(a.properties | b.properties, a.pairs | b.pairs, a.classes | b.classes, a.typed and b.typed, a.paired and b.paired)
 
 
 @dataclass(frozen=True)

@@ -1,8 +1,13 @@
-"""Graph patterns as DataFrames: scans with columns named by variable, natural joins, projection and the modifiers."""
+"""Graph patterns as DataFrames: scans with columns named by variable, joins, projection and the modifiers.
+
+Columns keep the values of the graph (ids, table keys or texts) through patterns, joins, unions, DISTINCT and GROUP BY.
+Texts are fetched only where a filter, an order, an aggregate or the result looks at them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,71 +15,220 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import UnsupportedQuery
 from graphloom.functions.stats import Stats
-from graphloom.plans.algebra import Aggregate, Const, Expr, Group, Pattern, Query, Var
+from graphloom.operators.range_join import range_join
+from graphloom.plans.algebra import Aggregate, Computed, Const, Expr, Group, Pattern, Query, Var
 from graphloom.plans.order import best_order, connected
+from graphloom.sources.terms import TextTerms
 
-#: relation(predicate, by_object) -> (s, o) rows; constant(text) -> the value to compare with, None if the graph lacks it.
+#: relation(predicate, by_object) -> (s, o) rows.
 Relation = Callable[[str, bool], DataFrame]
-Constant = Callable[[str], object]
 
 
-def scan(p: Pattern, relation: Relation, constant: Constant, repeated: bool = False) -> DataFrame:
+@dataclass
+class Graph:
+    """What patterns are read from. constants: the values of the query's constants."""
+
+    relation: Relation
+    terms: TextTerms
+    constants: dict[str, object] = field(default_factory=dict)
+    stats: Stats = field(default_factory=Stats)
+    cross: bool = False
+    functions: dict[str, Callable[..., Column]] = field(default_factory=dict)
+
+    def texts(self, rows: Rows, names: set[str]) -> DataFrame:
+        """rows with the texts of these variables beside them, under text_name."""
+        there = names & set(rows.names)
+        df = rows.df.withColumns({text_name(n): F.col(n) for n in there & rows.values})
+        return self.terms.with_texts(df, {n: text_name(n) for n in sorted(there - rows.values)})
+
+
+def text_name(name: str) -> str:
+    return f"__text_{name}"
+
+
+@dataclass
+class Rows:
+    """Columns by variable. maybe: those that may be unbound (null); values: those that hold computed values, not the graph's."""
+
+    df: DataFrame
+    maybe: frozenset[str] = frozenset()
+    values: frozenset[str] = frozenset()
+
+    @property
+    def names(self) -> list[str]:
+        return self.df.columns
+
+    def where(self, condition: Column) -> Rows:
+        return Rows(self.df.where(condition), self.maybe, self.values)
+
+    def bound(self, name: str) -> Rows:
+        return Rows(self.df.where(F.col(name).isNotNull()), self.maybe - {name}, self.values)
+
+    def unbound(self, name: str) -> Rows:
+        return Rows(self.df.where(F.col(name).isNull()).drop(name), self.maybe - {name}, self.values - {name})
+
+
+def scan(p: Pattern, g: Graph, repeated: bool = False) -> Rows:
     """The pattern's rows, columns named by its variables; constants become filters that reach the scan. A constant the
     graph does not hold makes it empty."""
-    rows = relation(p.p, isinstance(p.o, Const) and not isinstance(p.s, Const))
+    rows = g.relation(p.p, isinstance(p.o, Const) and not isinstance(p.s, Const))
     condition = F.lit(True)
+    matches = getattr(g.terms, "matches", g.terms.equals)
     for term, col in ((p.s, "s"), (p.o, "o")):
         if isinstance(term, Const):
-            v = constant(term.text)
-            condition = condition & (F.lit(False) if v is None else F.col(col) == F.lit(v))
+            v = g.constants[term.text]
+            condition = condition & (F.lit(False) if v is None else matches(F.col(col), v))
     if len(p.names) == 2 and p.names[0] == p.names[1]:
         if not repeated:
             raise UnsupportedQuery("the same variable as subject and object is not supported")
-        return rows.where(condition & (F.col("s") == F.col("o"))).select(F.col("s").alias(p.names[0]))
+        return Rows(rows.where(condition & (F.col("s") == F.col("o"))).select(F.col("s").alias(p.names[0])))
     picked = [F.col(c).alias(t.name) for t, c in ((p.s, "s"), (p.o, "o")) if isinstance(t, Var)]
-    return rows.where(condition).select(*picked) if not all(isinstance(t, Const) for t in (p.s, p.o)) else rows.where(condition).select(F.lit(1).alias("__exists"))
+    return Rows(rows.where(condition).select(*picked) if picked else rows.where(condition).select(F.lit(1).alias("__exists")))
+
+
+def aligned(a: Rows, b: Rows, g: Graph) -> tuple[Rows, Rows]:
+    """Variables that hold the graph's values on one side and computed ones on the other, as texts on both."""
+    odd = {v for v in a.names if v in b.names and (v in a.values) != (v in b.values)}
+
+    def plain(r: Rows) -> Rows:
+        df = g.texts(r, odd)
+        return Rows(df.select(*(F.col(text_name(n)).cast("string").alias(n) if n in odd else F.col(n) for n in r.names)), r.maybe, r.values | odd)
+
+    return (plain(a), plain(b)) if odd else (a, b)
+
 
+def stacked(parts: list[Rows]) -> Rows:
+    """The rows of all; a variable that one of them lacks may be unbound."""
+    every = list(dict.fromkeys(n for r in parts for n in r.names))
+    maybe = frozenset().union(*(r.maybe | (set(every) - set(r.names)) for r in parts))
+    df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [r.df for r in parts])
+    return Rows(df.select(*every), maybe, frozenset().union(*(r.values for r in parts)))
 
-def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-    shared = [c for c in a.columns if c in b.columns]
-    if not shared:
-        return a.crossJoin(b) if how == "inner" else a.join(b, F.lit(True), how)
-    return a.join(b, shared, how)
 
+def join(a: Rows, b: Rows, g: Graph) -> Rows:
+    """All pairs of rows that agree where both are bound. Every part is a join on equal columns: rows whose shared variable is
+    unbound on one side are joined on the others."""
+    a, b = aligned(a, b, g)
+    shared = [n for n in a.names if n in b.names]
+    loose = [n for n in shared if n in a.maybe | b.maybe]
+    if not loose:
+        df = a.df.join(b.df, shared) if shared else a.df.crossJoin(b.df)
+        return Rows(df, a.maybe | b.maybe, a.values | b.values)
+    v = loose[0]
+    parts = [join(a.bound(v), b.bound(v), g)]
+    if v in a.maybe:
+        parts.append(join(a.unbound(v), b, g))
+    if v in b.maybe:
+        parts.append(join(a.bound(v), b.unbound(v), g))
+    out = stacked(parts)
+    return Rows(out.df, (a.maybe | b.maybe) - (set() if v in a.maybe & b.maybe else {v}), out.values)
 
-def bgp(patterns: list[Pattern], relation: Relation, constant: Constant, stats: Stats | None = None, cross: bool = False, repeated: bool = False, chosen: list | None = None) -> DataFrame:
+
+def left_join(a: Rows, b: Rows, filters: list[Expr], g: Graph) -> Rows:
+    """a's rows with every row of b that agrees and passes the filters, which see both sides; else alone."""
+    a, b = aligned(a, b, g)
+    shared = [n for n in a.names if n in b.names]
+    if not g.cross and not [n for n in shared if n not in a.maybe | b.maybe]:
+        raise UnsupportedQuery("an optional part shares no variable that is always bound: its product must be asked for")
+    wanted = set().union(*map(texts_of, filters)) if filters else set()
+    left, right = g.texts(a, wanted), g.texts(b, wanted)
+    right = right.select(*(F.col(c).alias(f"__right_{c}") for c in right.columns))
+    on = F.lit(True)
+    for n in shared:
+        x, y = F.col(n), F.col(f"__right_{n}")
+        on = on & ((x == y) | x.isNull() | y.isNull() if n in a.maybe | b.maybe else x == y)
+    held = [*left.columns, *right.columns]
+
+    def resolve(c: str) -> Column | None:
+        found = [F.col(x) for x in (c, f"__right_{c}") if x in held]
+        return F.coalesce(*found) if found else None
+
+    for f in filters:
+        on = on & expression(f, resolve, g, a.values | b.values)
+    joined = left.join(right, on, "left")
+    new = [n for n in b.names if n not in shared]
+    out = joined.select(*(F.coalesce(n, f"__right_{n}").alias(n) if n in shared and n in a.maybe else F.col(n) for n in a.names), *(F.col(f"__right_{n}").alias(n) for n in new))
+    return Rows(out, a.maybe | set(new), a.values | b.values)
+
+
+def bgp(patterns: list[Pattern], g: Graph, repeated: bool = False, chosen: list | None = None) -> Rows:
     """Left-deep natural joins in the planner's order. Patterns without variables are existence checks.
 
     Disconnected patterns with variables raise unless `cross` allows their product. chosen: gets the order.
     """
-    if not cross and not connected(patterns):
+    if not g.cross and not connected(patterns):
         raise UnsupportedQuery("patterns share no variable: their product must be asked for")
     bound = [p for p in patterns if p.names]
-    order, cost = best_order(bound, stats or Stats()) if bound else ([], 0.0)
+    order, cost = best_order(bound, g.stats) if bound else ([], 0.0)
     if chosen is not None:
         chosen += [[bound[i] for i in order], cost]
     out = None
     for i in order:
-        rows = scan(bound[i], relation, constant, repeated)
-        out = rows if out is None else natural_join(out, rows)
+        rows = scan(bound[i], g, repeated)
+        out = rows if out is None else join(out, rows, g)
     for p in patterns:
         if not p.names:  # 0 or 1 row, so the product is an existence check
-            there = scan(p, relation, constant).limit(1)
-            out = there if out is None else out.crossJoin(F.broadcast(there))
-    return out.drop("__exists") if bound else out
+            there = scan(p, g).df.limit(1)
+            out = Rows(there) if out is None else Rows(out.df.crossJoin(F.broadcast(there)))
+    return Rows(out.df.drop("__exists")) if bound else out
+
 
+COMPARISONS = ("=", "!=", "<", "<=", ">", ">=")
+NUMERIC = ("+", "-", "*", "/", "strlen", "abs", "integer", "double")
 
-def expression(e, columns: list[str]) -> Column:
-    """A column from a filter's expression; terms compare as text."""
+
+def by_value(e) -> bool:
+    """Whether an expression compares variables or constants for equality, which needs no texts."""
+    return isinstance(e, Expr) and e.op in ("=", "!=") and all(isinstance(a, Var | Const) for a in e.args) and any(isinstance(a, Var) for a in e.args)
+
+
+def texts_of(e) -> set[str]:
+    """The variables whose texts an expression needs."""
     if isinstance(e, Var):
-        return F.col(e.name) if e.name in columns else F.lit(None).cast("string")
+        return {e.name}
+    if isinstance(e, Const) or by_value(e) or e.op == "bound":
+        return set()
+    return set().union(*map(texts_of, e.args))
+
+
+def constants_of(e) -> list[str]:
+    """The constants that an expression compares with values of the graph."""
+    if not isinstance(e, Expr):
+        return []
+    return [a.text for a in e.args if isinstance(a, Const)] if by_value(e) else [t for a in e.args for t in constants_of(a)]
+
+
+def expression(e, resolve: Callable[[str], Column | None], g: Graph, values: frozenset[str] | set[str]) -> Column:
+    """A column from an expression; terms compare as text. resolve: a column of the rows by its name, None if it is not there."""
+    null = F.lit(None).cast("string")
+    if isinstance(e, Var):
+        found = resolve(text_name(e.name))
+        return null if found is None else found
     if isinstance(e, Const):
         return F.lit(e.text)
     if e.op == "bound":
-        return expression(e.args[0], columns).isNotNull()
-    args = [expression(a, columns) for a in e.args]
-    if e.op in ("=", "!=", "<", "<=", ">", ">="):
-        if any(isinstance(a, Expr) and a.op in ("+", "-", "*", "/", "strlen", "abs", "integer", "double") for a in e.args):
+        found = resolve(e.args[0].name)
+        return F.lit(False) if found is None else found.isNotNull()
+    if by_value(e):
+        x, y = e.args if isinstance(e.args[0], Var) else e.args[::-1]
+        one, other = resolve(x.name), resolve(y.name) if isinstance(y, Var) else None
+        if one is None or isinstance(y, Var) and other is None:
+            return F.lit(None).cast("boolean")
+        if isinstance(y, Const):
+            same = one.cast("string") == y.text if x.name in values else g.terms.equals(one, g.constants[y.text])
+        elif (x.name in values) != (y.name in values):
+            raise UnsupportedQuery(f"?{x.name} and ?{y.name} are not of one kind")
+        else:
+            same = one == other
+        return same if e.op == "=" else ~same
+    if e.op == "call":
+        name, args = e.args[0].text, e.args[1:]
+        if name not in g.functions:
+            raise UnsupportedQuery(f"function {name} is not supported")
+        return g.functions[name](*(expression(a, resolve, g, values) for a in args))
+    args = [expression(a, resolve, g, values) for a in e.args]
+    if e.op in COMPARISONS:
+        if any(isinstance(a, Expr) and a.op in NUMERIC for a in e.args):
             args = [a.try_cast("double") for a in args]
         a, b = args
         return {"=": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[e.op]
@@ -97,70 +251,150 @@ def expression(e, columns: list[str]) -> Column:
         "abs": lambda a: F.abs(a.try_cast("double")),
         "integer": lambda a: a.try_cast("bigint"),
         "double": lambda a: a.try_cast("double"),
-        "concat": lambda *a: F.concat(*a),
+        "concat": lambda *a: F.concat(*(x.cast("string") for x in a)),
     }
     return table[e.op](*args)
 
 
-def group(g: Group, relation: Relation, constant: Constant, stats: Stats | None = None, cross: bool = False, chosen: list | None = None, run: Callable | None = None) -> DataFrame:
-    """A group graph pattern: the basic patterns, then sub-selects, unions and optionals joined to them, then filters."""
-    parts = [bgp(g.patterns, relation, constant, stats, cross, True, chosen)] if g.patterns else []
-    parts += [run(q) for q in g.subqueries]
-    for branches in g.unions:
-        rows = [group(b, relation, constant, stats, cross, None, run) for b in branches]
-        parts.append(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows))
+def evaluated(rows: Rows, es: list, g: Graph) -> tuple[DataFrame, list[Column]]:
+    """rows with the texts that the expressions need, and the expressions as columns of them."""
+    df = g.texts(rows, set().union(*map(texts_of, es)) if es else set())
+    resolve = lambda c: F.col(c) if c in df.columns else None
+    return df, [expression(e, resolve, g, rows.values) for e in es]
+
+
+def filtered(rows: Rows, e: Expr, g: Graph) -> Rows:
+    df, (condition,) = evaluated(rows, [e], g)
+    return Rows(df.where(condition).select(*rows.names), rows.maybe, rows.values)
+
+
+def comparing(filters: list[Expr], a: Rows, b: Rows) -> tuple[Expr, str, str, str] | None:
+    """A filter, or a part of a conjunction, that orders a variable of a against one of b: (it, a's variable, comparison, b's)."""
+    for f in filters:
+        if f.op == "&&" and (found := comparing([x for x in f.args if isinstance(x, Expr)], a, b)):
+            return found
+        if f.op in ("<", "<=", ">", ">=") and all(isinstance(x, Var) for x in f.args):
+            x, y = (v.name for v in f.args)
+            if x in a.names and y in b.names:
+                return f, x, f.op, y
+            if y in a.names and x in b.names:
+                return f, y, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}[f.op], x
+    return None
+
+
+def group(where: Group, g: Graph, chosen: list | None = None, run: Callable[[Query], Rows] | None = None) -> Rows:
+    """A group graph pattern: the basic patterns, then sub-selects, unions and optionals joined to them, then filters. Parts that
+    share no variable meet by a filter that orders a variable of one against one of the other."""
+    parts = [bgp(c, g, True, chosen) for c in components(where.patterns)]
+    parts += [run(q) for q in where.subqueries]
+    for branches in where.unions:
+        parts.append(union([group(b, g, None, run) for b in branches], g))
     if not parts:
         raise UnsupportedQuery("a group needs a pattern")
-    out = parts[0]
-    for other in parts[1:]:
-        if not cross and not set(out.columns) & set(other.columns):
+    out, left = parts[0], parts[1:]
+    while left:
+        near = next((p for p in left if set(out.names) & set(p.names)), None)
+        if near is not None:
+            out = join(out, near, g)
+        elif found := next(((p, c) for p in left if (c := comparing(where.filters, out, p))), None):
+            near, (_, x, op, y) = found
+            df = range_join(g.texts(out, {x}), text_name(x), op, g.texts(near, {y}), text_name(y))
+            out = Rows(df.select(*out.names, *near.names), out.maybe | near.maybe, out.values | near.values)
+        elif g.cross:
+            near = left[0]
+            out = join(out, near, g)
+        else:
             raise UnsupportedQuery("patterns share no variable: their product must be asked for")
-        out = natural_join(out, other)
-    for o in g.optionals:
-        out = natural_join(out, group(Group(o.patterns, o.filters, o.optionals, o.unions, o.subqueries), relation, constant, stats, True, None, run), "left")
-    for f in g.filters:
-        out = out.where(expression(f, out.columns))
+        left = [p for p in left if p is not near]
+    for o in where.optionals:
+        out = left_join(out, group(Group(o.patterns, [], o.optionals, o.unions, o.subqueries), g, None, run), o.filters, g)
+    for f in where.filters:
+        out = filtered(out, f, g)
     return out
 
 
-def modify(rows: DataFrame, q: Query) -> DataFrame:
-    """Projection (bag, in SELECT order), aggregation, DISTINCT, ORDER BY, OFFSET and LIMIT."""
+def components(patterns: list[Pattern]) -> list[list[Pattern]]:
+    """The patterns by connected component; those without variables go with the first."""
+    out: list[list[Pattern]] = []
+    for p in (p for p in patterns if p.names):
+        touching = [c for c in out if any(set(p.names) & set(q.names) for q in c)]
+        out = [c for c in out if c not in touching] + [[q for c in touching for q in c] + [p]]
+    rest = [p for p in patterns if not p.names]
+    order = {id(p): i for i, p in enumerate(patterns)}
+    out = sorted((sorted(c, key=lambda p: order[id(p)]) for c in out), key=lambda c: order[id(c[0])])
+    return [out[0] + rest, *out[1:]] if out else [rest] if rest else []
+
+
+def union(parts: list[Rows], g: Graph) -> Rows:
+    """The rows of all branches; where one computes what another reads from the graph, both become texts."""
+    odd = {n for r in parts for n in r.names if any(n in x.names and (n in x.values) != (n in r.values) for x in parts)}
+    return stacked([Rows(g.texts(r, odd).select(*(F.col(text_name(n)).cast("string").alias(n) if n in odd else F.col(n) for n in r.names)), r.maybe, r.values | (odd & set(r.names))) for r in parts])
+
+
+def modify(rows: Rows, q: Query, g: Graph, decode: bool = False) -> Rows:
+    """Projection (bag, in SELECT order), aggregation, DISTINCT, ORDER BY, OFFSET and LIMIT; decode: the result in texts."""
     if q.ask:
-        return rows.limit(1).agg((F.count("*") > 0).alias("ask"))
-    visible = [c for c in rows.columns if not c.startswith("__")]
-    chosen = q.select if q.select is not None else visible
+        return Rows(rows.df.limit(1).agg((F.count("*") > 0).alias("ask")), values=frozenset({"ask"}))
+    chosen = q.select if q.select is not None else [c for c in rows.names if not c.startswith("__")]
     used = [x for x in chosen if isinstance(x, str)] + [x.arg for x in chosen if isinstance(x, Aggregate) and x.arg] + q.group_by
+    used += [x.value.name for x in chosen if isinstance(x, Computed) and isinstance(x.value, Var)]
     for v in used:
-        if v not in rows.columns:
+        if v not in rows.names:
             raise UnsupportedQuery(f"variable ?{v} is not in the pattern")
     aggregates = [x for x in chosen if isinstance(x, Aggregate)]
     if aggregates or q.group_by:
         loose = [x for x in chosen if isinstance(x, str) and x not in q.group_by]
-        if loose:
-            raise UnsupportedQuery(f"variable ?{loose[0]} is neither grouped nor aggregated")
-
-        def one(a: Aggregate) -> Column:
-            c = F.col(a.arg) if a.arg else F.lit(1)
-            if a.fn == "count":
-                return (F.count_distinct(c) if a.distinct and a.arg else F.count(c)).alias(a.name)
-            if a.fn in ("sum", "avg"):
-                c = c.try_cast("double")
-            fn = {"sum": F.sum_distinct if a.distinct else F.sum, "avg": F.avg, "min": F.min, "max": F.max}[a.fn]
-            return fn(c).alias(a.name)
-
-        rows = rows.groupBy(*q.group_by).agg(*map(one, aggregates)) if aggregates else rows.select(*q.group_by).distinct()
-        order_after = True
-    else:
-        order_after = False
+        if loose or any(isinstance(x, Computed) for x in chosen):
+            raise UnsupportedQuery(f"variable ?{loose[0]} is neither grouped nor aggregated" if loose else "expressions beside aggregates are not supported")
+        rows = aggregated(rows, aggregates, q.group_by, g)
     names = [x if isinstance(x, str) else x.name for x in chosen]
-    keys = [F.col(n).asc_nulls_first() if up else F.col(n).desc_nulls_last() for n, up in q.order_by]
-    if keys and (order_after or not q.distinct) and all(n in rows.columns for n, _ in q.order_by):
-        rows, keys = rows.orderBy(*keys), []
-    rows = rows.select(*names)
+    computed = [x for x in chosen if isinstance(x, Computed)]
+    # a key that is a column only before the projection is kept until the rows are in order
+    df, columns = evaluated(rows, [x.value for x in computed if not isinstance(x.value, Var)], g)
+    made = dict(zip([x.name for x in computed if not isinstance(x.value, Var)], columns, strict=True))
+    renamed = {x.name: x.value.name for x in computed if isinstance(x.value, Var)}
+    keys = [(k, up) for k, up in q.order_by if k in names or k in rows.names]
+    extra = [k for k, _ in keys if k not in names] if not q.distinct else []
+    source = lambda n: made[n] if n in made else F.col(renamed.get(n, n))
+    values = frozenset(n for n in [*names, *extra] if n in made or renamed.get(n, n) in rows.values)
+    maybe = frozenset(n for n in [*names, *extra] if n in made or renamed.get(n, n) in rows.maybe)
+    out = Rows(df.select(*(source(n).alias(n) for n in dict.fromkeys([*names, *extra]))), maybe, values)
     if q.distinct:
-        rows = rows.distinct()
-    if keys:
-        rows = rows.orderBy(*keys)
+        out = Rows(out.df.distinct(), maybe, values)
+    keys = [(k, up) for k, up in keys if k in out.names]
+    paged = q.limit is not None or q.offset
+    df = g.texts(out, {k for k, _ in keys})
+    order = [F.col(text_name(k)).asc_nulls_first() if up else F.col(text_name(k)).desc_nulls_last() for k, up in keys]
+    if order and paged:
+        df = df.orderBy(*order)
     if q.offset:
-        rows = rows.offset(q.offset)
-    return rows if q.limit is None else rows.limit(q.limit)
+        df = df.offset(q.offset)
+    if q.limit is not None:
+        df = df.limit(q.limit)
+    if decode:
+        asked = {n for n in names if n not in values}
+        missing = asked - {k for k, _ in keys}
+        df = g.terms.with_texts(df, {n: text_name(n) for n in sorted(missing)})
+        # fetching texts by joins loses the order
+        df = df.orderBy(*order) if order and (not paged or g.terms.joins and missing) else df
+        return Rows(df.select(*(F.col(text_name(n)).alias(n) if n in asked else F.col(n) for n in names)), maybe, frozenset(names))
+    df = df.orderBy(*order) if order and not paged else df
+    return Rows(df.select(*names), maybe, values)
+
+
+def aggregated(rows: Rows, aggregates: list[Aggregate], by: list[str], g: Graph) -> Rows:
+    df = g.texts(rows, {a.arg for a in aggregates if a.arg and a.fn != "count"})
+
+    def one(a: Aggregate) -> Column:
+        if a.fn == "count":
+            c = F.col(a.arg) if a.arg else F.lit(1)
+            return (F.count_distinct(c) if a.distinct and a.arg else F.count(c)).alias(a.name)
+        c = F.col(text_name(a.arg))
+        if a.fn in ("sum", "avg"):
+            c = c.try_cast("double")
+        fn = {"sum": F.sum_distinct if a.distinct else F.sum, "avg": F.avg, "min": F.min, "max": F.max}[a.fn]
+        return fn(c).alias(a.name)
+
+    out = df.groupBy(*by).agg(*map(one, aggregates)) if aggregates else df.select(*by).distinct()
+    new = {a.name for a in aggregates}
+    return Rows(out, (rows.maybe & set(by)) | new, (rows.values & set(by)) | new)

@@ -30,7 +30,8 @@ class Pattern:
 
 @dataclass(frozen=True)
 class Expr:
-    """op over args: '=', '!=', '<', '<=', '>', '>=', '&&', '||', '!', '+', '-', '*', '/', 'bound', or a function's name."""
+    """op over args: '=', '!=', '<', '<=', '>', '>=', '&&', '||', '!', '+', '-', '*', '/', 'bound', a function's name, or
+    'call' over the name of a function of the engine's own and its arguments."""
 
     op: str
     args: tuple
@@ -53,10 +54,18 @@ class Aggregate:
     name: str
 
 
+@dataclass(frozen=True)
+class Computed:
+    """An expression under a name; a variable alone is renamed."""
+
+    value: Var | Const | Expr
+    name: str
+
+
 @dataclass
 class Query:
     where: Group
-    select: list[str | Aggregate] | None = None  # None: all variables
+    select: list[str | Aggregate | Computed] | None = None  # None: all variables
     ask: bool = False
     distinct: bool = False
     group_by: list[str] = field(default_factory=list)
@@ -68,4 +77,4 @@ class Query:
     def extended(self) -> bool:
         """Whether it goes beyond SELECT over one basic graph pattern."""
         w = self.where
-        return bool(self.ask or self.distinct or self.group_by or self.order_by or self.limit is not None or self.offset or w.filters or w.optionals or w.unions or w.subqueries or any(isinstance(x, Aggregate) for x in self.select or ()))
+        return bool(self.ask or self.distinct or self.group_by or self.order_by or self.limit is not None or self.offset or w.filters or w.optionals or w.unions or w.subqueries or any(isinstance(x, Aggregate) or isinstance(x, Computed) and not isinstance(x.value, Var) for x in self.select or ()))

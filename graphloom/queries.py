@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from graphloom.engine import Engine
 from graphloom.functions.stats import class_stats, pair_sizes, property_stats, with_classes
-from graphloom.plans.parser import RDF_TYPE
+from graphloom.plans.parser import RDF_TYPE, parse
 from graphloom.sources.folders import shared_folder
 from graphloom.sources.store import Store
-from graphloom.sources.triples import EX, MAPPING, PREFIXES, as_triples, from_tables
+from graphloom.sources.triples import EX, MAPPING, PREFIXES, TERMS, as_triples, from_tables, mapped_tables
 
 CLOSED = {
     "f1_chain": "SELECT ?c ?n WHERE { ?c ex:locatedIn ?n . ?n ex:partOf ?r . ?r ex:name \"ASIA\" }",
@@ -42,27 +42,64 @@ EXTENDED = {
     "ext_union": "SELECT ?x WHERE { { ?x ex:partOf ?y } UNION { ?x ex:locatedIn ?y } }",
     "ext_subselect": "SELECT ?n ?k ?name WHERE { ?n ex:name ?name . { SELECT ?n (COUNT(?c) AS ?k) WHERE { ?c ex:locatedIn ?n } GROUP BY ?n } }",
     "ext_expression": "SELECT ?c WHERE { ?c a ex:Customer ; ex:name ?nm FILTER(STRLEN(?nm) * 2 + 1 > 25 && INTEGER(\"7\") < 8) }",
+    "ext_functions": "SELECT ?c (CONCAT(UCASE(STR(?nm)), LCASE(\"-X\")) AS ?u) (ABS(0 - STRLEN(?nm)) AS ?k) WHERE { ?c a ex:Customer ; ex:name ?nm ; ex:segment ?g FILTER(REGEX(?nm, \"[13]$\") && CONTAINS(?g, \"IL\") && STRSTARTS(?g, \"B\") && STRENDS(?g, \"G\")) }",
+    "ext_range_filter": "SELECT ?c ?g WHERE { ?c ex:segment ?g FILTER(?g >= \"BUILDING\" && ?g<\"HOUSEHOLD\" && DOUBLE(\"1.5\") <= 3 / 2) }",
+    "ext_minmax": "SELECT ?n (MIN(?nm) AS ?lo) (MAX(?nm) AS ?hi) WHERE { ?c ex:locatedIn ?n ; ex:name ?nm } GROUP BY ?n",
+    "ext_sums": "SELECT ?r (SUM(?k) AS ?total) (AVG(?k) AS ?mean) (MAX(?k) AS ?top) WHERE { ?n ex:partOf ?r { SELECT ?n (COUNT(?c) AS ?k) WHERE { ?c ex:locatedIn ?n } GROUP BY ?n } } GROUP BY ?r",
+    "ext_rename": "SELECT (?c AS ?customer) (?n AS ?nation) WHERE { ?c ex:locatedIn ?n FILTER(?c != ?n) }",
+    "ext_optional_filter": f"SELECT ?x ?g WHERE {{ ?x ex:locatedIn ?n OPTIONAL {{ ?x ex:segment ?g FILTER(?n = <{EX}nation/1> || ?g < \"C\") }} }}",
+    "ext_optional_twice": "SELECT ?x ?z WHERE { ?x ex:locatedIn ?n OPTIONAL { ?x ex:segment ?z } OPTIONAL { ?x ex:name ?z } }",
+    "ext_union_unbound": "SELECT ?x ?z ?w WHERE { { ?x ex:partOf ?y } UNION { ?x a ?z FILTER(?z = ex:Region) } ?w ex:partOf ?y }",
+    "ext_union_distinct": "SELECT DISTINCT ?y WHERE { { ?x ex:partOf ?y } UNION { ?x ex:locatedIn ?y } }",
+    "ext_order_by_group": "SELECT ?n (COUNT(*) AS ?k) WHERE { ?c ex:locatedIn ?n } GROUP BY ?n ORDER BY ?k DESC(?n) LIMIT 5",
+    "ext_range_join": "SELECT ?a ?b WHERE { ?x ex:segment ?a . ?x ex:locatedIn <http://example.org/nation/3> . ?y ex:brand ?b FILTER(?b > ?a) }",
+    "ext_boolean_function": "SELECT ?c WHERE { ?c ex:name ?nm FILTER(ex:endsWithDigit(?nm, \"7\")) }",
     "ext_ask": "ASK { ?c ex:locatedIn ?n . ?n ex:partOf ?r . ?r ex:name \"ASIA\" }",
     "ext_repeated_variable": "SELECT ?x WHERE { ?x ex:locatedIn ?x }",
 }
+#: Extended queries that also run over a store.
+STORED = ("ext_optional", "ext_distinct", "ext_filter", "ext_group_count", "ext_order_limit", "ext_optional_filter", "ext_optional_twice", "ext_union_unbound", "ext_sums", "ext_functions", "ext_range_join", "ext_is_null", "ext_subselect", "ext_boolean_function")
 CROSS = {"ext_cross": "SELECT ?a ?b WHERE { ?a ex:partOf ?x . ?b a ex:Region }"}
 
 
+FUNCTIONS = {f"{EX}endsWithDigit": lambda text, digit: F.substring(text, -1, 1) == digit}
+
+
 def engine(spark: SparkSession, folder: str) -> Engine:
-    return Engine(from_tables(spark, folder))
+    return Engine(mapped_tables(spark, folder), terms=TERMS, functions=FUNCTIONS)
+
+
+#: Stores written in this process, by session, folder and kind: the queries of one run share them.
+_written: dict[tuple, str] = {}
 
 
-def store(spark: SparkSession, folder: str, inverse: bool = False) -> Store:
-    return Store.write(spark, as_triples(from_tables(spark, folder)), shared_folder(spark, "store"), inverse)
+def store(spark: SparkSession, folder: str, inverse: bool = True) -> Store:
+    """The example graph as a store, written once a session."""
+    key = (spark.sparkContext.applicationId, folder, inverse)
+    if key not in _written:
+        path = shared_folder(spark, "store")
+        Store.write(spark, as_triples(from_tables(spark, folder)), path, inverse)
+        _written[key] = path
+    return Store(spark, _written[key])
 
 
 def answer(text: str, **settings) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: engine(spark, folder).query(PREFIXES + text, **settings)
 
 
-def stored(text: str, inverse: bool = False, **settings) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: Engine(store(spark, folder, inverse)).query(PREFIXES + text, **settings)
+def stored(text: str, inverse: bool = True, **settings) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: Engine(store(spark, folder, inverse), functions=FUNCTIONS).query(PREFIXES + text, **settings)
+
+
+def planned(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """place and predicate of the query's patterns, in the order that the store's statistics give them."""
+
+    def rows(spark: SparkSession, folder: str) -> DataFrame:
+        made, chosen = Engine(store(spark, folder)), []
+        made.run(parse(PREFIXES + text), made.settings, chosen)
+        return spark.createDataFrame([(i, p.p) for i, p in enumerate(chosen[0])], "place int, predicate string")
 
+    return rows
 
 
 def stat_properties(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,8 +115,8 @@ def stat_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stat_class_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of classes and properties alone; pairs of two properties are in stat_pairs."""
-    return pair_sizes(with_classes(as_triples(from_tables(spark, folder)), RDF_TYPE)).where("p1 like 'class:%' and kind in ('SS', 'SO')")
+    """Every two predicates or classes, a class as a relation of its own."""
+    return pair_sizes(with_classes(as_triples(from_tables(spark, folder)), RDF_TYPE))
 
 
 def store_dictionary(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,11 +136,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{k: answer(v, cross=True) for k, v in CROSS.items()},
     "count_only": answer(CLOSED["f6_oo_selfjoin"], count_only=True),
     "store_f2_cycle": stored(CLOSED["f2_cycle"]),
-    "store_f5_both_const": stored(CLOSED["f5_both_const"], inverse=True),
+    "store_f5_both_const": stored(CLOSED["f5_both_const"]),
     "store_f7_unknown_term": stored(CLOSED["f7_unknown_term"]),
-    "store_f10_inverse": stored(CLOSED["f10_os_path"], inverse=True),
+    "store_f9_snowflake": stored(CLOSED["f9_snowflake"]),
+    "store_f10_inverse": stored(CLOSED["f10_os_path"]),
+    "store_f10_forward": stored(CLOSED["f10_os_path"], inverse=False),
+    "store_order_f9": planned(CLOSED["f9_snowflake"]),
     "store_ids_count": stored(CLOSED["f1_chain"], count_only=True, decode=False),
-    "store_ext_optional": stored(EXTENDED["ext_optional"], extended=True),
+    **{f"store_{k}": stored(EXTENDED[k], extended=True) for k in STORED},
     "store_dictionary": store_dictionary,
     "store_triples": store_triples,
     "stat_properties": stat_properties,
@@ -131,6 +171,7 @@ def _sql() -> dict[str, str]:
     cycle = "SELECT pb.s AS o, pb.o AS c, sb.o AS s, l1.o AS n FROM r_placedBy pb JOIN r_suppliedBy sb ON pb.s = sb.s JOIN r_locatedIn l1 ON pb.o = l1.s JOIN r_locatedIn l2 ON sb.o = l2.s AND l1.o = l2.o"
     both = f"SELECT l.s AS c FROM r_locatedIn l WHERE l.o = '{EX}nation/0' AND EXISTS (SELECT 1 FROM r_partOf WHERE s = '{EX}nation/0' AND o = '{EX}region/0')"
     path = "SELECT cp.s AS o, cp.o AS p, pb.o AS c FROM r_containsPart cp JOIN r_brand b ON cp.o = b.s AND b.o = 'Brand#12' JOIN r_placedBy pb ON cp.s = pb.s"
+    snowflake = "SELECT e.s AS e, pb.s AS o FROM r_performedBy e JOIN r_placedBy pb ON e.o = pb.o JOIN r_status st ON pb.s = st.s AND st.o = 'F' JOIN r_locatedIn l ON e.o = l.s JOIN r_name m ON l.o = m.s AND m.o = 'NATION_3'"
     optional = "SELECT l.s AS x, g.o AS g FROM r_locatedIn l LEFT JOIN r_segment g ON l.s = g.s"
     degree = "degree AS (SELECT p, side, v, count(*) AS c FROM (SELECT p, 'S' AS side, s AS v FROM {t} UNION ALL SELECT p, 'O', o FROM {t}) GROUP BY ALL)"
     pairs = "SELECT a.p AS p1, b.p AS p2, a.side || b.side AS kind, CAST(sum(a.c * b.c) AS BIGINT) AS n FROM degree a JOIN degree b ON a.v = b.v GROUP BY ALL"
@@ -144,7 +185,7 @@ def _sql() -> dict[str, str]:
         "f6_oo_selfjoin": "SELECT a.s AS a, b.s AS b FROM r_segment a JOIN r_segment b ON a.o = b.o",
         "f7_unknown_term": f"SELECT s AS c FROM r_locatedIn WHERE o = '{EX}nation/999'",
         "f8_bag_projection": "SELECT o AS n FROM r_locatedIn",
-        "f9_snowflake": "SELECT e.s AS e, pb.s AS o FROM r_performedBy e JOIN r_placedBy pb ON e.o = pb.o JOIN r_status st ON pb.s = st.s AND st.o = 'F' JOIN r_locatedIn l ON e.o = l.s JOIN r_name m ON l.o = m.s AND m.o = 'NATION_3'",
+        "f9_snowflake": snowflake,
         "f10_os_path": path,
         "f11_type_scan": "SELECT s AS x, o AS t FROM r_type",
         "select_star": "SELECT p.s AS n, p.o AS r, m.o AS name FROM r_partOf p JOIN r_name m ON p.o = m.s",
@@ -160,6 +201,18 @@ def _sql() -> dict[str, str]:
         "ext_union": "SELECT s AS x FROM r_partOf UNION ALL SELECT s FROM r_locatedIn",
         "ext_subselect": "SELECT l.n, l.k, m.o AS name FROM (SELECT o AS n, count(*) AS k FROM r_locatedIn GROUP BY o) l JOIN r_name m ON l.n = m.s",
         "ext_expression": f"SELECT t.s AS c FROM r_type t JOIN r_name m ON t.s = m.s WHERE t.o = '{EX}Customer' AND length(m.o) * 2 + 1 > 25",
+        "ext_functions": f"SELECT t.s AS c, upper(m.o) || '-x' AS u, CAST(length(m.o) AS DOUBLE) AS k FROM r_type t JOIN r_name m ON t.s = m.s JOIN r_segment g ON t.s = g.s WHERE t.o = '{EX}Customer' AND regexp_matches(m.o, '[13]$') AND contains(g.o, 'IL') AND starts_with(g.o, 'B') AND suffix(g.o, 'G')",
+        "ext_range_filter": "SELECT s AS c, o AS g FROM r_segment WHERE o >= 'BUILDING' AND o < 'HOUSEHOLD'",
+        "ext_minmax": "SELECT l.o AS n, min(m.o) AS lo, max(m.o) AS hi FROM r_locatedIn l JOIN r_name m ON l.s = m.s GROUP BY l.o",
+        "ext_sums": "SELECT p.o AS r, CAST(sum(k) AS DOUBLE) AS total, avg(k) AS mean, CAST(max(k) AS BIGINT) AS top FROM r_partOf p JOIN (SELECT o AS n, count(*) AS k FROM r_locatedIn GROUP BY o) c ON p.s = c.n GROUP BY p.o",
+        "ext_rename": "SELECT s AS customer, o AS nation FROM r_locatedIn WHERE s <> o",
+        "ext_optional_filter": f"SELECT l.s AS x, g.o AS g FROM r_locatedIn l LEFT JOIN r_segment g ON l.s = g.s AND (l.o = '{EX}nation/1' OR g.o < 'C')",
+        "ext_optional_twice": "SELECT l.s AS x, coalesce(g.o, m.o) AS z FROM r_locatedIn l LEFT JOIN r_segment g ON l.s = g.s LEFT JOIN r_name m ON l.s = m.s AND (g.o IS NULL OR g.o = m.o)",
+        "ext_union_unbound": f"SELECT a.s AS x, NULL AS z, b.s AS w FROM r_partOf a JOIN r_partOf b ON a.o = b.o UNION ALL SELECT t.s, t.o, p.s FROM r_type t, r_partOf p WHERE t.o = '{EX}Region'",
+        "ext_union_distinct": "SELECT o AS y FROM r_partOf UNION SELECT o FROM r_locatedIn",
+        "ext_order_by_group": "SELECT o AS n, count(*) AS k FROM r_locatedIn GROUP BY o ORDER BY k, n DESC LIMIT 5",
+        "ext_range_join": f"SELECT g.o AS a, b.o AS b FROM r_segment g JOIN r_locatedIn l ON g.s = l.s AND l.o = '{EX}nation/3', r_brand b WHERE b.o > g.o",
+        "ext_boolean_function": "SELECT s AS c FROM r_name WHERE right(o, 1) = '7'",
         "ext_ask": f"SELECT count(*) > 0 AS ask {chain}",
         "ext_repeated_variable": "SELECT s AS x FROM r_locatedIn WHERE s = o",
         "ext_cross": f"SELECT p.s AS a, t.s AS b FROM r_partOf p, r_type t WHERE t.o = '{EX}Region'",
@@ -168,17 +221,19 @@ def _sql() -> dict[str, str]:
         "store_f5_both_const": both,
         "store_f7_unknown_term": f"SELECT s AS c FROM r_locatedIn WHERE o = '{EX}nation/999'",
         "store_f10_inverse": path,
+        "store_f10_forward": path,
+        "store_f9_snowflake": snowflake,
         "store_ids_count": f"SELECT count(*) AS n {chain}",
-        "store_ext_optional": optional,
         "store_dictionary": "SELECT s AS term FROM triples UNION SELECT o FROM triples",
         "store_triples": "SELECT s, p, o FROM triples",
         "stat_properties": "SELECT p, count(*) AS n, count(DISTINCT s) AS distinct_s, min(s) AS min_s, max(s) AS max_s, count(DISTINCT o) AS distinct_o, min(o) AS min_o, max(o) AS max_o FROM triples GROUP BY p",
         "stat_classes": "SELECT o AS class, count(*) AS n, min(s) AS min_s, max(s) AS max_s FROM r_type GROUP BY o",
     }
+    body |= {f"store_{k}": body[k] for k in STORED}
     head = relations()
     out = {k: head + v for k, v in body.items()}
     out["stat_pairs"] = head.rstrip() + f",\nt2 AS (SELECT * FROM triples WHERE p <> '{RDF_TYPE}'),\n" + degree.format(t="t2") + "\n" + pairs
-    out["stat_class_pairs"] = head.rstrip() + f",\nt2 AS (SELECT s, CASE WHEN p = '{RDF_TYPE}' THEN 'class:' || o ELSE p END AS p, o FROM triples),\n" + degree.format(t="t2") + f"\nSELECT * FROM ({pairs}) WHERE p1 LIKE 'class:%' AND kind IN ('SS', 'SO')"
+    out["stat_class_pairs"] = head.rstrip() + f",\nt2 AS (SELECT s, CASE WHEN p = '{RDF_TYPE}' THEN 'class:' || o ELSE p END AS p, o FROM triples),\n" + degree.format(t="t2") + "\n" + pairs
     return out
 
 

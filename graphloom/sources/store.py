@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.errors import UnknownProperty
+from graphloom.functions.stats import CLASS, TYPE_LIMIT, Property, Stats, class_stats, pair_sizes, property_stats, with_classes
+from graphloom.plans.parser import RDF_TYPE
+from graphloom.sources.folders import exists, listing
+from graphloom.sources.terms import TextTerms
 
 #: Rows up to which a side is broadcast by hint; beyond, the join shuffles.
 SMALL = 100_000
 
 
-class Store:
+class Store(TextTerms):
     """dictionary (id, term) for subjects and objects; properties (pid, uri) apart; triples pid=<n>/ of (s, o), sorted by s.
 
     An optional second copy sorted by o serves look-ups by object. Ids are long. A scan of one predicate reads one
-    partition; a look-up by a constant reaches the Parquet scan as a pushed filter on sorted rows.
+    partition; a look-up by a constant reaches the Parquet scan as a pushed filter on sorted rows. Statistics are written
+    beside the triples: of predicates, classes, and the exact join size of every two of them.
     """
 
+    joins = True
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.terms = spark.read.parquet(f"{path}/dictionary")
         self.properties = {r["uri"]: r["pid"] for r in spark.read.parquet(f"{path}/properties").collect()}
         self.triples = spark.read.schema("s long, o long, pid int").parquet(f"{path}/triples")
-        inverse = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/inverse")
-        has = inverse.getFileSystem(spark._jsc.hadoopConfiguration()).exists(inverse)
-        self.inverse = spark.read.schema("s long, o long, pid int").parquet(f"{path}/inverse") if has else None
+        self.inverse = spark.read.schema("s long, o long, pid int").parquet(f"{path}/inverse") if exists(spark, f"{path}/inverse") else None
 
     @classmethod
-    def write(cls, spark: SparkSession, triples: DataFrame, path: str, inverse: bool = True) -> Store:
+    def write(cls, spark: SparkSession, triples: DataFrame, path: str, inverse: bool = True, statistics: bool = True, class_limit: int = TYPE_LIMIT) -> Store:
         """Encode (s, p, o) rows of strings, duplicates dropped. Terms get ids in parallel, from their place in a
         range-sorted, written table; no window runs over them all."""
         # the graph as a set, written once: ids and triples must see the same rows
@@ -50,7 +57,44 @@ class Store:
         coded.repartitionByRange("pid", "s").sortWithinPartitions("pid", "s", "o").write.mode("overwrite").partitionBy("pid").parquet(f"{path}/triples")
         if inverse:
             spark.read.parquet(f"{path}/triples").select("s", "o", "pid").repartitionByRange("pid", "o").sortWithinPartitions("pid", "o", "s").write.mode("overwrite").partitionBy("pid").parquet(f"{path}/inverse")
-        return cls(spark, path)
+        made = cls(spark, path)
+        if statistics:
+            made.write_statistics(class_limit)
+        return made
+
+    def mark(self) -> str:
+        """Changes when the triples' files do."""
+        return str(zlib.crc32(repr(listing(self.spark, f"{self.path}/triples")).encode()))
+
+    def write_statistics(self, class_limit: int = TYPE_LIMIT) -> None:
+        """Statistics of the triples as tables, by code: a predicate's pid, or -1 - id for a class."""
+        rows = self.spark.read.parquet(f"{self.path}/triples").select("s", F.col("pid").cast("long").alias("p"), "o")
+        folder = f"{self.path}/statistics"
+        property_stats(rows).write.mode("overwrite").parquet(f"{folder}/properties")
+        pid = self.properties.get(RDF_TYPE, -1)
+        class_stats(rows.where(F.col("p") == pid)).write.mode("overwrite").parquet(f"{folder}/classes")
+        pair_sizes(with_classes(rows, pid, class_limit, -1 - F.col("o"))).write.mode("overwrite").parquet(f"{folder}/pairs")
+        classes = self.spark.read.parquet(f"{folder}/classes").count()
+        self.spark.createDataFrame([(self.mark(), classes <= class_limit)], "mark string, paired boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/mark")
+
+    def stats_of(self, predicates: set[str], classes: set[str]) -> Stats | None:
+        """The statistics of these predicates and classes, as many rows as they and their pairs; None where there are none, or
+        they are of other triples than the store holds now."""
+        folder = f"{self.path}/statistics"
+        if not exists(self.spark, f"{folder}/mark"):
+            return None
+        mark = self.spark.read.parquet(f"{folder}/mark").first()
+        if mark["mark"] != self.mark():
+            return None
+        ids = {c: i for c, i in self.encode(sorted(classes)).items() if i is not None}
+        code = {self.property_id(p): p for p in predicates} | {-1 - i: CLASS + c for c, i in ids.items()}
+        read = lambda t: self.spark.read.parquet(f"{folder}/{t}")
+        wanted = sorted(code)
+        props = {code[r["p"]]: Property(r["n"], r["distinct_s"], r["distinct_o"]) for r in read("properties").where(F.col("p").isin(wanted)).collect()}
+        by_id = {i: c for c, i in ids.items()}
+        held = {by_id[r["class"]]: (r["n"], r["min_s"], r["max_s"]) for r in read("classes").where(F.col("class").isin(sorted(by_id))).collect()} if by_id else {}
+        pairs = {(code[r["p1"]], code[r["p2"]], r["kind"]): r["n"] for r in read("pairs").where(F.col("p1").isin(wanted) & F.col("p2").isin(wanted)).collect()}
+        return Stats(props, pairs, held, True, mark["paired"])
 
     def load(self, dictionary: bool = False) -> Store:
         """Keep the triples, and on request the dictionary, in memory (columnar, spilling to disk)."""
@@ -79,16 +123,21 @@ class Store:
             raise UnknownProperty(f"property {uri} does not exist in RDF graph")
         return self.properties[uri]
 
-    def encode(self, terms: list[str]) -> dict[str, int]:
-        """Ids of constants, in one pushed-down look-up; -1 where the graph has no such term."""
+    def encode(self, terms: list[str]) -> dict[str, int | None]:
+        """Ids of constants, in one pushed-down look-up; None where the graph has no such term."""
         wanted = sorted(set(terms))
         found = {r["term"]: r["id"] for r in self.terms.where(F.col("term").isin(wanted)).collect()} if wanted else {}
-        return {t: found.get(t, -1) for t in wanted}
+        return {t: found.get(t) for t in wanted}
+
+    def with_texts(self, rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+        """rows with the terms of id columns under new names (null where unbound): one dictionary join a column."""
+        for i, (c, new) in enumerate(columns.items()):
+            key = f"__id{i}"
+            rows = rows.join(self.terms.select(F.col("id").alias(key), F.col("term").alias(new)), F.col(c) == F.col(key), "left").drop(key)
+        return rows
 
     def decode(self, rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
-        """Ids of the columns (default: all) replaced by their terms: one dictionary join per column, after all other joins."""
-        cols = rows.columns
-        for c in columns if columns is not None else cols:
-            d = self.terms.select(F.col("id").alias("__id"), F.col("term").alias("__term"))
-            rows = rows.join(d, F.col(c) == F.col("__id")).drop(c, "__id").withColumnRenamed("__term", c)
-        return rows.select(*cols)
+        """Ids of the columns (default: all) replaced by their terms."""
+        cols = columns if columns is not None else rows.columns
+        named = self.with_texts(rows, {c: f"__term_{c}" for c in cols})
+        return named.select(*(F.col(f"__term_{c}").alias(c) if c in cols else F.col(c) for c in rows.columns))

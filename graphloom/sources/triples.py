@@ -6,16 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.plans.parser import RDF_TYPE
+from graphloom.sources.terms import KeyTerms
 
 EX = "http://example.org/"
 #: Prefixes of the example graph, as query text.
 PREFIXES = f"PREFIX ex: <{EX}> "
 
 
-def iri(kind: str, key: str) -> Column:
-    return F.concat(F.lit(f"{EX}{kind}/"), F.col(key).cast("string"))
-
-
 #: Predicate -> (table, subject kind, subject key, object as (kind, key) or a string column), of the example graph.
 MAPPING: dict[str, list[tuple]] = {
     RDF_TYPE: [(t, k, key, ("class", c)) for t, k, key, c in (("region", "region", "r_regionkey", "Region"), ("nation", "nation", "n_nationkey", "Nation"), ("customer", "customer", "c_custkey", "Customer"), ("supplier", "supplier", "s_suppkey", "Supplier"), ("part", "part", "p_partkey", "Part"), ("orders", "order", "o_orderkey", "Order"), ("events", "event", "event_id", "Event"))],
@@ -32,19 +29,23 @@ MAPPING: dict[str, list[tuple]] = {
 }
 
 
-def from_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The example graph as one (s, o) DataFrame per predicate, each read from its own tables and columns only."""
+KINDS = {k for parts in MAPPING.values() for _, k, _, o in parts for k in (k, *(o[:1] if isinstance(o, tuple) and o[0] != "class" else ()))}
+TERMS = KeyTerms(EX, KINDS)
+
+
+def mapped_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The example graph as one (s, o) DataFrame of KeyTerms per predicate, each read from its own tables and columns only."""
 
     def one(table: str, kind: str, key: str, o) -> DataFrame:
         if isinstance(o, tuple):
-            obj = F.lit(EX + o[1]) if o[0] == "class" else iri(*o)
+            obj = TERMS.literal(F.lit(EX + o[1])) if o[0] == "class" else TERMS.resource(o[0], F.col(o[1]))
         else:
-            obj = F.col(o).cast("string")
+            obj = TERMS.literal(F.col(o))
         used = [key] + ([o] if isinstance(o, str) else [o[1]] if o[0] != "class" else [])
         rows = spark.read.parquet(f"{folder}/{table}.parquet").select(*dict.fromkeys(used)).dropna()
         # a key's row is one triple; line items repeat their orders' facts
         rows = rows.distinct() if table == "lineitem" else rows
-        return rows.select(iri(kind, key).alias("s"), obj.alias("o"))
+        return rows.select(TERMS.resource(kind, F.col(key)).alias("s"), obj.alias("o"))
 
     out = {}
     for p, parts in MAPPING.items():
@@ -55,6 +56,11 @@ def from_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return out
 
 
+def from_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The same graph in texts."""
+    return {p: df.select(TERMS.text(F.col("s")).alias("s"), TERMS.text(F.col("o")).alias("o")) for p, df in mapped_tables(spark, folder).items()}
+
+
 def as_triples(by_property: dict[str, DataFrame]) -> DataFrame:
     """(s, p, o) of all relations."""
     out = None
@@ -72,20 +78,34 @@ def by_property(triples: DataFrame, names: list[str] | None = None) -> dict[str,
 
 
 LINE = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
+#: The pieces of an escaped text: escapes by code point, escapes by one character, and what lies between.
+PIECES = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"
+#: The one-letter escapes.
+LETTERS = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
+
+
+def unescaped(text: Column) -> Column:
+    """A text's escapes undone, in one pass over its pieces."""
+
+    def one(piece: Column) -> Column:
+        code, rest = F.substring(piece, 2, 1), piece.substr(F.lit(3), F.length(piece))
+        out = F.when(code.isin("u", "U") & (F.length(piece) > 2), F.decode(F.unhex(F.lpad(rest, 8, "0")), "UTF-32"))
+        for letter, char in LETTERS.items():
+            out = out.when(code == letter, F.lit(char))
+        return F.when(piece.startswith("\\"), out.otherwise(code)).otherwise(piece)
+
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PIECES), 0), one), "")).otherwise(text)
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     """(s, p, o) of an N-Triples file or folder. Literals lose type and language; blank nodes and malformed lines are errors."""
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    part = lambda i: F.regexp_extract("value", LINE, i)
-    literal = part(4)
-    for mark, char in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
-        literal = F.replace(literal, F.lit(mark), F.lit(char))
+    part = lambda i: unescaped(F.regexp_extract("value", LINE, i))
     bad = F.raise_error(F.concat(F.lit("not a triple of IRIs and literals: "), F.col("value")))
     return lines.select(
         F.when(F.col("value").rlike(LINE), part(1)).otherwise(bad.cast("string")).alias("s"),
         part(2).alias("p"),
-        F.when(F.regexp_extract("value", LINE, 3) != "", part(3)).otherwise(literal).alias("o"),
+        F.when(F.regexp_extract("value", LINE, 3) != "", part(3)).otherwise(part(4)).alias("o"),
     ).distinct()
 
 

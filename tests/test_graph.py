@@ -1,21 +1,27 @@
 """Parser, planner, store, statistics and engine, against brute force over small graphs."""
 
 import itertools
+import json
 import random
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from graphloom import settings
+from graphloom.__main__ import main
 from graphloom.engine import Engine
 from graphloom.errors import ParseError, UnknownProperty, UnsupportedQuery
 from graphloom.functions import stats as S
-from graphloom.plans.algebra import Const, Pattern, Var
+from graphloom.operators.range_join import range_join
+from graphloom.plans.algebra import Const, Group, Pattern, Var
 from graphloom.plans.order import best_order, connected
-from graphloom.plans.parser import RDF_TYPE, parse
-from graphloom.queries import CLOSED, ORACLES, QUERIES
+from graphloom.plans.parser import RDF_TYPE, parse, unescape
+from graphloom.queries import CLOSED, ORACLES, QUERIES, store
+from graphloom.settings import Settings
 from graphloom.sources.store import Store
-from graphloom.sources.triples import by_property, read_ntriples, read_queries
+from graphloom.sources.triples import PREFIXES, TERMS, by_property, mapped_tables, read_ntriples, read_queries
 
 SF = "/root/testdata/sf0.001"
 P = "PREFIX e: <http://e/> "
@@ -75,7 +81,7 @@ def test_random_patterns_in_any_order(spark, graph, triples, stored):
 
 def test_store(spark, stored, triples):
     assert {(r.s, r.o) for r in stored.decode(stored.relation(stored.property_id("http://e/a"))).collect()} == {(s, o) for s, p, o in triples if p == "http://e/a"}
-    assert stored.encode(["n1", "absent"])["absent"] == -1
+    assert stored.encode(["n1", "absent"])["absent"] is None
     assert stored.load(True).register()[0] == "dictionary"
     assert spark.table("invprop0").columns == ["o", "s"]
     e = Engine(stored)
@@ -119,7 +125,7 @@ def test_parser_forms():
     assert w[3].o == w[4].o and w[4].s == Var("z") and w[5].o == Const("5")
 
 
-def test_statistics(graph, triples, tmp_path):
+def test_statistics(spark, graph, triples, tmp_path):
     got = {(r.p1, r.p2, r.kind): r.n for r in S.pair_sizes(graph.distinct()).collect()}
     for p1, p2, kind in itertools.product({t[1] for t in triples}, {t[1] for t in triples}, ("SS", "SO", "OS", "OO")):
         side = {"S": 0, "O": 2}
@@ -127,9 +133,10 @@ def test_statistics(graph, triples, tmp_path):
         assert got.get((p1, p2, kind), 0) == n
     stats = S.collect_stats(graph.distinct(), RDF_TYPE)
     assert stats.of("http://e/a").count == sum(t[1] == "http://e/a" for t in triples)
-    f = str(tmp_path / "stats.json")
-    S.save(stats, f, "m")
-    assert S.load(f, "m") == stats and S.load(f, "other") is None and S.load(str(tmp_path / "none")) is None
+    f = f"file://{tmp_path}/stats.json"
+    S.save(spark, stats, f, "m")
+    assert S.load(spark, f, "m") == stats and S.load(spark, f, "other") is None and S.load(spark, f"file://{tmp_path}/none") is None
+    assert S.merge(S.Stats({"x": S.Property(1, 1, 1)}), stats).of("http://e/a") == stats.of("http://e/a")
     assert S.fingerprint(graph.distinct()) == S.fingerprint(graph.distinct().repartition(3)) != S.fingerprint(graph)
 
 
@@ -151,10 +158,20 @@ def test_order_prefers_small_intermediates():
     assert sorted(best_order(long, stats)[0]) == list(range(15))
 
 
+def test_many_classes_keep_their_counts(spark):
+    rows = [(f"x{i}", RDF_TYPE, f"c{i % 1100}") for i in range(2200)] + [("x1", "p", "x2")]
+    stats = S.collect_stats(spark.createDataFrame(rows, "s string, p string, o string"), RDF_TYPE)
+    assert len(stats.classes) == 1100 and all(n == 2 for n, _, _ in stats.classes.values())
+    assert stats.typed and not stats.paired and not any(S.CLASS in a for a, _, _ in stats.pairs)
+
+
 def test_sources(spark, tmp_path):
     f = tmp_path / "a.nt"
-    f.write_text('<http://a> <http://p> <http://b> .\n# c\n<http://a> <http://p> "x\\"y"@en .\n<http://a> <http://p> <http://b> .\n')
-    assert {tuple(r) for r in read_ntriples(spark, f"file://{f}").collect()} == {("http://a", "http://p", "http://b"), ("http://a", "http://p", 'x"y')}
+    odd = r"a\\nb\nc\tA\U0001F600\"\\\\u0041\b\f"
+    f.write_text('<http://a> <http://p> <http://b> .\n# c\n<http://a> <http://p> "x\\"y"@en .\n<http://a> <http://p> <http://b> .\n' + f'<http://\\u0061> <http://q> "{odd}" .\n')
+    want = {("http://a", "http://p", "http://b"), ("http://a", "http://p", 'x"y'), ("http://a", "http://q", 'a\\nb\nc\tA\U0001f600"\\\\u0041\b\f')}
+    assert {tuple(r) for r in read_ntriples(spark, f"file://{f}").collect()} == want
+    assert unescape(odd) == 'a\\nb\nc\tA\U0001f600"\\\\u0041\b\f'
     f.write_text("_:b <http://p> <http://b> .\n")
     with pytest.raises(Exception, match="not a triple"):
         read_ntriples(spark, f"file://{f}").collect()
@@ -163,6 +180,200 @@ def test_sources(spark, tmp_path):
     assert len(read_queries(str(q))) == 1
 
 
+def test_comparisons_are_no_iris():
+    q = parse(P + "SELECT ?y { ?x<http://e/a>?y FILTER(?y<?z&&?z>?y || (?y)<=3 && ?y = <http://e/x>) }", True)
+    assert q.where.patterns[0].p == "http://e/a"
+    either = q.where.filters[0]
+    assert either.op == "||" and [e.op for e in either.args[0].args] == ["<", ">"] and either.args[1].args[0].op == "<="
+    assert either.args[1].args[1].args[1] == Const("http://e/x")
+
+
+def evaluate(g, triples):
+    """The solutions of a group, by its definition: variables without a value are absent."""
+    agree = lambda a, b: all(a[k] == b[k] for k in a.keys() & b.keys())
+    out = [{}]
+    for p in g.patterns:
+        new = []
+        for r in out:
+            for s, q, o in triples:
+                if q == p.p:
+                    t = dict(r)
+                    if all((t.setdefault(x.name, v) if isinstance(x, Var) else x.text) == v for x, v in ((p.s, s), (p.o, o))):
+                        new.append(t)
+        out = new
+    for branches in g.unions:
+        rows = [r for b in branches for r in evaluate(b, triples)]
+        out = [a | b for a in out for b in rows if agree(a, b)]
+    for o in g.optionals:
+        rows = evaluate(Group(o.patterns, [], o.optionals, o.unions), triples)
+        new = []
+        for a in out:
+            held = [a | b for b in rows if agree(a, b) and all(true(f, a | b) for f in o.filters)]
+            new += held or [a]
+        out = new
+    return [r for r in out if all(true(f, r) for f in g.filters)]
+
+
+def true(e, row):
+    """Whether an expression is true of a row; unknown is not."""
+    return value(e, row) is True
+
+
+def value(e, row):
+    if isinstance(e, Var):
+        return row.get(e.name)
+    if isinstance(e, Const):
+        return e.text
+    if e.op == "bound":
+        return e.args[0].name in row
+    x = [value(a, row) for a in e.args]
+    if e.op == "&&":
+        return False if False in x else None if None in x else True
+    if e.op == "||":
+        return True if True in x else None if None in x else False
+    if e.op == "!":
+        return None if x[0] is None else not x[0]
+    if None in x:
+        return None
+    return {"=": x[0] == x[-1], "!=": x[0] != x[-1], "<": x[0] < x[-1], ">=": x[0] >= x[-1]}[e.op]
+
+
+GROUPS = [
+    "?x e:a ?y OPTIONAL { ?x e:b ?z FILTER(?z = ?y) }",
+    "?x e:a ?y OPTIONAL { ?x e:b ?z FILTER(?z < ?y || ?y = \"n3\") }",
+    "?x e:a ?y OPTIONAL { ?x e:b ?z } OPTIONAL { ?x e:c ?z }",
+    "?x e:a ?y OPTIONAL { ?x e:b ?z } OPTIONAL { ?x e:c ?z FILTER(?z != \"n1\") } FILTER(!BOUND(?z) || ?z >= \"n2\")",
+    "{ { ?x e:a ?y } UNION { ?x e:b ?z } { ?w e:a ?y } }",
+    "{ ?x e:a ?y } UNION { ?x e:b ?z } OPTIONAL { ?x e:c ?y }",
+    "{ ?x e:a ?y } UNION { ?x e:b ?z } . { ?x e:c ?y } UNION { ?z e:c ?x }",
+    "?x e:a ?y OPTIONAL { ?y e:b ?z OPTIONAL { ?z e:c ?w FILTER(?w != ?y) } } FILTER(?x = \"n2\" || ?w < \"n5\")",
+    "?x e:a \"n4\" FILTER(?x = \"absent\" || !(?x = \"n1\"))",
+]
+
+
+@pytest.mark.parametrize("text", GROUPS)
+def test_optional_and_union_by_definition(graph, triples, stored, text):
+    query = P + f"SELECT * WHERE {{ {text} }}"
+    where = parse(query, True).where
+    if not where.patterns and len(where.unions) == 1 and len(where.unions[0]) == 1 and not where.optionals:
+        where = where.unions[0][0]
+    names = sorted({t.name for t in variables(where)})
+    want = Counter(tuple(r.get(n) for n in names) for r in evaluate(where, triples))
+    for e in (Engine(by_property(graph, [f"http://e/{x}" for x in "abc"])), Engine(stored)):
+        got = e.query(query, extended=True)
+        assert sorted(got.columns) == names
+        assert Counter(map(tuple, got.select(*names).collect())) == want
+
+
+def variables(g):
+    for p in g.patterns:
+        yield from (t for t in (p.s, p.o) if isinstance(t, Var))
+    for o in [*g.optionals, *(b for u in g.unions for b in u)]:
+        yield from variables(o)
+
+
+def test_products_must_be_asked_for(graph):
+    e = Engine(by_property(graph, [f"http://e/{x}" for x in "abc"]))
+    for text in ("?x e:a ?y OPTIONAL { ?z e:b ?w }", "?x e:a ?y . ?z e:b ?w", "{ ?x e:a ?y } { ?z e:b ?w }"):
+        with pytest.raises(UnsupportedQuery):
+            e.query(P + f"SELECT * WHERE {{ {text} }}", extended=True)
+        assert e.query(P + f"SELECT * WHERE {{ {text} }}", extended=True, cross=True).count() > 0
+
+
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_range_join(spark, graph, triples, stored, op, monkeypatch):
+    rng = random.Random(3)
+    a, b = [rng.choice([None, *range(40)]) for _ in range(150)], [rng.choice([None, *range(40)]) for _ in range(90)]
+    left, right = (spark.createDataFrame([(i, x) for i, x in enumerate(v)], f"{n} int, {c} int") for v, n, c in ((a, "i", "x"), (b, "j", "y")))
+    want = sorted((i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x is not None and y is not None and {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op])
+    out = range_join(left, "x", op, right, "y")
+    assert sorted((r.i, r.j) for r in out.collect()) == want
+    assert "Cartesian" not in plan(out) and "NestedLoop" not in plan(out)
+    assert range_join(left.limit(0), "x", op, right, "y").count() == 0
+    pairs = Counter((o1, s2) for s1, p1, o1 in triples if p1 == "http://e/a" for s2, p2, o2 in triples if p2 == "http://e/b" if {"<": o1 < s2, "<=": o1 <= s2, ">": o1 > s2, ">=": o1 >= s2}[op])
+    got = Engine(stored).query(P + f"SELECT ?y ?z WHERE {{ ?x e:a ?y . ?z e:b ?w FILTER(?y {op} ?z) }}", extended=True)
+    assert Counter(map(tuple, got.collect())) == pairs
+
+
+def plan(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def test_functions_of_ones_own(graph, triples):
+    e = Engine(by_property(graph, ["http://e/a"]), functions={"http://e/odd": lambda t: F.substring(t, -1, 1).isin("1", "3", "5", "7"), "join": lambda x, y: F.concat(x, y)})
+    got = e.query(P + 'SELECT ?x (join(?x, "!") AS ?z) WHERE { ?x e:a ?y FILTER(e:odd(?y)) }', extended=True)
+    assert Counter(map(tuple, got.collect())) == Counter((s, s + "!") for s, p, o in triples if p == "http://e/a" and int(o[-1]) % 2)
+    with pytest.raises(UnsupportedQuery):
+        e.query(P + "SELECT ?x WHERE { ?x e:a ?y FILTER(e:even(?y)) }", extended=True)
+    assert e.query(P + "SELECT (?x AS ?s) ?y WHERE { ?x e:a ?y }").columns == ["s", "y"]
+
+
+def test_constants_reach_the_scans(spark):
+    """Constants of tables' keys and of ids are pushed into the Parquet scans, also beyond the basic form."""
+    made = Engine(mapped_tables(spark, SF), terms=TERMS)
+    text = plan(made.query(PREFIXES + CLOSED["f4_const_subject"]))
+    assert "EqualTo(c_custkey,1)" in text and "supplier" not in text
+    coded = Engine(store(spark, SF))
+    for shape in ("SELECT ?c", "SELECT DISTINCT ?c"):
+        assert "EqualTo(o," in plan(coded.query(PREFIXES + shape + ' WHERE { ?c ex:segment "BUILDING" }', extended=True))
+    grouped = coded.query(PREFIXES + 'SELECT ?n (COUNT(*) AS ?k) WHERE { ?c ex:locatedIn ?n ; ex:segment "BUILDING" } GROUP BY ?n', extended=True)
+    optional = coded.query(PREFIXES + 'SELECT ?c ?n WHERE { ?c ex:segment "BUILDING" OPTIONAL { ?c ex:name ?n } }', extended=True)
+    compared = coded.query(PREFIXES + 'SELECT ?c WHERE { ?c ex:segment ?g FILTER(?g = "BUILDING") }', extended=True)
+    for df in (grouped, optional, compared):
+        assert "EqualTo(o," in plan(df) or "(o#" in plan(df)
+    assert "EqualTo(o," in plan(grouped) and "EqualTo(o," in plan(optional)
+    # one look-up of terms, of the one column that comes out
+    assert plan(grouped).count("dictionary]") == 1 or plan(grouped).count("/dictionary") == 1
+    assert "/dictionary" not in plan(coded.query(PREFIXES + 'SELECT DISTINCT ?c WHERE { ?c ex:segment "BUILDING" }', extended=True, decode=False))
+
+
+def test_statistics_change_the_order_and_not_the_answer(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(f"a{i}", "http://e/big", f"b{i % 40}") for i in range(2000)] + [(f"b{i}", "http://e/mid", f"c{i % 5}") for i in range(40)]
+    rows += [("c1", "http://e/small", "d"), ("c1", RDF_TYPE, "Rare"), *((f"a{i}", RDF_TYPE, "Common") for i in range(300))]
+    rng.shuffle(rows)
+    made = Store.write(spark, spark.createDataFrame(rows, "s string, p string, o string"), f"file://{tmp_path}/g")
+    text = P + "SELECT ?a ?b ?c ?d WHERE { ?a e:big ?b . ?b e:mid ?c . ?c e:small ?d . ?c a <Rare> }"
+    orders, answers = [], []
+    for s in (True, False):
+        e, chosen = Engine(made, settings=Settings(statistics=s)), []
+        e.run(parse(text), e.settings, chosen)
+        orders.append([p.p.rsplit("/", 1)[-1] for p in chosen[0]])
+        answers.append(Counter(map(tuple, e.query(text).collect())))
+    assert answers[0] == answers[1] and sum(answers[0].values()) == 400
+    assert orders[0] != orders[1] and orders[0][-1] == "big"
+    stats = made.stats_of({"http://e/big", "http://e/mid", RDF_TYPE}, {"Rare", "None"})
+    assert stats.of("http://e/big") == S.Property(2000, 2000, 40) and stats.classes["Rare"][0] == 1 and "None" not in stats.classes
+    assert stats.pairs["http://e/big", "http://e/mid", "OS"] == 2000 and stats.pairs["http://e/mid", S.CLASS + "Rare", "OS"] == 8
+    # statistics of other triples are not used
+    spark.read.parquet(f"{made.path}/triples").limit(100).write.mode("overwrite").partitionBy("pid").parquet(f"{made.path}/other")
+    spark.read.parquet(f"{made.path}/other").write.mode("overwrite").partitionBy("pid").parquet(f"{made.path}/triples")
+    assert Store(spark, made.path).stats_of({"http://e/big"}, set()) is None
+
+
+def test_settings_and_program(spark, tmp_path, capsys, monkeypatch):
+    f = tmp_path / "s.properties"
+    f.write_text("# comment\nclass.limit = 7\ncross = on\nruns=2\n")
+    assert settings.load(str(f), extended=True) == Settings(extended=True, cross=True, class_limit=7, runs=2)
+    monkeypatch.setenv(settings.VARIABLE, str(f))
+    assert settings.load().class_limit == 7
+    f.write_text("none = 1\n")
+    with pytest.raises(ValueError):
+        settings.load()
+    monkeypatch.delenv(settings.VARIABLE)
+    graph, out = tmp_path / "g.nt", f"file://{tmp_path}/store"
+    graph.write_text('<http://a> <http://e/p> <http://b> .\n<http://b> <http://e/p> "c" .\n')
+    queries = tmp_path / "q.txt"
+    queries.write_text("SELECT ?x WHERE { ?x <http://e/p> ?y }\n\nSELECT ?x WHERE { ?x <http://e/none> ?y }\n")
+    assert main(["load", f"file://{graph}", out]) == 0
+    assert main(["query", out, "SELECT ?x ?z WHERE { ?x <http://e/p> ?y . ?y <http://e/p> ?z }", "--show", "--explain", "--in-memory"]) == 0
+    said = capsys.readouterr().out
+    assert "1 rows" in said and "http://a" in said and "cost:" in said
+    assert main(["batch", out, str(queries), "--runs", "2"]) == 0
+    made = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert made["counts"] == [2] and len(made["failed"]) == 1
+
+
 def test_batch_and_explain(graph):
     e = Engine(by_property(graph, ["http://e/a", "http://e/b"]))
     out = e.batch([P + "SELECT ?x WHERE { ?x e:a ?y }", P + "SELECT ?x WHERE { ?x e:none ?y }"], runs=2)
@@ -170,7 +381,7 @@ def test_batch_and_explain(graph):
     assert "0: Pattern" in e.explain(P + "SELECT ?x WHERE { ?x e:a ?y . ?y e:b ?z }")
 
 
-@pytest.mark.parametrize("name", ["f2_cycle", "f5_both_const", "ext_group_count", "ext_subselect", "stat_pairs", "store_f2_cycle"])
+@pytest.mark.parametrize("name", ["f2_cycle", "f5_both_const", "ext_group_count", "ext_subselect", "ext_functions", "ext_minmax", "ext_sums", "ext_optional_filter", "ext_optional_twice", "ext_union_unbound", "ext_range_join", "stat_pairs", "store_f2_cycle", "store_ext_order_limit", "store_ext_sums"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events".split():
@@ -183,4 +394,4 @@ def test_queries_match_sql(spark, name):
 
 
 def test_all_registered_queries_have_sql():
-    assert set(QUERIES) == set(ORACLES) and set(CLOSED) <= set(QUERIES)
+    assert set(QUERIES) - {"store_order_f9"} == set(ORACLES) and set(CLOSED) <= set(QUERIES)
