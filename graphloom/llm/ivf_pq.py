@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Centroids and codebooks are fitted on a bounded sample (SAMPLE_ROWS) and are small; every row is indexed. Lists are
-cut into blocks of about BLOCK_ROWS rows, so a list that holds a third of all rows is many blocks. A query goes to the
-blocks of its PROBES nearest lists; there an asymmetric distance table ranks the codes, and the best RERANK rows are
+cut into blocks of about BLOCK_ROWS rows, so a list that holds a third of all rows is many blocks, and queries into
+groups of about QUERY_ROWS. A query goes to the blocks of its nearest lists, as many as it takes to reach PROBE_SHARE of
+all rows, and RERANK of them at least; there an asymmetric distance table ranks the codes, and the best RERANK rows are
 ranked again by the exact distance. The merge keeps k rows per query and block, never a pair beyond.
 """
 
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import Scratch, small
 
-#: Documented bounds and parameters: rows fitted on, most lists, share of lists probed, sub-spaces, code words, rows reranked per block.
-SAMPLE_ROWS, MAX_LISTS, PROBE_SHARE, SUBSPACES, CODES, RERANK, BLOCK_ROWS = 20_000, 4096, 0.75, 16, 256, 200, 4096
+#: Documented bounds and parameters: rows fitted on, most lists, share of rows probed, sub-spaces, code words, rows reranked per block, rows of a block, queries of a group.
+SAMPLE_ROWS, MAX_LISTS, PROBE_SHARE, SUBSPACES, CODES, RERANK, BLOCK_ROWS, QUERY_ROWS = 20_000, 4096, 0.75, 16, 256, 200, 4096, 4096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -68,7 +69,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probe_share: flo
 
     vectors and queries hold id_col and vec_col; a query's own id is no candidate. Rows with a null id, or a vector
     that is null, empty, zero, of another length than most, or holds null or non-finite components, take no part.
-    Repeated ids are candidates of their own.
+    Repeated ids are candidates of their own; a repeated query row is one query, an id with two vectors two.
     Columns beside the two are not read.
     """
     spark = vectors.sparkSession
@@ -90,8 +91,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probe_share: flo
     lists = int(min(MAX_LISTS, max(1, math.sqrt(n) / 2), max(1, len(sample) / 8)))
     centroids, books = fit(sample, lists)
     lists = len(centroids)
-    # few rows: all lists, so that every query has all its candidates
-    probes = lists if n <= BLOCK_ROWS else max(1, math.ceil(lists * probe_share))
     model = spark.sparkContext.broadcast((centroids, books))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,24 +103,33 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probe_share: flo
 
     indexed = rows.mapInArrow(index, "list long, id long, vec array<double>, code binary")
     indexed = scratch.keep(indexed, "index")
-    sizes = indexed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("cuts"))
-    sizes = small(scratch.keep(sizes.coalesce(1), "sizes"))  # one row per list, MAX_LISTS at most
-    stored = indexed.join(sizes, "list").withColumn("cut", F.pmod(F.xxhash64("id", "vec"), F.col("cuts"))).drop("cuts")
+    counts = scratch.keep(indexed.groupBy("list").agg(F.count("*").alias("n")).coalesce(1), "sizes")
+    held = np.zeros(lists, np.int64)
+    for r in counts.collect():  # one row per list, MAX_LISTS at most
+        held[r["list"]] = r["n"]
+    reach = max(probe_share * held.sum(), min(RERANK, int(held.sum())))
+    sizes = small(counts.select("list", F.ceil(F.col("n") / BLOCK_ROWS).alias("cuts")))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cs, _ = model.value
         for batch in batches:
             x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
             if len(x):
-                near = np.argsort((cs**2).sum(axis=1) - 2 * x @ cs.T, axis=1, kind="stable")[:, :probes]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(near.tolist(), pa.list_(pa.int64()))], names=["id", "vec", "lists"])
+                order = np.argsort((cs**2).sum(axis=1) - 2 * x @ cs.T, axis=1, kind="stable")
+                probes = (np.cumsum(held[order], axis=1) < reach).sum(axis=1) + 1
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array([o[:p].tolist() for o, p in zip(order, probes.tolist(), strict=True)], pa.list_(pa.int64()))], names=["id", "vec", "lists"])
 
-    asked = usable(queries, id_col, vec_col).where(F.size("vec") == dims).mapInArrow(probe, "id long, vec array<double>, lists array<long>")
-    sent = asked.select("id", "vec", F.explode("lists").alias("list")).join(sizes, "list").select(F.col("list").alias("qlist"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("qcut"), F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    asked = usable(queries, id_col, vec_col).where(F.size("vec") == dims).dropDuplicates(["id", "vec"])
+    asked = scratch.keep(asked.mapInArrow(probe, "id long, vec array<double>, lists array<long>").withColumn("qnum", F.monotonically_increasing_id()), "asked")
+    groups = max(1, math.ceil(asked.count() / QUERY_ROWS))
+    stored = indexed.join(sizes, "list").withColumn("cut", F.pmod(F.xxhash64("id", "vec"), F.col("cuts"))).drop("cuts")
+    stored = stored.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    sent = asked.select("id", "vec", "qnum", F.explode("lists").alias("list")).join(sizes, "list")
+    sent = sent.select(F.col("list").alias("qlist"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("qcut"), F.pmod(F.xxhash64("qnum"), F.lit(groups)).cast("int").alias("qgrp"), F.col("id").alias("qid"), "qnum", F.col("vec").alias("qvec"))
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         cs, bs = model.value
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_id": [], "qnum": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             x = left["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dims)
             ids = left["id"].to_numpy()
@@ -129,7 +137,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probe_share: flo
             q = right["qvec"].combine_chunks().flatten().to_numpy().reshape(-1, dims)
             rest = q - cs[left["list"][0].as_py()]
             parts = np.array_split(rest, len(bs), axis=1)
-            for i, (qid, vec) in enumerate(zip(right["qid"].to_pylist(), q, strict=True)):
+            for i, (qid, num, vec) in enumerate(zip(right["qid"].to_pylist(), right["qnum"].to_pylist(), q, strict=True)):
                 # asymmetric distances: one table row per sub-space, then a sum of look-ups
                 adc = np.zeros(len(ids))
                 for m, (part, book) in enumerate(zip(parts, bs, strict=True)):
@@ -143,13 +151,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probe_share: flo
                 d = np.sqrt(((x[other] - vec) ** 2).sum(axis=1))
                 best = np.lexsort((ids[other], d))[:k]
                 out["query_id"] += [qid] * len(best)
+                out["qnum"] += [num] * len(best)
                 out["vec_id"] += ids[other][best].tolist()
                 out["score"] += d[best].tolist()
-        return pa.table(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+        return pa.table(out, pa.schema([("query_id", pa.int64()), ("qnum", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    found = stored.groupBy("list", "cut").cogroup(sent.groupBy("qlist", "qcut")).applyInArrow(rank, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = stored.groupBy("list", "cut", "grp").cogroup(sent.groupBy("qlist", "qcut", "qgrp")).applyInArrow(rank, "query_id long, qnum long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qnum").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    done = scratch.keep(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "found")
+    scratch.drop("rows", "index", "sizes", "asked")
+    return done
 
 
 def op4_ivf_pq(spark, sf_dir: str) -> DataFrame:
