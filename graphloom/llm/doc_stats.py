@@ -6,8 +6,9 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_map, text_of
+from graphloom.llm.common import cut, types_of
 
 #: The characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -41,17 +42,13 @@ def text_stats(text: str | None) -> tuple[int, ...]:
     return (len(words), len(s) - without(SPACES), without(SYMBOLS), len(lines) - len(set(lines)), repeated_words(words), without(UPPER), without(DIGITS), b.count(b"!!"), len(set(words)), len(lines))
 
 
-def with_stats(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """`keep` columns of docs and STATS of the whole text, one row per row; the text itself is not returned.
+def with_stats(rows: DataFrame) -> DataFrame:
+    """row__ and STATS of the whole text of every row of rows (row__, text__). Only the text goes to Python."""
 
-    Column names among `keep` win over nothing: they must differ from STATS and from 'text__'.
-    """
-    kept = docs.select(*keep, text_of(text_col).alias("text__"))
-    fields = {f.name: f.dataType.simpleString() for f in kept.schema.fields if f.name != "text__"}
-    schema = ", ".join([*(f"`{k}` {v}" for k, v in fields.items()), *(f"{s} long" for s in STATS)])
+    @F.arrow_udf(types_of(", ".join(f"{s} long" for s in STATS)))
+    def stats(texts: pa.Array) -> pa.Array:
+        made = [text_stats(t) for part in cut(pa.RecordBatch.from_arrays([texts], names=["t"])) for t in part.column(0).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in zip(*made, strict=True)] if made else [pa.array([], pa.int64())] * len(STATS), names=list(STATS))
 
-    def per_batch(batch: pa.RecordBatch):
-        rows = [text_stats(t) for t in batch.column("text__").to_pylist()]
-        yield {k: batch.column(k) for k in fields} | dict(zip(STATS, (list(x) for x in zip(*rows, strict=True)), strict=True))
-
-    return arrow_map(kept, per_batch, schema)
+    # not deterministic for the optimizer, so that no filter computes it again
+    return rows.select("row__", stats.asNondeterministic()("text__").alias("s")).select("row__", "s.*")

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, fraction_crc32
+from graphloom.llm.common import Scratch, fraction_crc32, text_of
 from graphloom.llm.doc_stats import with_stats
 
 #: The bound of the sample the trees and weights are fitted on, in rows (documented parameter).
@@ -144,8 +144,10 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES
     return RuleModel(tuple(r for r, k in zip(rules, live, strict=True) if k), tuple(float(v) for v in w[live]), float(b))
 
 
-def features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    return with_stats(docs, keep).select(*keep, *(F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()))
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id and FEATURES of every row of docs."""
+    stats = with_stats(docs.select(F.struct("doc_id").alias("row__"), text_of().alias("text__")))
+    return stats.select("row__.doc_id", *(F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()))
 
 
 def fit(features_: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **options) -> RuleModel:
@@ -169,7 +171,7 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column | None = None, th
     Repeated rows score alike, and count as often in the fit. Other columns of docs are not read.
     """
     scratch = Scratch(docs.sparkSession, "classifier")
-    f = scratch.keep(features(docs, ["doc_id"]), "features")
+    f = scratch.keep(features(docs), "features")
     model = fit(f if train is None else f.where(train), labels, **options)
     return f.select("doc_id", model.score().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -1,27 +1,34 @@
 """Quality rules whose cutoffs are risk-controlled.
 
-The rules reject a document whose statistic passes a cutoff. A ladder of cutoff sets runs from lenient to strict; it
-is a fixed parameter, so every labelled document is a holdout. Per stratum, the ladder is walked from the lenient
-end while the exact (Clopper-Pearson) upper bound of the share of good documents that the rules reject stays at or
-under `risk`, at confidence 1 - delta / strata: fixed-sequence testing needs no further correction along the ladder,
-Bonferroni covers the strata. With probability 1 - delta, every stratum's false rejection is at most `risk`. A
-stratum with too few good labelled documents gets no cutoffs and rejects nothing.
+The rules reject a document whose statistic passes a cutoff. The labelled documents are split by a hash of their ids.
+One part (TUNE) makes a ladder of cutoff sets, from lenient to strict, out of the statistics of its good documents, and
+says how far to go: to the step that catches most of its bad documents for the good ones it costs. The other part is the
+holdout: per stratum, the ladder is walked from the lenient end while the exact (Clopper-Pearson) upper bound of the
+share of good documents that the rules reject stays at or under `risk`, at confidence 1 - delta / strata:
+fixed-sequence testing needs no further correction along the ladder, which the holdout did not choose; Bonferroni covers the strata.
+With probability 1 - delta, every stratum's false rejection is at most `risk`. A stratum with too few good labelled
+documents gets no cutoffs and rejects nothing.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, arrow_map, small
+from graphloom.llm.common import Scratch, arrow_map, small, text_of, whole_row
 from graphloom.llm.doc_stats import STATS, with_stats
 
 MIN_WORDS = 50
 RISK, DELTA = 0.05, 0.05
+#: One in so many labelled documents makes the ladder; the others certify it.
+TUNE = 4
+#: A good document lost on the tuning part weighs as many bad ones caught.
+LOSS = 20.0
 
 #: The statistics under rule, each rejecting above its cutoff.
 RULES: dict[str, str] = {
@@ -32,18 +39,11 @@ RULES: dict[str, str] = {
     "upper_per_char": "n_upper / greatest(word_chars, 1)",
     "chars_per_word": "word_chars / greatest(n_words, 1)",
 }
-#: Fixed cutoffs, lenient to strict, one column per rule in the order above.
-LADDER: tuple[tuple[float, ...], ...] = (
-    (1.50, 0.50, 0.80, 0.90, 0.90, 40.0),
-    (1.00, 0.49, 0.60, 0.85, 0.70, 30.0),
-    (0.70, 0.48, 0.50, 0.80, 0.60, 25.0),
-    (0.50, 0.47, 0.40, 0.80, 0.50, 20.0),
-    (0.40, 0.46, 0.30, 0.75, 0.40, 18.0),
-    (0.30, 0.45, 0.20, 0.70, 0.30, 16.0),
-    (0.20, 0.44, 0.15, 0.70, 0.25, 15.0),
-    (0.15, 0.42, 0.10, 0.65, 0.20, 14.0),
-    (0.10, 0.40, 0.08, 0.60, 0.15, 13.0),
-)
+#: The steps of the ladder: above the greatest value of a good document, by a factor (and a tenth of what it adds); then quantiles.
+FACTORS, QUANTILES = (3.0, 2.0, 1.5, 1.25, 1.1, 1.0), (0.9995, 0.999, 0.998, 0.995, 0.99)
+
+#: One row of cutoffs per step, in the order of RULES.
+Ladder = tuple[tuple[float, ...], ...]
 
 
 def upper_bound(k: int, n: int, alpha: float) -> float:
@@ -76,7 +76,7 @@ def steps_held(counts: list[int], n: int, risk: float, alpha: float) -> int:
     return held
 
 
-def first_step(ladder=LADDER) -> Column:
+def first_step(ladder: Ladder) -> Column:
     """The first step (0-based) whose cutoffs reject a row of STATS; len(ladder) where none does. Steps only grow stricter."""
     out = F.lit(len(ladder))
     for i in reversed(range(len(ladder))):
@@ -91,45 +91,98 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def calibrate(stats: DataFrame, labels: DataFrame, scratch: Scratch, risk: float = RISK, delta: float = DELTA, ladder=LADDER) -> DataFrame:
-    """Cutoffs per stratum from all labelled documents: stratum, held (number of certified steps of the ladder), of every
-    stratum with a good labelled document. stats: doc_id, stratum, STATS (one row per document).
+def make_ladder(good: DataFrame) -> Ladder:
+    """The steps from the STATS of the tuning part's good documents; none without a row."""
+    values = [F.expr(e).cast("double") for e in RULES.values()]
+    got = good.agg(F.count("*").alias("n"), F.array(*map(F.max, values)).alias("top"), F.array(*(F.percentile_approx(v, list(QUANTILES), 100_000) for v in values)).alias("q")).first()
+    if not got["n"]:
+        return ()
+    steps = [[top * f + (f - 1) / 10 for top in got["top"]] for f in FACTORS]
+    for i in range(len(QUANTILES)):
+        steps.append([min(q[i], above) for q, above in zip(got["q"], steps[-1], strict=True)])
+    return tuple(map(tuple, steps))
+
+
+def steps_wanted(counts: list[tuple[int, int]]) -> int:
+    """How many steps to walk at most; counts[i]: bad and good documents of the tuning part that step i is the first to reject, the last those that none does."""
+    bad, good = (max(1, sum(x)) for x in zip(*counts, strict=True))
+    best, want, caught, lost = 0.0, 0, 0, 0
+    for i, (b, g) in enumerate(counts[:-1]):
+        caught, lost = caught + b, lost + g
+        if (gain := caught / bad - LOSS * lost / good) > best:
+            best, want = gain, i + 1
+    return want
+
+
+@dataclass(frozen=True)
+class Rules:
+    """The ladder, cut where the tuning part says, and (stratum, held), the certified steps of every stratum with a good holdout document."""
+
+    ladder: Ladder
+    held: DataFrame
 
-    Good: a label 1, also beside a label 0 for the same doc_id. Counts are summed by (stratum, step), and the ladders
-    walked, on the executors; the driver sees the number of strata only.
+    def judge(self, stats: DataFrame, stratum: Column) -> DataFrame:
+        """stats (row__, STATS) with base_failed, step (the first that rejects) and kept; the stratum is a column of them."""
+        held = self.held.select(F.col("stratum").alias("of"), "held")
+        judged = stats.withColumns({"stratum": stratum, "base_failed": base_failed(), "step": first_step(self.ladder)})
+        judged = judged.join(small(held), F.col("stratum").eqNullSafe(F.col("of")), "left")
+        return judged.withColumn("kept", ~F.col("base_failed") & (F.col("step") >= F.coalesce("held", F.lit(0)))).drop("stratum", "of", "held")
+
+
+def calibrate(stats: DataFrame, labels: DataFrame, scratch: Scratch, risk: float = RISK, delta: float = DELTA) -> Rules:
+    """The rules from all labelled documents that pass the base. stats: doc_id, stratum, STATS (one row per document).
+
+    Good: every label of the doc_id is 1; bad: one is 0. Counts are summed by (stratum, step), and the ladders walked, on
+    the executors; the driver sees the ladder's quantiles, the counts by step and the number of strata only.
     """
-    marks = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1")
-    good = stats.where(~base_failed()).select("doc_id", F.coalesce("stratum", F.lit("")).alias("stratum"), first_step(ladder).alias("step")).join(marks, "doc_id", "left_semi")
+    marks = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = stats.where(~base_failed()).join(marks, "doc_id").withColumn("tune", F.pmod(F.xxhash64(F.lit("tune"), F.col("doc_id").cast("string")), F.lit(TUNE)) == 0)
+    known = scratch.keep(known.select("stratum", "quality", "tune", *STATS), "known")
+    ladder = make_ladder(known.where("tune and quality = 1"))
+    if ladder:
+        seen = known.where("tune").groupBy(first_step(ladder).alias("step")).agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") == 1).alias("good"))
+        by = {r["step"]: (r["bad"], r["good"]) for r in seen.collect()}
+        ladder = ladder[: steps_wanted([by.get(i, (0, 0)) for i in range(len(ladder) + 1)])]
     upto = [F.sum(F.when(F.col("step") <= i, F.col("n")).otherwise(0)) for i in range(len(ladder))]
-    by = good.groupBy("stratum", "step").agg(F.count("*").alias("n")).groupBy("stratum").agg(F.sum("n").alias("good"), F.array(*upto).alias("counts"))
-    by = scratch.keep(by, "counts")
-    level = delta / max(by.count(), 1)
+    good = known.where("not tune and quality = 1").groupBy("stratum", first_step(ladder).alias("step")).agg(F.count("*").alias("n"))
+    counts = scratch.keep(good.groupBy("stratum").agg(F.sum("n").alias("good"), (F.array(*upto) if upto else F.expr("cast(array() as array<bigint>)")).alias("counts")), "counts")
+    level = delta / max(counts.count(), 1)
 
     def walk(batch: pa.RecordBatch) -> Iterator[dict]:
         seen = zip(batch.column("counts").to_pylist(), batch.column("good").to_pylist(), strict=True)
         yield {"stratum": batch.column("stratum"), "held": [steps_held(counts, n, risk, level) for counts, n in seen]}
 
-    return scratch.keep(arrow_map(by, walk, "stratum string, held int"), "held")
+    held = scratch.keep(arrow_map(counts, walk, "stratum string, held int"), "held")
+    scratch.drop("known", "counts")
+    return Rules(ladder, held)
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
-    """One row per row of docs: `keep` columns, STATS, base_failed, step, kept.
+def stratified(docs: DataFrame, stratum: str) -> DataFrame:
+    return with_stats(docs.select(F.struct("doc_id", F.col(stratum).cast("string").alias("stratum")).alias("row__"), text_of().alias("text__")))
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options) -> DataFrame:
+    """One row per row of docs: doc_id, STATS, base_failed, step, kept.
 
     Null or empty texts have zero words, so they fail the base. A null stratum is one of its own. Labels of unknown
     documents don't count; with no label nothing but the base rejects. Repeated rows get equal verdicts. Columns of
-    docs beside `keep` and the stratum are not read; `keep` must not clash with STATS.
+    docs beside doc_id, text and the stratum are not read.
     """
-    stats = with_stats(docs.withColumn("stratum__", F.col(stratum).cast("string")), [*keep, "stratum__"]).withColumnRenamed("stratum__", "stratum")
     scratch = Scratch(docs.sparkSession, "rules")
-    stats = scratch.keep(stats, "stats")
-    found = calibrate(stats, labels, scratch, **options).select(F.col("stratum").alias("stratum__"), F.col("held").alias("held__"))
-    stats = stats.join(small(found), F.coalesce("stratum", F.lit("")) == F.col("stratum__"), "left")
-    return stats.select(*keep, *STATS, base_failed().alias("base_failed"), first_step().alias("step"), F.coalesce("held__", F.lit(0)).alias("held")).withColumn("kept", ~F.col("base_failed") & (F.col("step") >= F.col("held"))).drop("held")
+    stats = scratch.keep(stratified(docs, stratum), "stats")
+    rules = calibrate(stats.select("row__.*", *STATS), labels, scratch, **options)
+    return rules.judge(stats, F.col("row__.stratum")).select("row__.doc_id", *STATS, "base_failed", "step", "kept")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the rules keep, columns as in docs."""
-    return verdicts(docs, labels, keep=tuple(docs.columns), **options).where("kept").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options) -> DataFrame:
+    """The rows of docs that `verdicts` keeps, columns as in docs, whatever their names. The texts are read twice, once for
+    the calibration, so that no row is written or shuffled."""
+    scratch = Scratch(docs.sparkSession, "rules")
+    stats = scratch.keep(stratified(docs, stratum), "stats")
+    rules = calibrate(stats.select("row__.*", *STATS), labels, scratch, **options)
+    scratch.drop("stats")
+    rows = with_stats(docs.select(whole_row(), text_of().alias("text__")))
+    return rules.judge(rows, F.col("row__")[stratum].cast("string")).where("kept").select("row__.*")
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
