@@ -27,6 +27,10 @@ BROADCAST_ROWS = 5_000
 #: Settings while a scratch table is written: batches of bounded bytes to Python, and no shuffle file outlives the write.
 WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
+#: The setting that bounds a batch's bytes, and its default, which is too much where texts go to Python and back: a session that
+#: has the default gets the bound of WRITING from its first operator on.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one if all runs
@@ -48,6 +52,8 @@ class Scratch:
     Who returns a frame that reads some of them drops all the others."""
 
     def __init__(self, spark: SparkSession, what: str):
+        if spark.conf.get(BATCH[0]) == BATCH[1]:  # for frames that run later, under the session's settings
+            spark.conf.set(BATCH[0], WRITING[BATCH[0]])
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
