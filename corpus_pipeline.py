@@ -16,33 +16,53 @@ from graphloom.llm.suffix_dedup import remove_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the risk-controlled rules keep."""
+    """The documents that the risk-controlled rules keep.
+
+    Null, empty and short texts go by the base rules. Equal texts of one language get equal verdicts; a null language is
+    one of its own. An empty table stays empty; columns of any name pass.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies."""
+    """One document of each group of copies and near copies: the one with the least doc_id, a null one last.
+
+    All null and empty texts are copies of each other; repeated rows leave one. An empty table stays empty; columns of any
+    name pass.
+    """
     return drop_near_duplicates(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the whole characters of every 200-byte string that also starts elsewhere; n_chars follows."""
-    kept = remove_repeats(docs, [c for c in docs.columns if c not in ("text", "n_chars")], kept_text=True)
-    return kept.withColumnsRenamed({"kept_text": "text"}).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """The documents without the whole characters of every 200-byte string that also starts elsewhere; n_chars follows.
+
+    Null texts become empty ones; texts that repeat whole (200 bytes or more) become empty. Every row stays; an empty table
+    stays empty; columns of any name pass.
+    """
+    kept = remove_repeats(docs, kept_text=True)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return kept.select(*(new[c].alias(c) if c in new else F.col("row__").getField(c).alias(c) for c in docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them."""
+    """The documents as often as the mix takes them.
+
+    Null and empty texts have size 0 and are taken like others; a null source is one; repeated rows draw alike. An empty
+    table stays empty; columns of any name pass.
+    """
     return mix(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids (little-endian unsigned 32-bit integers) and whether they decode to the text."""
+    """doc_id, source, n_tokens, ids (little-endian unsigned 32-bit integers) and whether they decode to the text.
+
+    Null and empty texts have no ids. One row per row; an empty table stays empty; other columns are not read.
+    """
     import public_tokenizers as tokenizers
 
-    rows = docs.withColumn("text_sha256", F.sha2(text_of(), 256))
-    out = tokenize(rows.select("doc_id", "source", "text", "text_sha256"), ["doc_id", "source", "text_sha256"], tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
-    return out.select("doc_id", "source", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), "ids", (F.sha2("bytes", 256) == F.col("text_sha256")).alias("decodes"))
+    rows = docs.select("doc_id", "source", "text", F.sha2(text_of(), 256).alias("text_sha256"))
+    out = tokenize(rows, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    return out.select("row__.doc_id", "row__.source", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), "ids", (F.sha2("bytes", 256) == F.col("row__.text_sha256")).alias("decodes"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
