@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import UnknownProperty, UnsupportedQuery
 from graphloom.functions.stats import Stats
-from graphloom.operators.bgp import Graph, Rows, bgp, constants_of, group, modify
+from graphloom.operators.bgp import COMPARISONS, Graph, Rows, bgp, constants_of, group, modify
 from graphloom.plans.algebra import Computed, Const, Group, Pattern, Query
 from graphloom.plans.parser import RDF_TYPE, parse
 from graphloom.settings import Settings
@@ -49,12 +49,12 @@ class Engine:
         return rows.agg(F.count("*").alias("n")) if count_only else rows
 
     def run(self, q: Query, s: Settings, chosen: list | None = None) -> DataFrame:
-        constants, patterns = [], []
-        walk(q, patterns.append, lambda e: constants.extend(constants_of(e)))
+        constants, bounds, patterns = [], [], []
+        walk(q, patterns.append, lambda e: (constants.extend(constants_of(e)), bounds.extend(constants_of(e, COMPARISONS[2:]))))
         for p in patterns:
             self.relation(p.p)  # unknown predicates are errors, wherever they stand
         constants += [t.text for p in patterns for t in (p.s, p.o) if isinstance(t, Const)]
-        g = Graph(self.relation, self.terms, self.terms.encode(sorted(set(constants))), self.statistics(patterns, s), s.cross, self.functions)
+        g = Graph(self.relation, self.terms, self.terms.encode(sorted(set(constants))), self.terms.bounds(sorted(set(bounds))) if self.terms.ordered else {}, self.statistics(patterns, s), s.cross, self.functions)
         return self.rows(q, g, s, chosen, s.decode).df
 
     def rows(self, q: Query, g: Graph, s: Settings, chosen: list | None = None, decode: bool = False) -> Rows:

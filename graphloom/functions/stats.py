@@ -21,6 +21,14 @@ class Property:
     count: float = 1000.0
     distinct_s: float = 1000.0
     distinct_o: float = 1000.0
+    #: Least and greatest value of a side, where they are numbers.
+    span_s: tuple[float, float] | None = None
+    span_o: tuple[float, float] | None = None
+
+    def histogram(self, side: str) -> Histogram | None:
+        """The values of side s or o as one bucket."""
+        span, distinct = (self.span_s, self.distinct_s) if side == "S" else (self.span_o, self.distinct_o)
+        return None if span is None else Histogram(*span, self.count / max(distinct, 1), distinct)
 
 
 @dataclass

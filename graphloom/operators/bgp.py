@@ -17,7 +17,7 @@ from graphloom.errors import UnsupportedQuery
 from graphloom.functions.stats import Stats
 from graphloom.operators.range_join import range_join
 from graphloom.plans.algebra import Aggregate, Computed, Const, Expr, Group, Pattern, Query, Var
-from graphloom.plans.order import best_order, connected
+from graphloom.plans.order import Ranges, best_order, connected
 from graphloom.sources.terms import TextTerms
 
 #: relation(predicate, by_object) -> (s, o) rows.
@@ -26,11 +26,12 @@ Relation = Callable[[str, bool], DataFrame]
 
 @dataclass
 class Graph:
-    """What patterns are read from. constants: the values of the query's constants."""
+    """What patterns are read from. constants: the values of the query's constants; bounds: of those that order is compared with."""
 
     relation: Relation
     terms: TextTerms
     constants: dict[str, object] = field(default_factory=dict)
+    bounds: dict[str, object] = field(default_factory=dict)
     stats: Stats = field(default_factory=Stats)
     cross: bool = False
     functions: dict[str, Callable[..., Column]] = field(default_factory=dict)
@@ -130,7 +131,7 @@ def left_join(a: Rows, b: Rows, filters: list[Expr], g: Graph) -> Rows:
     shared = [n for n in a.names if n in b.names]
     if not g.cross and not [n for n in shared if n not in a.maybe | b.maybe]:
         raise UnsupportedQuery("an optional part shares no variable that is always bound: its product must be asked for")
-    wanted = set().union(*map(texts_of, filters)) if filters else set()
+    wanted = set().union(*(texts_of(f, g, a.values | b.values) for f in filters))
     left, right = g.texts(a, wanted), g.texts(b, wanted)
     right = right.select(*(F.col(c).alias(f"__right_{c}") for c in right.columns))
     on = F.lit(True)
@@ -151,15 +152,16 @@ def left_join(a: Rows, b: Rows, filters: list[Expr], g: Graph) -> Rows:
     return Rows(out, a.maybe | set(new), a.values | b.values)
 
 
-def bgp(patterns: list[Pattern], g: Graph, repeated: bool = False, chosen: list | None = None) -> Rows:
+def bgp(patterns: list[Pattern], g: Graph, repeated: bool = False, chosen: list | None = None, filters: list[Expr] | None = None) -> Rows:
     """Left-deep natural joins in the planner's order. Patterns without variables are existence checks.
 
-    Disconnected patterns with variables raise unless `cross` allows their product. chosen: gets the order.
+    Disconnected patterns with variables raise unless `cross` allows their product. chosen: gets the order. filters: of the
+    group, for the planner.
     """
     if not g.cross and not connected(patterns):
         raise UnsupportedQuery("patterns share no variable: their product must be asked for")
     bound = [p for p in patterns if p.names]
-    order, cost = best_order(bound, g.stats) if bound else ([], 0.0)
+    order, cost = best_order(bound, g.stats, ranges_of(filters or [], g)) if bound else ([], 0.0)
     if chosen is not None:
         chosen += [[bound[i] for i in order], cost]
     out = None
@@ -174,28 +176,49 @@ def bgp(patterns: list[Pattern], g: Graph, repeated: bool = False, chosen: list
 
 
 COMPARISONS = ("=", "!=", "<", "<=", ">", ">=")
+TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
 NUMERIC = ("+", "-", "*", "/", "strlen", "abs", "integer", "double")
 
 
-def by_value(e) -> bool:
-    """Whether an expression compares variables or constants for equality, which needs no texts."""
-    return isinstance(e, Expr) and e.op in ("=", "!=") and all(isinstance(a, Var | Const) for a in e.args) and any(isinstance(a, Var) for a in e.args)
+def plain(e, ops: tuple[str, ...]) -> bool:
+    """Whether an expression is one of these comparisons of variables, or of one with a constant."""
+    return isinstance(e, Expr) and e.op in ops and all(isinstance(a, Var | Const) for a in e.args) and any(isinstance(a, Var) for a in e.args)
 
 
-def texts_of(e) -> set[str]:
+def by_order(e, g: Graph, values: frozenset[str] | set[str]) -> bool:
+    """Whether a comparison can be made on the graph's values themselves, as they stand in the order of their texts."""
+    return g.terms.ordered and plain(e, COMPARISONS[2:]) and not any(isinstance(a, Var) and a.name in values for a in e.args)
+
+
+def texts_of(e, g: Graph, values: frozenset[str] | set[str]) -> set[str]:
     """The variables whose texts an expression needs."""
     if isinstance(e, Var):
         return {e.name}
-    if isinstance(e, Const) or by_value(e) or e.op == "bound":
+    if isinstance(e, Const) or plain(e, COMPARISONS[:2]) or by_order(e, g, values) or e.op == "bound":
         return set()
-    return set().union(*map(texts_of, e.args))
+    return set().union(*(texts_of(a, g, values) for a in e.args))
 
 
-def constants_of(e) -> list[str]:
-    """The constants that an expression compares with values of the graph."""
+def constants_of(e, ops: tuple[str, ...] = ("=", "!=")) -> list[str]:
+    """The constants that an expression compares so with values of the graph."""
     if not isinstance(e, Expr):
         return []
-    return [a.text for a in e.args if isinstance(a, Const)] if by_value(e) else [t for a in e.args for t in constants_of(a)]
+    return [a.text for a in e.args if isinstance(a, Const)] if plain(e, ops) else [t for a in e.args for t in constants_of(a, ops)]
+
+
+def ranges_of(filters: list[Expr], g: Graph) -> Ranges:
+    """The comparisons of variables with constants that every row must pass, as numbers, for the planner."""
+    out: Ranges = {}
+    for f in filters:
+        if f.op == "&&":
+            for name, found in ranges_of([x for x in f.args if isinstance(x, Expr)], g).items():
+                out.setdefault(name, []).extend(found)
+        elif by_order(f, g, set()) and isinstance(f.args[0], Var) != isinstance(f.args[1], Var):
+            x, op, c = (f.args[0], f.op, f.args[1]) if isinstance(f.args[0], Var) else (f.args[1], TURNED[f.op], f.args[0])
+            bound = g.bounds.get(c.text)
+            if isinstance(bound, tuple):
+                out.setdefault(x.name, []).append((op, bound[0]))
+    return out
 
 
 def expression(e, resolve: Callable[[str], Column | None], g: Graph, values: frozenset[str] | set[str]) -> Column:
@@ -209,7 +232,15 @@ def expression(e, resolve: Callable[[str], Column | None], g: Graph, values: fro
     if e.op == "bound":
         found = resolve(e.args[0].name)
         return F.lit(False) if found is None else found.isNotNull()
-    if by_value(e):
+    if by_order(e, g, values):
+        x, y = e.args
+        op, one, other = e.op, *(resolve(a.name) if isinstance(a, Var) else a for a in (x, y))
+        if one is None or other is None:
+            return F.lit(None).cast("boolean")
+        if isinstance(x, Var) and isinstance(y, Var):
+            return {"<": one < other, "<=": one <= other, ">": one > other, ">=": one >= other}[op]
+        return g.terms.compare(one, op, g.bounds[y.text]) if isinstance(x, Var) else g.terms.compare(other, TURNED[op], g.bounds[x.text])
+    if plain(e, COMPARISONS[:2]):
         x, y = e.args if isinstance(e.args[0], Var) else e.args[::-1]
         one, other = resolve(x.name), resolve(y.name) if isinstance(y, Var) else None
         if one is None or isinstance(y, Var) and other is None:
@@ -258,7 +289,7 @@ def expression(e, resolve: Callable[[str], Column | None], g: Graph, values: fro
 
 def evaluated(rows: Rows, es: list, g: Graph) -> tuple[DataFrame, list[Column]]:
     """rows with the texts that the expressions need, and the expressions as columns of them."""
-    df = g.texts(rows, set().union(*map(texts_of, es)) if es else set())
+    df = g.texts(rows, set().union(*(texts_of(e, g, rows.values) for e in es)))
     resolve = lambda c: F.col(c) if c in df.columns else None
     return df, [expression(e, resolve, g, rows.values) for e in es]
 
@@ -278,14 +309,14 @@ def comparing(filters: list[Expr], a: Rows, b: Rows) -> tuple[Expr, str, str, st
             if x in a.names and y in b.names:
                 return f, x, f.op, y
             if y in a.names and x in b.names:
-                return f, y, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}[f.op], x
+                return f, y, TURNED[f.op], x
     return None
 
 
 def group(where: Group, g: Graph, chosen: list | None = None, run: Callable[[Query], Rows] | None = None) -> Rows:
     """A group graph pattern: the basic patterns, then sub-selects, unions and optionals joined to them, then filters. Parts that
     share no variable meet by a filter that orders a variable of one against one of the other."""
-    parts = [bgp(c, g, True, chosen) for c in components(where.patterns)]
+    parts = [bgp(c, g, True, chosen, where.filters) for c in components(where.patterns)]
     parts += [run(q) for q in where.subqueries]
     for branches in where.unions:
         parts.append(union([group(b, g, None, run) for b in branches], g))
@@ -298,7 +329,10 @@ def group(where: Group, g: Graph, chosen: list | None = None, run: Callable[[Que
             out = join(out, near, g)
         elif found := next(((p, c) for p in left if (c := comparing(where.filters, out, p))), None):
             near, (_, x, op, y) = found
-            df = range_join(g.texts(out, {x}), text_name(x), op, g.texts(near, {y}), text_name(y))
+            if g.terms.ordered and not {x, y} & (out.values | near.values):
+                df = range_join(out.df, x, op, near.df, y)
+            else:
+                df = range_join(g.texts(out, {x}), text_name(x), op, g.texts(near, {y}), text_name(y))
             out = Rows(df.select(*out.names, *near.names), out.maybe | near.maybe, out.values | near.values)
         elif g.cross:
             near = left[0]

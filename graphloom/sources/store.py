@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.errors import UnknownProperty
@@ -26,6 +26,8 @@ class Store(TextTerms):
     """
 
     joins = True
+    # ids are given in the order of the terms
+    ordered = True
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -90,7 +92,7 @@ class Store(TextTerms):
         code = {self.property_id(p): p for p in predicates} | {-1 - i: CLASS + c for c, i in ids.items()}
         read = lambda t: self.spark.read.parquet(f"{folder}/{t}")
         wanted = sorted(code)
-        props = {code[r["p"]]: Property(r["n"], r["distinct_s"], r["distinct_o"]) for r in read("properties").where(F.col("p").isin(wanted)).collect()}
+        props = {code[r["p"]]: Property(r["n"], r["distinct_s"], r["distinct_o"], (r["min_s"], r["max_s"]), (r["min_o"], r["max_o"])) for r in read("properties").where(F.col("p").isin(wanted)).collect()}
         by_id = {i: c for c, i in ids.items()}
         held = {by_id[r["class"]]: (r["n"], r["min_s"], r["max_s"]) for r in read("classes").where(F.col("class").isin(sorted(by_id))).collect()} if by_id else {}
         pairs = {(code[r["p1"]], code[r["p2"]], r["kind"]): r["n"] for r in read("pairs").where(F.col("p1").isin(wanted) & F.col("p2").isin(wanted)).collect()}
@@ -129,6 +131,19 @@ class Store(TextTerms):
         found = {r["term"]: r["id"] for r in self.terms.where(F.col("term").isin(wanted)).collect()} if wanted else {}
         return {t: found.get(t) for t in wanted}
 
+    def bounds(self, texts: list[str]) -> dict[str, tuple[int, int | None]]:
+        """The least id whose term is not below each constant, and the constant's own id (None where there is none)."""
+        own = self.encode(texts)
+        first = {t: self.terms.where(F.col("term") >= t).agg(F.min("id")).first()[0] if own[t] is None else own[t] for t in sorted(set(texts))}
+        return {t: ((1 << 62) if first[t] is None else first[t], own[t]) for t in first}
+
+    def compare(self, col: Column, op: str, bound: tuple[int, int | None]) -> Column:
+        first, own = bound
+        if op in ("<", ">="):
+            return col < first if op == "<" else col >= first
+        last = first if own is None else first + 1
+        return col < last if op == "<=" else col >= last
+
     def with_texts(self, rows: DataFrame, columns: dict[str, str]) -> DataFrame:
         """rows with the terms of id columns under new names (null where unbound): one dictionary join a column."""
         for i, (c, new) in enumerate(columns.items()):

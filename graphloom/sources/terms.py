@@ -13,6 +13,16 @@ class TextTerms:
 
     #: Whether getting at texts joins a dictionary (and so loses an order).
     joins = False
+    #: Whether the values stand in the order of their texts.
+    ordered = True
+
+    def bounds(self, texts: list[str]) -> dict[str, object]:
+        """What `compare` needs to know of each constant."""
+        return {t: t for t in texts}
+
+    def compare(self, col: Column, op: str, bound: object) -> Column:
+        """col op constant, where values are ordered; null where the column is."""
+        return {"<": col < bound, "<=": col <= bound, ">": col > bound, ">=": col >= bound}[op]
 
     def encode(self, texts: list[str]) -> dict[str, object]:
         """The value of each constant; None where the graph cannot hold it."""
@@ -33,6 +43,8 @@ class KeyTerms(TextTerms):
     A constant compares field by field, so that a scan gets the key as a pushed filter and tables of another kind fall away.
     """
 
+    ordered = False
+
     def __init__(self, base: str, kinds: set[str]):
         self.base, self.kinds = base, kinds
 
