@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, cut, record, text_of, types_of, whole_row, worker_memo
+from graphloom.llm.common import cut, record, text_of, types_of, whole_row, worker_memo, written
 from graphloom.llm.word_table import Numbers, WordTable, gather, in_order
 
 #: Distinct words that a worker keeps, and bytes beyond which a word is merged by itself.
@@ -317,5 +317,4 @@ def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.struct("doc_id").alias("row__"), text_of().alias("text__"))
     out = Codec(spark, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN).encode(rows)
-    digests = out.select("row__.doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
-    return Scratch(spark, "bpe").keep(digests, "digests")
+    return written(spark, "digests", lambda: out.select("row__.doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")))

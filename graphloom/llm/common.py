@@ -47,6 +47,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Lists that gather the scratch folders being made, innermost last.
+_gathering: list[list[Scratch]] = []
+
+
+def written(spark: SparkSession, what: str, make: Callable[[], DataFrame], place: Scratch | None = None) -> DataFrame:
+    """What `make` returns, written and read back (in `place`, or a folder of its own); all scratch tables made on the way are deleted."""
+    place, made = place or Scratch(spark, what), []
+    _gathering.append(made)
+    try:
+        out = place.keep(make(), what)
+    finally:
+        _gathering.pop()
+        for scratch in made:
+            scratch.drop()
+    return out
+
+
 class Scratch:
     """Tables written under the shared folder. Each lives under a new name, so a rerun never reads a half-written one.
     Who returns a frame that reads some of them drops all the others."""
@@ -55,6 +72,8 @@ class Scratch:
         if spark.conf.get(BATCH[0]) == BATCH[1]:  # for frames that run later, under the session's settings
             spark.conf.set(BATCH[0], WRITING[BATCH[0]])
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+        for made in _gathering[-1:]:
+            made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, small
+from graphloom.llm.common import Scratch, small, written
 
 #: Documented bounds and parameters: rows fitted on, most lists, share of rows probed, sub-spaces, code words, rows reranked per block, rows of a block, queries of a group.
 SAMPLE_ROWS, MAX_LISTS, PROBE_SHARE, SUBSPACES, CODES, RERANK, BLOCK_ROWS, QUERY_ROWS = 20_000, 4096, 0.75, 16, 256, 200, 4096, 4096
@@ -158,11 +158,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probe_share: flo
 
     found = stored.groupBy("list", "cut", "grp").cogroup(sent.groupBy("qlist", "qcut", "qgrp")).applyInArrow(rank, "query_id long, qnum long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qnum").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
-    done = scratch.keep(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "found")
-    scratch.drop("rows", "index", "sizes", "asked")
-    return done
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op4_ivf_pq(spark, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return search(vectors, vectors.where("vec_id % 100 = 0"))
+    return written(spark, "neighbours", lambda: search(vectors, vectors.where("vec_id % 100 = 0")))

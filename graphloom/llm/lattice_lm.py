@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, cut, fraction_crc32, record, text_of, types_of
+from graphloom.llm.common import Scratch, cut, fraction_crc32, record, text_of, types_of, written
 
 #: A block closes at so many distinct words; a document never spans blocks.
 BLOCK_DISTINCT = 400_000
@@ -366,14 +366,12 @@ def score_documents(docs: DataFrame, vocabulary_path: str, train: Column, rounds
 
     gathered = left.unionByName(right).repartition("block").sortWithinPartitions("block", "kind")
     out = gathered.mapInArrow(score_texts, types_of("n_tokens long, n_known long, train_tokens long, base_score double, score double", texts))
-    done = scratch.keep(out.select("row__.doc_id", "row__.train", "n_tokens", "n_known", "train_tokens", "base_score", "score"), "scores")
-    scratch.drop("blocks", "counts")
-    return done
+    return out.select("row__.doc_id", "row__.train", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op6_lattice_lm(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = score_documents(docs, tokenizers.path("piece_bpe_32k.model"), fraction_crc32(F.col("doc_id"), 7) != 2)
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    score = lambda: score_documents(docs, tokenizers.path("piece_bpe_32k.model"), fraction_crc32(F.col("doc_id"), 7) != 2)
+    return written(spark, "scores", score).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, Scratch, small, text_of
+from graphloom.llm.common import WORD, Scratch, small, text_of, written
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (1, 2, 3)
@@ -85,8 +85,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
-    plan = mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return written(spark, "mix", lambda: mix_plan(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")))
 
 
 def _oracle() -> str:

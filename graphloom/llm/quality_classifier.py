@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, fraction_crc32, text_of
+from graphloom.llm.common import Scratch, fraction_crc32, text_of, written
 from graphloom.llm.doc_stats import with_stats
 
 #: The bound of the sample the trees and weights are fitted on, in rows (documented parameter).
@@ -179,4 +179,4 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column | None = None, th
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = fraction_crc32(F.col("doc_id"), 5) == 0
-    return classify(docs, labels, train=~held_out).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return written(spark, "classified", lambda: classify(docs, labels, train=~held_out).select("doc_id", held_out.alias("held_out"), "score", "predicted"))

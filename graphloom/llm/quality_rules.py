@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, arrow_map, small, text_of, whole_row
+from graphloom.llm.common import Scratch, arrow_map, small, text_of, whole_row, written
 from graphloom.llm.doc_stats import STATS, with_stats
 
 MIN_WORDS = 50
@@ -187,4 +187,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **optio
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return verdicts(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return written(spark, "verdicts", lambda: verdicts(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))

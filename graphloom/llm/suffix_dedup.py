@@ -3,9 +3,9 @@
 Every start of `length` bytes gets a key: the least hash of the 48-byte strings (grams) inside it. Equal strings have
 equal keys, so a key's starts are compared within one shard and no other. Neighbouring starts with one key form a run;
 a run is cut out with its length - 1 further bytes. Keys that the corpus holds once cannot repeat and are dropped, equal
-cut-outs are counted and travel once, and a key whose only cut-out stands twice needs no comparison. Each shard leaves out
-the cut-outs none of whose starts has the hash of another, as they cannot repeat, builds a suffix array by induced sorting and permuted common prefixes over whole keys, and marks the starts whose prefix of
-`length` bytes another start shares.
+cut-outs are counted and travel once, and a key whose only cut-out stands twice needs no comparison. Cut-outs none of whose
+starts has the hash of another's in their key cannot repeat and are left out. Over the rest, a shard at a time, a suffix
+array by induced sorting and permuted common prefixes mark the starts whose prefix of `length` bytes another start shares.
 
 A key with more cut-outs than a shard should hold is never brought together: its cut-outs are texts of their own, cut
 into runs once more by longer grams, the last as long as the string itself. All is computed per distinct text, so
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import HASHES, Scratch, arrow_map, text_key, text_of, types_of, whole_row
+from graphloom.llm.common import HASHES, Scratch, arrow_map, text_key, text_of, types_of, whole_row, written
 from graphloom.llm.suffix_array import repeated_starts
 
 LENGTH, GRAMS = 200, (48, 104, 160, 200)
@@ -154,29 +154,52 @@ def hopeful(pieces: list[bytes], length: int, separator: bytes = b"\xff") -> np.
 
 
 def mark_shards(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """(key, h, spans) of (key, h, n, piece) rows: the spans [a, b) of starts that repeat. A shard holds whole keys, and is
-    solved when it has shard_bytes."""
+    """(key, h, spans) of (key, h, n, piece) rows: the spans [a, b) of starts that repeat. Whole keys are looked through for
+    cut-outs that may repeat, shard_bytes at a time, and those fill the shards."""
     out = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # whole keys, and the one being read
         shard: list[tuple] = []
-        size, last = 0, None
-
-        def solve():
-            every = [r[3] for r in shard]
-            at = np.flatnonzero(hopeful(every, length)).tolist()
-            found = dict(zip(at, map(edges, repeated_starts([every[i] for i in at], length)), strict=True)) if at else {}
-            spans = [[[0, len(p) - length + 1]] if n > 1 else found.get(i, []) for i, (_, _, n, p) in enumerate(shard)]
-            return pa.RecordBatch.from_pydict({"key": [r[0] for r in shard], "h": [r[1] for r in shard], "spans": spans}, out)
+        size, shard_size, last = 0, 0, None
+
+        def give(rows: list[tuple], spans: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"key": [r[0] for r in rows], "h": [r[1] for r in rows], "spans": spans}, out)
+
+        def sift() -> pa.RecordBatch:
+            """The held rows that need no shard; the others go to it."""
+            nonlocal size, shard_size
+            may = hopeful([r[3] for r in held], length).tolist()
+            done = [r for r, m in zip(held, may, strict=True) if not m]
+            shard.extend(r for r, m in zip(held, may, strict=True) if m)
+            shard_size += sum(len(r[3]) for r, m in zip(held, may, strict=True) if m)
+            held.clear()
+            size = 0
+            return give(done, [spans_of(r, None) for r in done])
+
+        def spans_of(row: tuple, twice: np.ndarray | None) -> list:
+            if row[2] > 1:
+                return [[0, len(row[3]) - length + 1]]
+            return [] if twice is None else edges(twice)
+
+        def solve() -> pa.RecordBatch:
+            nonlocal shard_size
+            made = give(shard, [spans_of(r, t) for r, t in zip(shard, repeated_starts([r[3] for r in shard], length), strict=True)])
+            shard.clear()
+            shard_size = 0
+            return made
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "h", "n", "piece")), strict=True):
                 if row[0] != last and size >= shard_bytes:
-                    yield solve()
-                    shard, size = [], 0
+                    yield sift()
+                    if shard_size >= shard_bytes:
+                        yield solve()
                 last = row[0]
-                shard.append(row)
+                held.append(row)
                 size += len(row[3])
+        if held:
+            yield sift()
         if shard:
             yield solve()
 
@@ -284,4 +307,4 @@ def without(data: bytes, spans: list[list[int]]) -> bytes:
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs).select("row__.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return written(spark, "removed", lambda: remove_repeats(docs).select("row__.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
