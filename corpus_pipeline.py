@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.byte_bpe import tokenize
-from graphloom.llm.common import Scratch, text_of
+from graphloom.llm.common import Scratch, text_of, written
 from graphloom.llm.mixing import mix
 from graphloom.llm.quality_rules import keep_good
 from graphloom.llm.simhash import drop_near_duplicates
@@ -78,8 +78,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each result written to the shared folder and read again."""
-    scratch = Scratch(spark, "pipeline")
+    scratch, before = Scratch(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        docs = written(spark, name, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), scratch)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
