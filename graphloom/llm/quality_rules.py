@@ -91,6 +91,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def tunes(doc_id: Column) -> Column:
+    """Whether a document's label makes the ladder: by 32 bits of an MD5 of its id."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit("tune|"), doc_id.cast("string"))), 1, 8), 16, 10).cast("bigint") % TUNE == 0
+
+
 def make_ladder(good: DataFrame) -> Ladder:
     """The steps from the STATS of the tuning part's good documents; none without a row."""
     values = [F.expr(e).cast("double") for e in RULES.values()]
@@ -136,7 +141,7 @@ def calibrate(stats: DataFrame, labels: DataFrame, scratch: Scratch, risk: float
     the executors; the driver sees the ladder's quantiles, the counts by step and the number of strata only.
     """
     marks = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = stats.where(~base_failed()).join(marks, "doc_id").withColumn("tune", F.pmod(F.xxhash64(F.lit("tune"), F.col("doc_id").cast("string")), F.lit(TUNE)) == 0)
+    known = stats.where(~base_failed()).join(marks, "doc_id").withColumn("tune", tunes(F.col("doc_id")))
     known = scratch.keep(known.select("stratum", "quality", "tune", *STATS), "known")
     ladder = make_ladder(known.where("tune and quality = 1"))
     if ladder:
@@ -188,3 +193,52 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **optio
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return written(spark, "verdicts", lambda: verdicts(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))
+
+
+def _oracle() -> str:
+    """The whole query in SQL. A step holds where at most so many rejections of n would be seen with probability of `level` or
+    less if the share were `risk`, which is the exact bound's condition."""
+    rules = {k: e.replace(" / ", "::DOUBLE / ") for k, e in RULES.items()}
+    values = ", ".join(f"{e} AS {k}" for k, e in rules.items())
+    factors = " UNION ALL ".join(f"SELECT {i} AS k, {', '.join(f'max({r}) * {f} + {f - 1} / 10 AS {r}' for r in RULES)} FROM good" for i, f in enumerate(FACTORS))
+    quantiles = " UNION ALL ".join(f"SELECT {len(FACTORS) + i} AS k, {', '.join(f'quantile_disc({r}, {q}) AS {r}' for r in RULES)} FROM good" for i, q in enumerate(QUANTILES))
+    least = ", ".join(f"min({r}) OVER (ORDER BY k) AS {r}" for r in RULES)
+    hit = " OR ".join(f"s.{r} > l.{r}" for r in RULES)
+    steps = len(FACTORS) + len(QUANTILES)
+    space = "[^\\x20\\x09-\\x0D]"
+    return f"""
+WITH d AS (SELECT doc_id, lang, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '{space}+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{space}')) AS ls FROM d),
+win AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+twice AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT r, sum(CASE WHEN p IS NULL THEN 3 ELSE least(3, i - p) END) AS n FROM twice GROUP BY r),
+stats AS (
+  SELECT d.r, doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+    length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, (length(t) - length(replace(t, '!!', ''))) // 2 AS n_bangs
+  FROM d JOIN w USING (r) LEFT JOIN rep USING (r)),
+s AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {values} FROM stats),
+marks AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+known AS (SELECT s.*, quality, CAST('0x' || substr(md5('tune|' || s.doc_id), 1, 8) AS BIGINT) % {TUNE} = 0 AS tune FROM s JOIN marks m ON s.doc_id = m.doc_id WHERE NOT base_failed),
+good AS (SELECT * FROM known WHERE tune AND quality = 1),
+ladder AS (SELECT k, {least} FROM ({factors} UNION ALL {quantiles}) WHERE EXISTS (SELECT 1 FROM good)),
+first AS (SELECT s.r, min(k) AS step FROM s JOIN ladder l ON {hit} GROUP BY s.r),
+seen AS (SELECT known.*, coalesce(step, {steps}) AS step FROM known LEFT JOIN first USING (r)),
+gains AS (
+  SELECT k, (SELECT count(*) FROM seen WHERE tune AND quality = 0 AND step <= k)::DOUBLE / greatest(1, (SELECT count(*) FROM seen WHERE tune AND quality = 0))
+    - {LOSS} * (SELECT count(*) FROM seen WHERE tune AND quality = 1 AND step <= k) / greatest(1, (SELECT count(*) FROM seen WHERE tune AND quality = 1)) AS gain FROM ladder),
+want AS (SELECT coalesce((SELECT min(k) + 1 FROM gains WHERE gain > 0 AND gain = (SELECT max(gain) FROM gains)), 0) AS want),
+certify AS (SELECT lang, step FROM seen WHERE NOT tune AND quality = 1),
+strata AS (SELECT lang, count(*) AS n FROM certify GROUP BY lang),
+counts AS (SELECT strata.lang, n, k, (SELECT count(*) FROM certify c WHERE c.lang IS NOT DISTINCT FROM strata.lang AND step <= k) AS x FROM strata, ladder, want WHERE k < want),
+tails AS (
+  SELECT lang, k, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK}))) AS p
+  FROM (SELECT lang, n, k, unnest(range(0, x + 1)) AS i FROM counts) GROUP BY lang, k),
+held AS (SELECT lang, coalesce(min(k) FILTER (p > {DELTA} / (SELECT count(*) FROM strata)), (SELECT want FROM want)) AS held FROM tails GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND least(coalesce(step, {steps}), want) >= coalesce(held, 0) AS kept
+FROM s LEFT JOIN first ON s.r = first.r LEFT JOIN held ON s.lang IS NOT DISTINCT FROM held.lang, want"""
+
+
+ORACLE = _oracle()

@@ -12,8 +12,10 @@ from graphloom.llm.lattice_lm import op6_lattice_lm
 from graphloom.llm.mixing import ORACLE as MIXING_ORACLE
 from graphloom.llm.mixing import op10_mixing
 from graphloom.llm.quality_classifier import op1_quality_classifier
+from graphloom.llm.quality_rules import ORACLE as RULES_ORACLE
 from graphloom.llm.quality_rules import op5_quality_rules
 from graphloom.llm.simhash import op8_simhash
+from graphloom.llm.suffix_dedup import ORACLE as REPEATS_ORACLE
 from graphloom.llm.suffix_dedup import op3_suffix_dedup
 from graphloom.llm.wavelet import op2_wavelet
 
@@ -30,4 +32,4 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "pipeline": pipeline,
 }
-ORACLES = {"op7_chat": CHAT_ORACLE, "op10_mixing": MIXING_ORACLE} | ({"pipeline": PIPELINE_ORACLE} if PIPELINE_ORACLE else {})
+ORACLES = {"op3_suffix_dedup": REPEATS_ORACLE, "op5_quality_rules": RULES_ORACLE, "op7_chat": CHAT_ORACLE, "op10_mixing": MIXING_ORACLE} | ({"pipeline": PIPELINE_ORACLE} if PIPELINE_ORACLE else {})

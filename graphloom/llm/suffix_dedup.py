@@ -26,8 +26,8 @@ from graphloom.llm.suffix_array import repeated_starts
 
 LENGTH, GRAMS = 200, (48, 104, 160, 200)
 #: Bytes of cut-outs that one suffix array is built over (it takes about 100 times that in memory), and of texts whose
-#: runs are found at once. A key with a quarter of a shard or more is cut again.
-SHARD_BYTES, RUN_BYTES = 2 << 20, 1 << 20
+#: runs are found at once. A key with half a shard or more is cut again.
+SHARD_BYTES, RUN_BYTES = 1 << 20, 1 << 20
 MULTIPLIER, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -219,7 +219,7 @@ def repeated_spans(texts: DataFrame, length: int, grams: tuple[int, ...], shard_
     places = kept.groupBy("key", "h").agg(F.sum("n").alias("n"), F.min(F.struct("id", "lo", "starts")).alias("at"))
     places = scratch.keep(places, name("places"))
     sizes = places.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("pieces"), F.sum(F.col("at.starts") + F.lit(length - 1)).alias("bytes"))
-    kind = F.when((F.col("pieces") == 1) & (F.col("n") > 1), F.lit("whole")).when(F.lit(not last) & (F.col("pieces") > 1) & (F.col("bytes") >= shard_bytes // 4), F.lit("over")).otherwise(F.lit("solve"))
+    kind = F.when((F.col("pieces") == 1) & (F.col("n") > 1), F.lit("whole")).when(F.lit(not last) & (F.col("pieces") > 1) & (F.col("bytes") >= shard_bytes // 2), F.lit("over")).otherwise(F.lit("solve"))
     classed = scratch.keep(places.join(sizes, F.col("key") == F.col("k")).select("key", "h", "n", "at", kind.alias("kind")), name("classed"))
     scratch.drop(name("places"))
     solved = mark_shards(cut_out(classed.where("kind = 'solve'"), texts, length, last), length, shard_bytes)
@@ -308,3 +308,19 @@ def without(data: bytes, spans: list[list[int]]) -> bytes:
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return written(spark, "removed", lambda: remove_repeats(docs).select("row__.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
+#: Every 200-byte string of the whole table, in hexadecimal, by its MD5; spans are islands of starts that stand twice.
+ORACLE = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, unnest(range(0, length(h) // 2 - 199)) AS i, h FROM d WHERE length(h) >= 400),
+k AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM s),
+st AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM k WHERE m IN (SELECT m FROM k GROUP BY m HAVING count(*) > 1)),
+isl AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM st),
+sp AS (SELECT r, g, min(i) AS a, max(i) + 200 AS b FROM isl GROUP BY r, g),
+cut AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS e FROM sp),
+per AS (SELECT cut.r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM cut JOIN d ON d.r = cut.r GROUP BY cut.r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN per ON d.r = per.r"""
