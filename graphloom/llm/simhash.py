@@ -207,8 +207,8 @@ NEAR_WORDS, SIMILARITY = 5, 0.8
 #: Shingles that stand last in all texts' order: at most so many, each in this many or more of a share of the texts. The
 #: order decides only how many candidates there are.
 COMMON, COMMON_LEAST, COMMON_SHARE = 50_000, 4, 8
-#: 64-bit words of a text's bitmap.
-MAP_WORDS = 8
+#: 64-bit words of a text's bitmap: the wider, the fewer pairs that are not similar pass it.
+MAP_WORDS = 16
 #: Odd multipliers, one per word of a shingle, repeated for longer shingles with a shift.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 BASE, SPACES = 0x9E3779B97F4A7C15, b" \t\n\v\f\r"
@@ -360,14 +360,16 @@ def similar_groups(texts: DataFrame, least_similarity: float, shingle: int, scra
     links1 = verified(star, texts, least_similarity, shingle, scratch, "star")
     scratch.drop("bodies-star")
     found = scratch.keep(components(links0.union(links1), scratch), "star-components")
-    placed = scratch.keep(members.drop("root").join(found, F.col("id") == F.col("node"), "left").select("tok", *cols[:-1], F.coalesce("root", "id").alias("root")), "placed")
-    mixed = placed.groupBy(F.col("tok").alias("t")).agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other")
-    open_ = scratch.keep(placed.join(mixed, F.col("tok") == F.col("t"), "left_semi"), "open")
-    scratch.drop("members", "placed")
+    placed = members.select("tok", "id").join(found, F.col("id") == F.col("node"), "left").select("tok", F.coalesce("root", "id").alias("root"))
+    mixed = placed.groupBy(F.col("tok").alias("t")).agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("t")
+    open_ = members.drop("root").join(scratch.keep(mixed, "mixed"), F.col("tok") == F.col("t"), "left_semi")
+    open_ = scratch.keep(open_.join(found, F.col("id") == F.col("node"), "left").select("tok", *cols[:-1], F.coalesce("root", "id").alias("root")), "open")
+    scratch.drop("members", "mixed")
     rest = similar_pairs(open_.alias("x"), open_.alias("y"), least_similarity, (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
     rest = scratch.keep(rest.join(star, ["a", "b"], "left_anti"), "pairs-rest")
+    scratch.drop("open", "pairs-star", "star-components")
     links2 = verified(rest, texts, least_similarity, shingle, scratch, "rest")
-    scratch.drop("bodies-rest", "open", "pairs-star", "pairs-rest", "star-components")
+    scratch.drop("bodies-rest", "pairs-rest")
     return components(links0.union(links1).union(links2), scratch)
 
 
