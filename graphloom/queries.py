@@ -12,7 +12,7 @@ from graphloom.functions.stats import class_stats, pair_sizes, property_stats, w
 from graphloom.plans.parser import RDF_TYPE, parse
 from graphloom.sources.folders import shared_folder
 from graphloom.sources.store import Store
-from graphloom.sources.triples import EX, MAPPING, PREFIXES, TERMS, as_triples, from_tables, mapped_tables
+from graphloom.sources.triples import EX, MAPPING, PREFIXES, TERMS, as_triples, from_tables, mapped_tables, read_ntriples
 
 CLOSED = {
     "f1_chain": "SELECT ?c ?n WHERE { ?c ex:locatedIn ?n . ?n ex:partOf ?r . ?r ex:name \"ASIA\" }",
@@ -102,6 +102,29 @@ def planned(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return rows
 
 
+def store_views(spark: SparkSession, folder: str) -> DataFrame:
+    """x and y of a predicate, by SQL over the store's views."""
+    made = store(spark, folder)
+    made.register()
+    pid = made.property_id(f"{EX}partOf")
+    return spark.sql(f"SELECT a.term AS x, b.term AS y FROM invprop{pid} p JOIN dictionary a ON p.s = a.id JOIN dictionary b ON p.o = b.id")
+
+
+def store_in_memory(spark: SparkSession, folder: str) -> DataFrame:
+    """The chain over a store whose triples and dictionary are kept in memory."""
+    return Engine(store(spark, folder).load(dictionary=True)).query(PREFIXES + CLOSED["f1_chain"])
+
+
+def ntriples(spark: SparkSession, folder: str) -> DataFrame:
+    """The graph's small relations, written as N-Triples and read back."""
+    rows = as_triples({p: df for p, df in from_tables(spark, folder).items() if p in (f"{EX}partOf", f"{EX}locatedIn", f"{EX}segment")})
+    quoted = F.concat(F.lit('"'), F.replace(F.replace("o", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    term = F.when(F.col("o").startswith("http://"), F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(quoted)
+    path = shared_folder(spark, "ntriples")
+    rows.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), term, F.lit(" ."))).write.text(path)
+    return read_ntriples(spark, path)
+
+
 def stat_properties(spark: SparkSession, folder: str) -> DataFrame:
     return property_stats(as_triples(from_tables(spark, folder)))
 
@@ -145,6 +168,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "store_ids_count": stored(CLOSED["f1_chain"], count_only=True, decode=False),
     **{f"store_{k}": stored(EXTENDED[k], extended=True) for k in STORED},
     "store_dictionary": store_dictionary,
+    "store_views": store_views,
+    "store_in_memory": store_in_memory,
+    "ntriples": ntriples,
     "store_triples": store_triples,
     "stat_properties": stat_properties,
     "stat_classes": stat_classes,
@@ -226,6 +252,9 @@ def _sql() -> dict[str, str]:
         "store_ids_count": f"SELECT count(*) AS n {chain}",
         "store_dictionary": "SELECT s AS term FROM triples UNION SELECT o FROM triples",
         "store_triples": "SELECT s, p, o FROM triples",
+        "store_views": "SELECT s AS x, o AS y FROM r_partOf",
+        "store_in_memory": f"SELECT l.s AS c, l.o AS n {chain}",
+        "ntriples": f"SELECT s, p, o FROM triples WHERE p IN ('{EX}partOf', '{EX}locatedIn', '{EX}segment')",
         "stat_properties": "SELECT p, count(*) AS n, count(DISTINCT s) AS distinct_s, min(s) AS min_s, max(s) AS max_s, count(DISTINCT o) AS distinct_o, min(o) AS min_o, max(o) AS max_o FROM triples GROUP BY p",
         "stat_classes": "SELECT o AS class, count(*) AS n, min(s) AS min_s, max(s) AS max_s FROM r_type GROUP BY o",
     }
