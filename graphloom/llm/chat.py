@@ -11,7 +11,7 @@ Native: DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the template.
@@ -38,14 +38,14 @@ def render_turn(role: Column, body: Column) -> Column:
 
 
 def parse(text: Column) -> Column:
-    """array<struct<role, body, raw>> of rendered text; what does not fit the grammar comes back as it stands, so it compares unequal."""
+    """array<struct<role, body>> of rendered text; what does not fit the grammar comes back as it stands, so it compares unequal."""
 
     def turn(t: Column) -> Column:
         at = F.instr(t, SEP)
         fits = (at > 0) & t.startswith(OPEN) & ~t.substr(F.lit(len(OPEN) + 1), F.length(t)).contains(OPEN)
         role = F.when(fits, t.substr(F.lit(len(OPEN) + 1), at - len(OPEN) - 1)).otherwise(t)
         raw = F.when(at > 0, t.substr(at + len(SEP), F.length(t))).otherwise(F.lit(""))
-        return F.struct(unescape(role, ROLE_ESCAPES).alias("role"), unescape(raw).alias("body"), raw.alias("raw"))
+        return F.struct(unescape(role, ROLE_ESCAPES).alias("role"), unescape(raw).alias("body"))
 
     # the text ends with CLOSE, so the last piece is empty unless something is left over
     pieces = F.split(text, "</turn>\\n?", -1)
@@ -70,26 +70,29 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
         "conv_id",
         F.struct("t.turn", "t.role", "t.text", F.when(same, F.col("t.role")).otherwise(escape(F.col("t.role"), ROLE_ESCAPES)).alias("r"), F.when(same, F.col("t.text")).otherwise(escape(F.col("t.text"))).alias("b")).alias("t"),
     )
+    # where each turn begins, in both renderings, as running sums of their lengths
+    strict_role, strict_body = escape(F.col("t.role"), ROLE_ESCAPES), escape(F.col("t.text"))
+    before = Window.partitionBy("conv_id").orderBy("t.turn", "t.role", "t.text").rowsBetween(Window.unboundedPreceding, -1)
+    begins = lambda role, body: F.coalesce(F.sum(F.length(render_turn(role, body))).over(before), F.lit(0))
+    turns = turns.withColumns({"at": begins(F.col("t.r"), F.col("t.b")), "strict_at": begins(strict_role, strict_body)})
+    turns = turns.select("conv_id", F.struct("t.turn", "t.role", "t.text", "t.r", "t.b", "at", "strict_at").alias("t"))
     convs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     plain = F.array_join(F.transform("ts", lambda t: render_turn(t["r"], t["b"])), "")
     strict = F.array_join(F.transform("ts", lambda t: render_turn(escape(t["role"], ROLE_ESCAPES), escape(t["text"]))), "")
     source = F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("body")))
     seen = lambda text: F.transform(parse(text), lambda t: F.struct(t["role"].alias("role"), t["body"].alias("body")))
     convs = convs.withColumn("plain", plain).withColumn("source", source)
-    convs = convs.withColumn("formatted", F.when(seen(F.col("plain")) == F.col("source"), F.col("plain")).otherwise(strict))
-    convs = convs.withColumn("parsed", parse(F.col("formatted")))
-    lengths = F.transform(F.split(F.col("formatted"), CLOSE.replace("\n", "\\n"), -1), lambda p: F.length(p) + len(CLOSE)).alias("n")
-    trip = F.transform("parsed", lambda t: F.struct(t["role"].alias("role"), t["body"].alias("body"))) == F.col("source")
-    pairs = F.filter(F.arrays_zip(F.col("parsed"), lengths), lambda x: x["parsed"].isNotNull())
-    walk = F.aggregate(
-        pairs,
-        F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["n"]).cast("int").alias("at"),
-            F.when(x["parsed"]["role"] == loss_role, F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["n"] - len(CLOSE) - F.length(x["parsed"]["raw"])).cast("int").alias("start"), F.length(x["parsed"]["raw"]).cast("int").alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )
-    return convs.select("conv_id", "formatted", F.size("parsed").cast("long").alias("n_turns"), trip.alias("round_trip"), walk["spans"].alias("loss_spans"))
+    convs = convs.withColumn("as_is", seen(F.col("plain")) == F.col("source"))
+    convs = convs.withColumn("formatted", F.when(F.col("as_is"), F.col("plain")).otherwise(strict))
+    convs = convs.withColumn("turns", seen(F.col("formatted")))
+
+    def span(t: Column) -> Column:
+        role, body = F.when(F.col("as_is"), t["r"]).otherwise(escape(t["role"], ROLE_ESCAPES)), F.when(F.col("as_is"), t["b"]).otherwise(escape(t["text"]))
+        at = F.when(F.col("as_is"), t["at"]).otherwise(t["strict_at"]) + F.length(role) + (len(OPEN) + len(SEP) + 1)
+        return F.struct(at.cast("int").alias("start"), F.length(body).cast("int").alias("length"))
+
+    spans = F.transform(F.filter("ts", lambda t: t["role"] == loss_role), span)
+    return convs.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), (F.col("turns") == F.col("source")).alias("round_trip"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
