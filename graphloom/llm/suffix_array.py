@@ -12,6 +12,10 @@ import numpy as np
 
 #: The largest alphabet whose buckets are scanned one by one; larger ones are rewritten in digits of it.
 ALPHABET = 1024
+#: Suffixes per symbol in use below which a text is scanned suffix by suffix.
+STEPWISE = 100
+#: Suffixes of a bucket's round up to which they are put one by one.
+FEW = 24
 
 
 def s_types(t: np.ndarray) -> np.ndarray:
@@ -23,17 +27,55 @@ def s_types(t: np.ndarray) -> np.ndarray:
     return np.append(step[following] > 0, True)
 
 
+def induce_stepwise(t: list[int], smaller: list[bool], lms: list[int], sizes: list[int]) -> np.ndarray:
+    """`induce`, suffix by suffix: less work than an array operation per bucket where buckets hold few suffixes."""
+    n, ends, total = len(t), [], 0
+    for size in sizes:
+        total += size
+        ends.append(total)
+    sa, tail = [-1] * n, ends.copy()
+    for i in reversed(lms):
+        tail[t[i]] -= 1
+        sa[tail[t[i]]] = i
+    head = [e - size for e, size in zip(ends, sizes, strict=True)]
+    for i in range(n):
+        j = sa[i] - 1
+        if j >= 0 and not smaller[j]:
+            c = t[j]
+            sa[head[c]] = j
+            head[c] += 1
+    tail = ends
+    for i in range(n - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and smaller[j]:
+            c = t[j]
+            tail[c] -= 1
+            sa[tail[c]] = j
+    sa[0] = n - 1
+    return np.array(sa, np.int32)
+
+
 def induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
     """The suffix array induced from LMS positions, given in order within each bucket."""
     n = len(t)
     sa = np.empty(n, np.int32)
     sizes = np.bincount(t, minlength=k)
+    if n < STEPWISE * np.count_nonzero(sizes):
+        return induce_stepwise(t.tolist(), smaller.tolist(), lms.tolist(), sizes.tolist())
     start = np.concatenate([[0], np.cumsum(sizes)])
     heads = t[lms]
     by_head = lms[np.argsort(heads, kind="stable")]
     lms_at = np.concatenate([[0], np.cumsum(np.bincount(heads, minlength=k))])
 
     def put(batch: np.ndarray, want_smaller: bool, edge: np.ndarray, sign: int) -> None:
+        if len(batch) <= FEW:
+            for i in batch.tolist():
+                if i and smaller[i - 1] == want_smaller:
+                    c = t[i - 1]
+                    at = edge[c] - (sign < 0)
+                    sa[at] = i - 1
+                    edge[c] = at + (sign > 0)
+            return
         before = batch[batch > 0] - 1
         before = before[smaller[before] == want_smaller]
         if not len(before):
