@@ -105,6 +105,12 @@ class Store(TextTerms):
             self.terms = self.terms.cache()
         return self
 
+    def unload(self) -> Store:
+        """Let go of what `load` keeps."""
+        self.triples.unpersist()
+        self.terms.unpersist()
+        return self
+
     def register(self) -> list[str]:
         """Temporary views prop<n>, invprop<n> and dictionary; their names."""
         names = ["dictionary"]

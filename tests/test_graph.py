@@ -82,7 +82,8 @@ def test_random_patterns_in_any_order(spark, graph, triples, stored):
 def test_store(spark, stored, triples):
     assert {(r.s, r.o) for r in stored.decode(stored.relation(stored.property_id("http://e/a"))).collect()} == {(s, o) for s, p, o in triples if p == "http://e/a"}
     assert stored.encode(["n1", "absent"])["absent"] is None
-    assert stored.load(True).register()[0] == "dictionary"
+    assert stored.load(True).register()[0] == "dictionary" and "InMemoryTableScan" in plan(stored.relation(0))
+    assert "InMemoryTableScan" not in plan(stored.unload().relation(0))
     assert spark.table("invprop0").columns == ["o", "s"]
     e = Engine(stored)
     assert e.query(P + 'SELECT ?x WHERE { ?x e:a "absent" }').count() == 0
