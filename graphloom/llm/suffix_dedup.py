@@ -27,7 +27,7 @@ from graphloom.llm.suffix_array import repeated_starts
 LENGTH, GRAMS = 200, (48, 104, 160, 200)
 #: Bytes of cut-outs that one suffix array is built over (it takes about 100 times that in memory), and of texts whose
 #: runs are found at once. A key with half a shard or more is cut again.
-SHARD_BYTES, RUN_BYTES = 1 << 20, 1 << 20
+SHARD_BYTES, RUN_BYTES = 1 << 20, 1 << 19
 MULTIPLIER, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
