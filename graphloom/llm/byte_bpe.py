@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, record, text_of, types_of, whole_row, worker_memo, written
+from graphloom.llm.common import cut, record, releasing, text_of, types_of, whole_row, worker_memo, written
 from graphloom.llm.word_table import Numbers, WordTable, gather, in_order
 
 #: Distinct words that a worker keeps, and bytes beyond which a word is merged by itself.
@@ -299,7 +299,7 @@ class Codec:
                     ids, data = held["encoder"].encode(part.column("text__").to_pylist())
                     yield record({"row__": part.column("row__"), "ids": ids, "bytes": data}, kinds)
 
-        return rows.mapInArrow(run, types_of("ids binary, bytes binary", rows))
+        return rows.mapInArrow(releasing(run), types_of("ids binary, bytes binary", rows))
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str, **options) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import HASHES, Scratch, arrow_map, text_key, text_of, types_of, whole_row, worker_memo, written
+from graphloom.llm.common import HASHES, Scratch, arrow_map, releasing, text_key, text_of, types_of, whole_row, worker_memo, written
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Fingerprints compared within one bucket before it is covered a second time.
@@ -142,7 +142,7 @@ def bucket_links(rows: DataFrame, keys: list[str], radius: int, limit: int | Non
                     held = []
         yield from close()
 
-    return sized.mapInArrow(run, ", ".join([*(f"`{k}` long" for k in keys), "a long", "b long", "over boolean"]))
+    return sized.mapInArrow(releasing(run), ", ".join([*(f"`{k}` long" for k in keys), "a long", "b long", "over boolean"]))
 
 
 def links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import HASHES, Scratch, arrow_map, text_key, text_of, types_of, whole_row, written
+from graphloom.llm.common import HASHES, Scratch, arrow_map, releasing, text_key, text_of, types_of, whole_row, written
 from graphloom.llm.suffix_array import repeated_starts
 
 LENGTH, GRAMS = 200, (48, 104, 160, 200)
@@ -204,7 +204,7 @@ def mark_shards(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
             yield solve()
 
     sorted_ = pieces.select("key", "h", "n", "piece").repartition("key").sortWithinPartitions("key", "h")
-    return sorted_.mapInArrow(run, "key long, h long, spans array<array<int>>")
+    return sorted_.mapInArrow(releasing(run), "key long, h long, spans array<array<int>>")
 
 
 def repeated_spans(texts: DataFrame, length: int, grams: tuple[int, ...], shard_bytes: int, scratch: Scratch, level: int = 0) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -673,6 +674,39 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, docs.collect()))
 
 
+def test_workers_give_back_what_their_tasks_freed(spark):
+    """Workers live on between tasks: what a stage took must not stay with them while the next one runs."""
+    if not os.path.exists("/proc/self/smaps_rollup"):
+        pytest.skip("memory can't be read here")
+    rng = random.Random(5)
+    rows = [(i, 1, bytes(rng.choices(b"abcdefgh ", k=20_000))) for i in range(160)]
+    texts = spark.createDataFrame(rows, "id long, n long, data binary").repartition(4).cache()
+
+    def kept(batches):
+        import ctypes
+        import re
+        import time
+
+        import pyarrow as pa
+
+        def held():
+            with open("/proc/self/smaps_rollup") as f:
+                return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", f.read()))) // 1024
+
+        for _ in batches:
+            pass
+        time.sleep(0.5)  # so that each worker gets one
+        before = held()
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+        yield pa.RecordBatch.from_pydict({"mb": pa.array([before - held()], pa.int64())})
+
+    probe = lambda: max(r.mb for r in spark.range(0, 4, 1, 4).mapInArrow(kept, "mb long").collect())
+    texts.count(), probe()
+    assert suffix_dedup.cut_runs(texts, 200, 48).count() > 10_000
+    assert probe() < 20
+
+
 def test_no_local_folder_off_this_machine(spark, monkeypatch):
     class Elsewhere:
         conf = type("C", (), {"get": staticmethod(lambda *a: None)})
