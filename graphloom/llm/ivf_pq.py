@@ -2,9 +2,12 @@
 
 Centroids and codebooks are fitted on a bounded sample (SAMPLE_ROWS) and are small; every row is indexed. Lists are
 cut into blocks of about BLOCK_ROWS rows, so a list that holds a third of all rows is many blocks, and queries into
-groups of about QUERY_ROWS. A query goes to the blocks of its nearest lists, as many as it takes to reach PROBE_SHARE of
+groups of about QUERY_ROWS. A query goes first to the blocks of its nearest lists, as many as it takes to reach PROBE_SHARE of
 all rows, and RERANK of them at least; there an asymmetric distance table ranks the codes, and the best RERANK rows are
-ranked again by the exact distance. The merge keeps k rows per query and block, never a pair beyond.
+ranked again by the exact distance. The k-th distance found bounds what is left: the query then goes to every other list whose
+ball may reach within it, and in each block every row whose coded distance, less the error of its code, may lie within it is
+ranked exactly too. So no nearest row is missed, however the rows lie; how well they cluster decides only the work.
+The merge keeps k rows per query and block, never a pair beyond.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import Scratch, small, written
 
-#: Documented bounds and parameters: rows fitted on, most lists, share of rows probed, sub-spaces, code words, rows reranked per block, rows of a block, queries of a group.
-SAMPLE_ROWS, MAX_LISTS, PROBE_SHARE, SUBSPACES, CODES, RERANK, BLOCK_ROWS, QUERY_ROWS = 20_000, 4096, 0.75, 16, 256, 200, 4096, 4096
+#: Documented bounds and parameters: rows fitted on, most lists, share of rows probed first, sub-spaces, code words, rows reranked per block, rows of a block, queries of a group.
+SAMPLE_ROWS, MAX_LISTS, PROBE_SHARE, SUBSPACES, CODES, RERANK, BLOCK_ROWS, QUERY_ROWS = 20_000, 4096, 0.05, 16, 256, 200, 4096, 4096
+#: What rounding may add to a distance, as a part of the lengths it comes from.
+SLACK = 1e-9
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -57,6 +62,15 @@ def encode(x: np.ndarray, centroids: np.ndarray, books: list[np.ndarray]) -> tup
     return at, np.column_stack([nearest(part, book) for part, book in zip(np.array_split(rest, len(books), axis=1), books, strict=True)]).astype(np.uint8)
 
 
+def decode(at: np.ndarray, codes: np.ndarray, centroids: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
+    """The vectors that codes stand for."""
+    return centroids[at] + np.column_stack([book[codes[:, m]] for m, book in enumerate(books)])
+
+
+def length(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x**2).sum(axis=-1))
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id (long) and vec (array<double>) of the rows whose vector is not null, empty or zero and holds only finite numbers."""
     v = F.col(vec_col).cast("array<double>")
@@ -99,15 +113,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probe_share: flo
             x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
             if len(x):
                 at, codes = encode(x, cs, bs)
-                yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("id"), batch.column("vec"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "id", "vec", "code"])
+                off, far = length(x - decode(at, codes, cs, bs)), length(x - cs[at])
+                yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("id"), batch.column("vec"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), pa.array(far)], names=["list", "id", "vec", "code", "off", "far"])
 
-    indexed = rows.mapInArrow(index, "list long, id long, vec array<double>, code binary")
+    indexed = rows.mapInArrow(index, "list long, id long, vec array<double>, code binary, off double, far double")
     indexed = scratch.keep(indexed, "index")
-    counts = scratch.keep(indexed.groupBy("list").agg(F.count("*").alias("n")).coalesce(1), "sizes")
-    held = np.zeros(lists, np.int64)
+    counts = scratch.keep(indexed.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("radius")).coalesce(1), "sizes")
+    held, radius = np.zeros(lists, np.int64), np.zeros(lists)
     for r in counts.collect():  # one row per list, MAX_LISTS at most
-        held[r["list"]] = r["n"]
-    reach = max(probe_share * held.sum(), min(RERANK, int(held.sum())))
+        held[r["list"]], radius[r["list"]] = r["n"], r["radius"]
+    reach = max(probe_share * held.sum(), min(max(RERANK, k), int(held.sum())))
     sizes = small(counts.select("list", F.ceil(F.col("n") / BLOCK_ROWS).alias("cuts")))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,35 +135,54 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probe_share: flo
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array([o[:p].tolist() for o, p in zip(order, probes.tolist(), strict=True)], pa.list_(pa.int64()))], names=["id", "vec", "lists"])
 
     asked = usable(queries, id_col, vec_col).where(F.size("vec") == dims).dropDuplicates(["id", "vec"])
-    asked = scratch.keep(asked.mapInArrow(probe, "id long, vec array<double>, lists array<long>").withColumn("qnum", F.monotonically_increasing_id()), "asked")
+    asked = scratch.keep(asked.mapInArrow(probe, "id long, vec array<double>, lists array<long>").withColumns({"qnum": F.monotonically_increasing_id(), "most": F.lit(float("inf"))}), "asked")
     groups = max(1, math.ceil(asked.count() / QUERY_ROWS))
     stored = indexed.join(sizes, "list").withColumn("cut", F.pmod(F.xxhash64("id", "vec"), F.col("cuts"))).drop("cuts")
     stored = stored.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    sent = asked.select("id", "vec", "qnum", F.explode("lists").alias("list")).join(sizes, "list")
-    sent = sent.select(F.col("list").alias("qlist"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("qcut"), F.pmod(F.xxhash64("qnum"), F.lit(groups)).cast("int").alias("qgrp"), F.col("id").alias("qid"), "qnum", F.col("vec").alias("qvec"))
+
+    def sent(to: DataFrame) -> DataFrame:
+        """Queries beside each block of their lists."""
+        each = to.select("id", "vec", "qnum", "most", F.explode("lists").alias("list")).join(sizes, "list")
+        return each.select(F.col("list").alias("qlist"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("qcut"), F.pmod(F.xxhash64("qnum"), F.lit(groups)).cast("int").alias("qgrp"), F.col("id").alias("qid"), "qnum", F.col("vec").alias("qvec"), "most")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries with the lists not probed yet that may hold a row within `most`."""
+        cs, _ = model.value
+        for batch in batches:
+            x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            left = []
+            for vec, most, seen in zip(x, batch.column("most").to_pylist(), batch.column("lists").to_pylist(), strict=True):
+                at = length(cs - vec)
+                # what is not a number rules nothing out
+                may = ~(at - radius - SLACK * (at + radius + length(vec)) > most) & (held > 0)
+                may[seen] = False
+                left.append(np.flatnonzero(may).tolist())
+            if len(x):
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(left, pa.list_(pa.int64())), batch.column("qnum"), batch.column("most")], names=["id", "vec", "lists", "qnum", "most"])
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         cs, bs = model.value
         out = {"query_id": [], "qnum": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             x = left["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dims)
-            ids = left["id"].to_numpy()
+            ids, off = left["id"].to_numpy(), left["off"].to_numpy()
             codes = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
             q = right["qvec"].combine_chunks().flatten().to_numpy().reshape(-1, dims)
             rest = q - cs[left["list"][0].as_py()]
             parts = np.array_split(rest, len(bs), axis=1)
-            for i, (qid, num, vec) in enumerate(zip(right["qid"].to_pylist(), right["qnum"].to_pylist(), q, strict=True)):
+            for i, (qid, num, vec, most) in enumerate(zip(right["qid"].to_pylist(), right["qnum"].to_pylist(), q, right["most"].to_pylist(), strict=True)):
                 # asymmetric distances: one table row per sub-space, then a sum of look-ups
                 adc = np.zeros(len(ids))
                 for m, (part, book) in enumerate(zip(parts, bs, strict=True)):
                     adc += ((part[i] - book) ** 2).sum(axis=1)[codes[:, m]]
-                other = np.flatnonzero(ids != qid)
-                if len(other) > RERANK:
-                    # ties of equal codes go to smaller ids, as in the result
-                    cut = np.partition(adc[other], RERANK - 1)[RERANK - 1]
-                    inside, edge = other[adc[other] < cut], other[adc[other] == cut]
-                    other = np.concatenate([inside, edge[np.argsort(ids[edge], kind="stable")[: RERANK - len(inside)]]])
-                d = np.sqrt(((x[other] - vec) ** 2).sum(axis=1))
+                near = np.sqrt(adc)
+                least = near - off - SLACK * (near + off + length(vec))
+                other = np.flatnonzero((ids != qid) & ~(least > most))
+                if len(other) > max(RERANK, k):
+                    first = np.argpartition(adc[other], max(RERANK, k))[: max(RERANK, k)]
+                    within = np.partition(length(x[other[first]] - vec), k - 1)[k - 1]
+                    other = other[~(least[other] > within)]
+                d = length(x[other] - vec)
                 best = np.lexsort((ids[other], d))[:k]
                 out["query_id"] += [qid] * len(best)
                 out["qnum"] += [num] * len(best)
@@ -156,9 +190,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probe_share: flo
                 out["score"] += d[best].tolist()
         return pa.table(out, pa.schema([("query_id", pa.int64()), ("qnum", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    found = stored.groupBy("list", "cut", "grp").cogroup(sent.groupBy("qlist", "qcut", "qgrp")).applyInArrow(rank, "query_id long, qnum long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qnum").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def found(to: DataFrame) -> DataFrame:
+        return stored.groupBy("list", "cut", "grp").cogroup(sent(to).groupBy("qlist", "qcut", "qgrp")).applyInArrow(rank, "query_id long, qnum long, vec_id long, score double")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qnum").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+
+    first = scratch.keep(ranked(found(asked)), "first")
+    reached = first.where(F.col("rank") == k).select("qnum", F.col("score").alias("most"))
+    again = scratch.keep(asked.drop("most").join(reached, "qnum", "left").select("id", "vec", "lists", "qnum", F.coalesce("most", F.lit(float("inf"))).alias("most")).mapInArrow(rest, asked.select("id", "vec", "lists", "qnum", "most").schema), "again")
+    both = first.drop("rank").unionByName(found(again))
+    return ranked(both).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op4_ivf_pq(spark, sf_dir: str) -> DataFrame:

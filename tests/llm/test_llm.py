@@ -383,6 +383,30 @@ def test_ivf_pq_recall_and_repeated_queries(spark):
     assert ivf_pq.search(df.where("vec_id < 5"), df.where("vec_id = 0")).count() == 4
 
 
+@pytest.mark.parametrize("kind", ["scales", "outlier", "copies", "offset"])
+def test_ivf_pq_misses_no_neighbour(spark, kind):
+    """Rows that lists and codes fitted on all of them tell apart badly."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 12))
+    if kind == "scales":  # tight groups beside wide ones: the codes of a tight one's rows are all alike
+        x = rng.normal(size=(6, 12))[np.arange(6000) % 6] * 100 + x * 10.0 ** (np.arange(6000) % 6 - 4)[:, None]
+    elif kind == "outlier":
+        x[17] *= 1e6
+    elif kind == "copies":
+        x[1000:5000] = x[1000]
+        x[5000:5500] = x[1000] + x[5000:5500] * 1e-6
+    else:
+        x += 1e8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ivf_pq.search(df, df.where("vec_id % 250 = 17 or vec_id in (1000, 5001)")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert len(got) >= 24
+    for q, mine in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        assert [v for _, v in sorted(mine)] == [i for i in np.lexsort((np.arange(6000), d)) if i != q][:10]
+
+
 def test_wavelet(spark, docs, empty, texts):
     from tokenizers import Tokenizer
 
